@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dispersa.llm.common import documents
+from dispersa.llm.decontamination import contaminated
 from dispersa.llm.packing import pack_documents
 from dispersa.llm.quality import quality_scores
 from dispersa.llm.sharding import op3_shards
+from dispersa.llm.simhash import near_duplicates
+from dispersa.llm.suffixes import remove_repeats
+from dispersa.llm.toxicity import toxicity_scores
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -18,20 +23,37 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(documents(spark, sf_dir), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op3_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_shards(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_rendezvous, op5_packing, op9_quality)}
+    return {f.__name__: f for f in (op1_suffixes, op2_simhash, op3_rendezvous, op4_decontamination, op5_packing, op8_toxicity, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
