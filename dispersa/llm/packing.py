@@ -6,46 +6,71 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispersa.llm.common import materialise
 
-#: A word longer than this is not kept in a task's table of encoded words, nor are more words than WORDS.
-WORD_BYTES, WORDS = 48, 400_000
+#: A word of more bytes than WORD_BYTES isn't kept in a worker's table of encoded words; the table holds twice WORDS at most.
+WORD_BYTES, WORDS = 48, 350_000
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def encoder(tokenizer_file: str):
+class WordEncoder:
     """Text -> little-endian uint32 ids as bytes.
 
-    This tokenizer drops white space and never joins text across it, so a text's ids are those of its
-    ASCII-space-separated words in turn; a bounded table keeps the words that were seen.
+    This tokenizer drops white space and never joins text across it, so a text's ids are those of its words
+    in turn; letters and the marks that end a word are apart as well. A table keeps what was encoded: when it
+    is full it becomes the old table, and words that are met again move to the new one.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    known: dict[str, bytes] = {}
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
 
-    def encode(word: str) -> bytes:
-        ids = tokenizer.encode(word, add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(word) <= WORD_BYTES:
-            if len(known) >= WORDS:
-                known.clear()
-            known[word] = out
-        return out
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def text_ids(text: str) -> bytes:
-        words = text.translate(_SPACES).split(" ")
-        get = known.get
-        return b"".join([x if (x := get(w)) is not None else encode(w) for w in words])
+    def _encode(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    return text_ids
+    def _part(self, body: str) -> bytes:
+        key = body.encode()
+        return self.new.get(key) or self._keep(key, self.old.get(key) or self._encode(body))
 
+    def _keep(self, key: bytes, ids: bytes) -> bytes:
+        if len(key) <= WORD_BYTES:
+            if len(self.new) >= WORDS:
+                self.new, self.old = {}, self.new
+            self.new[key] = ids
+        return ids
 
-_SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
+    def _word(self, word: bytes) -> bytes:
+        if (ids := self.old.get(word)) is None:
+            text = word.decode("utf-8", "replace")
+            body = text.rstrip(".,;:!?")
+            if body and len(body) < len(text) and body.isalpha():
+                ids = self._part(body.lower() if body.isascii() else body) + self._part(text[len(body) :])
+            elif text.isascii() and text.isalpha() and not text.islower():
+                ids = self._part(text.lower())
+            else:
+                ids = self._encode(text)
+        return self._keep(word, ids)
+
+    def __call__(self, text: str) -> bytes:
+        return b"".join([self.new.get(w) or self._word(w) for w in text.encode("utf-8", "replace").split()])
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(tokenizer_file: str) -> WordEncoder:
+    """The encoder of this Python worker: tasks that a worker runs in turn share its table."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = WordEncoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 2, limit: int = 4096) -> DataFrame:
