@@ -165,3 +165,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: i
     return out.select(
         F.col("id").alias("doc_id"), (remainder("id", modulus) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, modulus: int = 3, held: int = 1) -> DataFrame:
+    """The documents, all columns, whose score is at least `least`.
+
+    The statistics are worked out twice, once to fit and once to filter where the texts are, so that no text is shuffled.
+    """
+    model = fit_quality(document_statistics(docs), training_labels(labels, "quality", modulus, held))
+    at = docs.columns.index("text")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.score(x) >= least))
+
+    return docs.mapInArrow(batches, docs.schema)

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from dispersa.llm.common import documents
 from dispersa.llm.decontamination import contaminated
+from dispersa.llm.fingerprints import edited_fingerprints
+from dispersa.llm.lm import language_scores
 from dispersa.llm.packing import pack_documents
+from dispersa.llm.paragraphs import paragraph_removals
 from dispersa.llm.quality import quality_scores
 from dispersa.llm.sharding import op3_shards
 from dispersa.llm.simhash import near_duplicates
@@ -24,7 +27,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(documents(spark, sf_dir), digest=True)
+    found = remove_repeats(documents(spark, sf_dir), kept="sha256")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
@@ -44,6 +47,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -52,8 +63,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_removals(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffixes, op2_simhash, op3_rendezvous, op4_decontamination, op5_packing, op8_toxicity, op9_quality)}
+    registered = (
+        op1_suffixes, op2_simhash, op3_rendezvous, op4_decontamination, op5_packing,
+        op6_fingerprints, op7_language_model, op8_toxicity, op9_quality, op10_paragraphs,
+    )
+    return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:

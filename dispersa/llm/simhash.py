@@ -133,3 +133,21 @@ def near_duplicates(docs: DataFrame, k: int = 3, most: int = 2) -> DataFrame:
     heads = named.groupBy("c").agg(F.min("least").alias("component_id"))
     classes = named.join(heads, "c").select("_fp", "component_id")
     return rows.join(classes, rows.fp == classes._fp).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_each(docs: DataFrame, k: int = 3, most: int = 2) -> DataFrame:
+    """The documents, all columns, with one row of each group of near-duplicates: that of the least id, then text hash.
+
+    Ids and text hashes name rows, so rows of one id and different texts are told apart; of rows that are
+    alike in both, one stays. Null ids come first.
+    """
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.select(F.struct("doc_id", th.alias("th")).alias("doc_id"), "text")
+    rows = near_duplicates(named, k, most)
+    heads = materialise(rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.*").groupBy("doc_id", "th").agg(F.count("*").alias("n")))
+    keys = heads.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
+    out = docs.withColumn("_h", th)
+    out = out.join(keys, out.doc_id.eqNullSafe(keys._d) & (out._h == keys._t), "left_semi")
+    if not heads.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_h"])
+    return out.drop("_h")

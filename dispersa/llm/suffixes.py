@@ -371,10 +371,11 @@ def _crowded_spans(segments: DataFrame, span: int) -> DataFrame:
     return windows.join(many, ["h", "w"], "left_semi").select("doc_id", "th", "start", F.lit(span).alias("bytes"))
 
 
-def keyed_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, text): a hash of the text tells rows with one id apart."""
+def keyed_documents(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, th, text, ...): a hash of the text tells rows with one id apart. Carried columns come as one struct."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.hash(text).alias("th"), text.alias("text"))
+    more = [F.struct(*carry).alias("carried")] if carry else []
+    return docs.select("doc_id", F.hash(text).alias("th"), text.alias("text"), *more)
 
 
 def repeated_spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -400,43 +401,46 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     return spans
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, kept: str = "bytes", carry: Sequence[str] = ()) -> DataFrame:
     """Each document without the bytes that repeated strings of `span` bytes cover.
 
     Returns doc_id, n_bytes, n_removed, n_spans, removed (the maximal runs, as structs of start and length) and
-    the kept bytes, or with `digest` their sha256 in hex instead. Null and empty texts have nothing to
-    remove; equal rows lose all they share; strings never cross documents. Ids may be null.
+    what is kept: its "bytes", their "sha256" in hex, or the "text" without characters that a removal has cut; then
+    a struct `carried` of other columns, where some are named. Null and empty texts have nothing to remove; equal rows lose all they share; strings
+    never cross documents. Ids may be null.
     """
-    rows = keyed_documents(docs)
+    rows = keyed_documents(docs, carry)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    lists = repeated_spans(rows, span, gram).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("start", "bytes")).alias("s"))
-    joined = rows.join(lists, _same_key(rows, lists), "left").select("doc_id", "text", "s")
+    lists = repeated_spans(rows.select("doc_id", "th", "text"), span, gram).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
+    lists = lists.agg(F.collect_set(F.struct("start", "bytes")).alias("s"))
+    more = ["carried"] if carry else []
+    joined = rows.join(lists, _same_key(rows, lists), "left").select("doc_id", "text", "s", *more)
+    as_kept = {"bytes": bytes, "sha256": lambda k: hashlib.sha256(k).hexdigest(), "text": lambda k: k.decode("utf-8", "ignore")}[kept]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept", *more]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            removed, kept, size, gone = [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                runs: list[dict] = []
-                for s in sorted(spans or (), key=lambda s: s["start"]):
-                    end = s["start"] + s["bytes"]
-                    if runs and s["start"] <= runs[-1]["start"] + runs[-1]["length"]:
-                        runs[-1]["length"] = max(runs[-1]["length"], end - runs[-1]["start"])
-                    else:
-                        runs.append({"start": s["start"], "length": s["bytes"]})
-                out, at = [], 0
-                for r in runs:
-                    out.append(raw[at : r["start"]])
-                    at = r["start"] + r["length"]
-                rest = b"".join([*out, raw[at:]])
-                removed.append(runs)
-                size.append(len(raw))
-                gone.append(len(raw) - len(rest))
-                kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
+            found = [_without(text.as_buffer().to_pybytes(), spans) for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            long = lambda x: pa.array(x, pa.int64())
+            runs = pa.array([[{"start": a, "length": b - a} for a, b in r] for r, _, _ in found], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))
+            left = pa.array([as_kept(k) for *_, k in found], pa.binary() if kept == "bytes" else pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in removed], pa.int64()),
-                 pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array(kept, pa.string() if digest else pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"],
-            )
+                [batch.column(0), long([n for _, n, _ in found]), long([n - len(k) for _, n, k in found]), long([len(r) for r, _, _ in found]), runs, left, *batch.columns[3:]], names
+            )
+
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, removed array<struct<start:int,length:int>>, kept {'binary' if kept == 'bytes' else 'string'}"
+    if carry:
+        schema += f", carried {rows.schema['carried'].dataType.simpleString()}"
+    return joined.mapInArrow(batches, schema)
 
-    return joined.mapInArrow(batches, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, removed array<struct<start:int,length:int>>, kept {'string' if digest else 'binary'}")
+
+def _without(raw: bytes, spans: Sequence[dict] | None) -> tuple[list[tuple[int, int]], int, bytes]:
+    """Maximal runs that the spans cover, the size of the text, and the rest of it."""
+    runs: list[tuple[int, int]] = []
+    for low, high in sorted((s["start"], s["start"] + s["bytes"]) for s in spans or ()):
+        if runs and low <= runs[-1][1]:
+            runs[-1] = runs[-1][0], max(runs[-1][1], high)
+        else:
+            runs.append((low, high))
+    edges = [0, *(x for r in runs for x in r), len(raw)]
+    return runs, len(raw), b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
