@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispersa.session import read_table
-
-FLAGSHIP = "unit_totals"
+FLAGSHIP = "q1_unit_totals"
+MODULES = ("count_queries", "test_queries", "table_queries")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -27,28 +27,21 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of a sum doesn't show."""
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"dispersa.plans.{m}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLE)
-
-
-@register(
-    FLAGSHIP,
-    """SELECT o_custkey AS unit, count(*) AS lib, count(DISTINCT p_brand) AS det
-       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-       GROUP BY o_custkey""",
-)
-def unit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    counts = (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(part, lines.l_partkey == part.p_partkey)
-        .groupBy(F.col("o_custkey").alias("unit"), F.col("p_brand").alias("feature"))
-        .agg(F.count("*").alias("y"))
-    )
-    return counts.groupBy("unit").agg(F.sum("y").alias("lib"), F.count("*").alias("det"))
