@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dispersa.llm.common import materialise
+
 WINDOW = 5
 #: Windows of the benchmark up to which their hashes go to every task, 8 bytes each; beyond, documents' windows are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
@@ -158,7 +160,8 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) ->
     if items.count() <= BROADCAST_WINDOWS:
         got = keys.toArrow().column(0).to_numpy().view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(got) if len(got) else np.zeros(1, np.uint64))
-    found = _windows(docs, "doc_id", wanted, k).selectExpr("id AS doc_id", "pos", "h", "slots")
+    # two branches read the windows that were found, so they are written once
+    found = materialise(_windows(docs, "doc_id", wanted, k).selectExpr("id AS doc_id", "pos", "h", "slots"))
     hits = found.join(items, found.h == items.item_h)
     cover = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("matched"), F.first("total").alias("windows"), F.min("pos").alias("first_pos"))
     pairs = hits.where(F.size("slots") > 0).select("doc_id", "item_id", "pos", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
