@@ -106,7 +106,7 @@ def pack_histogram(histogram: dict[int, int], limit: int = 4096) -> list[tuple[t
     Lengths are placed longest first. A length goes to the packs with the least content, as far as it fits;
     what is left opens packs of its own. Packs with equal content patterns are one entry with a
     count, so the work follows the number of lengths, never that of pieces: each step uses up a length or
-    a pattern, and splits at most one pattern.
+    fills all packs of a pattern by one length, and splits at most one pattern.
     """
     by_room: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # room left -> patterns
     for size in sorted(histogram, reverse=True):
@@ -121,13 +121,11 @@ def pack_histogram(histogram: dict[int, int], limit: int = 4096) -> list[tuple[t
             pattern, count = by_room[room].pop()
             if not by_room[room]:
                 del by_room[room]
-            # as many of this length as a pack of the pattern takes, while there are pieces for all of them
             take = min(count, left)
-            per = max(1, min(room // size, left // take)) if take == count else 1
             if take < count:
                 by_room[room].append((pattern, count - take))
-            by_room[room - per * size].append((pattern + (size,) * per, take))
-            left -= take * per
+            by_room[room - size].append((pattern + (size,), take))
+            left -= take
     return [x for group in by_room.values() for x in group]
 
 
