@@ -73,3 +73,53 @@ def unknown_bases(chromosomes: DataFrame) -> DataFrame:
     seq = F.upper("seq")
     clean = F.regexp_replace(seq, "[^ACGTN]", "N")
     return chromosomes.select("seqid", clean.alias("seq"), F.length(F.regexp_replace(seq, "[ACGTN]", "")).alias("replaced"))
+
+
+def divergence(a: DataFrame, b: DataFrame, key: str, values: list[str], flip: list[str] = ()) -> DataFrame:
+    """(key, <value>_delta): differences of two score tables, with the sign turned for some."""
+    both = a.select(key, *[F.col(v).alias(f"_a_{v}") for v in values]).join(b.select(key, *[F.col(v).alias(f"_b_{v}") for v in values]), key)
+    return both.select(key, *[((F.col(f"_b_{v}") - F.col(f"_a_{v}")) if v in flip else (F.col(f"_a_{v}") - F.col(f"_b_{v}"))).alias(f"{v}_delta") for v in values])
+
+
+def partial_association(df: DataFrame, y: str, x: str, z: str) -> DataFrame:
+    """(n, estimate, r2_partial): slope of x in log(y) ~ x + log(z), and what x adds to R^2; from one set of sums."""
+    ok = df.where((F.col(y) > 0) & (F.col(z) > 0) & F.col(x).isNotNull() & ~F.isnan(x)).select(F.ln(y).alias("y"), F.col(x).cast("double").alias("x"), F.ln(z).alias("z"))
+    s = ok.agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(a + b) for a, b in ("xx", "zz", "yy", "xz", "xy", "zy")])
+    det = F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz")
+    bx, bz = (F.col("zz") * F.col("xy") - F.col("xz") * F.col("zy")) / det, (F.col("xx") * F.col("zy") - F.col("xz") * F.col("xy")) / det
+    full, less = (bx * F.col("xy") + bz * F.col("zy")) / F.col("yy"), F.col("zy") * F.col("zy") / (F.col("zz") * F.col("yy"))
+    return s.select("n", bx.alias("estimate"), (full - less).alias("r2_partial"))
+
+
+def sign_concordance(df: DataFrame, delta: str, est: str, predicted: int) -> DataFrame:
+    """(n, concordant, share, p): how often sign(delta) is the predicted sign times sign(est), and the upper binomial tail at one half."""
+    ok = df.where(F.col(delta).isNotNull() & F.col(est).isNotNull() & (F.col(delta) != 0) & (F.col(est) != 0))
+    s = ok.agg(F.count("*").alias("n"), F.count_if(F.signum(delta) == predicted * F.signum(est)).alias("concordant"))
+    from dispersa.operators.classes import log_factorials
+
+    n = s.first()["n"]
+    lf = log_factorials(df.sparkSession, n)
+    each = s.withColumn("k", F.explode(F.sequence("concordant", "n")))
+    each = each.join(lf.select(F.col("n").alias("k"), F.col("v").alias("fk")), "k").withColumn("_r", F.col("n") - F.col("k")).join(lf.select(F.col("n").alias("_r"), F.col("v").alias("fr")), "_r")
+    each = each.join(lf.select("n", F.col("v").alias("fn")), "n")
+    p = F.sum(F.exp(F.col("fn") - F.col("fk") - F.col("fr") - F.col("n") * F.ln(F.lit(2.0))))
+    return each.groupBy("n", "concordant").agg(p.alias("p")).select("n", "concordant", F.try_divide(F.col("concordant"), F.col("n")).alias("share"), F.least(F.lit(1.0), "p").alias("p"))
+
+
+def concordance_bins(df: DataFrame, delta: str, est: str, predicted: int, bins: int, tiebreak: str) -> DataFrame:
+    """(bin, n, concordant, mag_mean, share, ci_lo, ci_hi) in equal-count bins of |delta|, with normal 95 % limits."""
+    from dispersa.operators.states import equal_bins
+
+    ok = df.where(F.col(delta).isNotNull() & F.col(est).isNotNull() & (F.col(delta) != 0) & (F.col(est) != 0))
+    ok = ok.withColumn("_m", F.abs(delta)).withColumn("_ok", F.signum(delta) == predicted * F.signum(est))
+    per = equal_bins(ok, "_m", bins, tiebreak).groupBy("bin").agg(F.count("*").alias("n"), F.count_if("_ok").alias("concordant"), F.avg("_m").alias("mag_mean"))
+    share = F.col("concordant") / F.col("n")
+    se = F.sqrt(share * (1 - share) / F.col("n"))
+    return per.select("bin", "n", "concordant", "mag_mean", share.alias("share"), F.greatest(F.lit(0.0), share - 1.96 * se).alias("ci_lo"), F.least(F.lit(1.0), share + 1.96 * se).alias("ci_hi"))
+
+
+def top_candidates(df: DataFrame, delta: str, group: str, members: list[str], quantile: float = 0.9) -> DataFrame:
+    """Rows of the member groups whose |delta| is at least its quantile among them."""
+    rows = df.where(F.col(group).isin(members) & F.col(delta).isNotNull())
+    cut = rows.agg(F.percentile(F.abs(delta), quantile).alias("_q"))
+    return rows.join(F.broadcast(cut)).where(F.abs(delta) >= F.col("_q")).drop("_q")

@@ -93,3 +93,67 @@ def module_scores(values: DataFrame, members: DataFrame, bins: int = 24, control
     marks = own.select("feature", F.lit(True).alias("own")).union(chosen.select("feature", F.lit(False)))
     per = values.join(F.broadcast(marks), "feature").groupBy("unit").agg(F.avg(F.when(F.col("own"), F.col("x"))).alias("a"), F.avg(F.when(~F.col("own"), F.col("x"))).alias("b"))
     return per.select("unit", (F.col("a") - F.coalesce("b", F.lit(0.0))).alias("score"))
+
+
+def normalised(counts: DataFrame, scale: float = 10_000.0) -> DataFrame:
+    """(dataset, unit, feature, x): log1p of counts per `scale` of the unit's library."""
+    lib = counts.groupBy("dataset", "unit").agg(F.sum("y").alias("_l"))
+    return counts.join(lib, ["dataset", "unit"]).select("dataset", "unit", "feature", F.log1p(F.col("y") / F.col("_l") * scale).alias("x"))
+
+
+def principal_axis(df: DataFrame, a: str, b: str) -> DataFrame:
+    """df with `axis`: first component of two scaled columns, which is their sum or difference over root two by the sign of their correlation."""
+    s = df.agg(F.avg(a).alias("_ma"), F.stddev_samp(a).alias("_sa"), F.avg(b).alias("_mb"), F.stddev_samp(b).alias("_sb"), F.corr(a, b).alias("_r"))
+    za, zb = (F.col(a) - F.col("_ma")) / F.col("_sa"), (F.col(b) - F.col("_mb")) / F.col("_sb")
+    return df.join(F.broadcast(s)).withColumn("axis", (za + F.signum("_r") * zb) / F.sqrt(F.lit(2.0))).drop("_ma", "_sa", "_mb", "_sb", "_r")
+
+
+def best_partition(df: DataFrame, vector: str, ks: list[int], least: int, tolerance: float = 0.0, seed: int = 1) -> tuple[DataFrame, int]:
+    """(df with `cluster`, k): KMeans over several k by silhouette; the least k within `tolerance` of the best whose clusters all have `least` rows."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    found = []
+    for k in ks:
+        model = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="cluster").fit(df)
+        out = model.transform(df)
+        if out.groupBy("cluster").count().agg(F.min("count")).first()[0] >= least:
+            found.append((ClusteringEvaluator(featuresCol=vector, predictionCol="cluster").evaluate(out), k, out))
+    if not found:
+        raise ValueError("no setting has clusters of the least size")
+    top = max(s for s, _, _ in found)
+    _, k, out = min((x for x in found if x[0] >= top - tolerance), key=lambda x: x[1])
+    return out, k
+
+
+def composition(df: DataFrame, group: str, cluster: str) -> DataFrame:
+    """(group, cluster, n, share): rows of each cluster within a group."""
+    n = df.groupBy(group, cluster).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
+
+
+def marker_tests(values: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, feature, lfc, z): each cluster against the rest, by rank sums over stored values with all zeros as one tied block.
+
+    values (unit, feature, x > 0) leave zeros out; clusters (unit, cluster). lfc: log2 of mean expm1 + 1 between the two sides.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n1"))
+    total = clusters.agg(F.count("*").alias("n"))
+    rows = values.join(clusters, "unit")
+    per = rows.groupBy("feature", "x").agg(F.count("*").alias("c"))
+    below = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("feature")
+    per = per.withColumn("_nz", F.sum("c").over(whole)).withColumn("_b", F.coalesce(F.sum("c").over(below), F.lit(0))).join(F.broadcast(total))
+    zeros = F.col("n") - F.col("_nz")
+    per = per.withColumn("r", zeros + F.col("_b") + (F.col("c") + 1) / 2).withColumn("t", F.pow("c", F.lit(3)) - F.col("c"))
+    ties = per.groupBy("feature").agg((F.sum("t") + F.first(F.pow(zeros, F.lit(3)) - zeros)).alias("ties"), F.first(zeros).alias("zeros"))
+    own = rows.join(per.select("feature", "x", "r"), ["feature", "x"]).groupBy("feature", "cluster").agg(F.sum("r").alias("w"), F.count("*").alias("nz1"), F.sum(F.expm1("x")).alias("s1"))
+    all_s = rows.groupBy("feature").agg(F.sum(F.expm1("x")).alias("s"))
+    grid = all_s.join(F.broadcast(sizes)).join(own, ["feature", "cluster"], "left").na.fill(0, ["w", "nz1", "s1"]).join(ties, "feature").join(F.broadcast(total))
+    n1, n2 = F.col("n1"), F.col("n") - F.col("n1")
+    w = F.col("w") + (n1 - F.col("nz1")) * (F.col("zeros") + 1) / 2
+    away = w - n1 * (n1 + 1) / 2 - n1 * n2 / 2
+    n = F.col("n").cast("double")
+    sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    lfc = F.log2(F.col("s1") / n1 + 1) - F.log2((F.col("s") - F.col("s1")) / n2 + 1)
+    return grid.select("cluster", "feature", lfc.alias("lfc"), F.try_divide(away - F.signum(away) * 0.5, sd).alias("z"))
