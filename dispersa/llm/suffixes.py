@@ -15,8 +15,9 @@ from dispersa.llm.common import drop_table, materialise, pieces, text_buffer
 
 SPAN = 200
 GRAM = 64
-#: Groups of more different segments than this are decided window by window instead.
-GROUP = 512
+#: Different segments that a task holds together for one suffix array; larger groups are cut by BLOCK windows, then by single ones.
+GROUP = 1024
+BLOCK = 16
 _BITS = 21  # of a place within a piece; a piece has at most 2**_BITS bytes
 _ODD = 0x9E3779B97F4A7C15 | 1
 
@@ -344,31 +345,74 @@ def _group_spans(segments: DataFrame, span: int) -> DataFrame:
     return segments.repartition("h").sortWithinPartitions("h", "doc_id", "th", "start").mapInArrow(batches, SPANS.format(id=kind))
 
 
-def _crowded_spans(segments: DataFrame, span: int) -> DataFrame:
-    """The same for grams with many different segments: their windows are counted by hash, without any group in one task."""
+PART = "doc_id {id}, th int, h long, copies long, r long, start int, n int, off int, body binary"
+
+
+def _cut_segments(segments: DataFrame, span: int, width: int) -> DataFrame:
+    """The segments cut into parts of up to `width` windows, grouped more finely than by their gram.
+
+    Parts lie at fixed distances from the anchor. All windows of a part have most of their bytes in common, their core;
+    windows of parts with different cores differ, so the core's hash is the part's group. With one window a part,
+    the core is the window itself. `r` is the hash of all bytes of the part.
+    """
     kind = segments.schema["doc_id"].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = _Rolling()
         for batch in it:
-            body = batch.column(8)
-            sizes = np.asarray(pa.compute.binary_length(body)).astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            sums = rolling.sums(np.frombuffer(b"".join(body.to_pylist()), np.uint8))
-            n = np.asarray(batch.column(6)).astype(np.int64)
-            of = np.repeat(np.arange(len(n)), n)
-            step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            low = offsets[of] + step
-            wh = rolling.of(sums, low, low + span)
+            body = batch.column("body").to_pylist()
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in body])]).astype(np.int64)
+            data = b"".join(body)
+            sums = rolling.sums(np.frombuffer(data, np.uint8))
+            n, off, start = (np.asarray(batch.column(k)).astype(np.int64) for k in ("n", "off", "start"))
+            # windows 0..n - 1 of a segment are off, off - 1, ... bytes before the anchor
+            near, far = (off - n + 1) // width, off // width
+            count = far - near + 1
+            of = np.repeat(np.arange(len(n)), count)
+            part = np.repeat(far, count) - (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+            first = np.maximum(off[of] - ((part + 1) * width - 1), 0)
+            last = np.minimum(off[of] - part * width, n[of] - 1)
+            at = offsets[of] + off[of]  # place of the anchor
+            core = rolling.of(sums, at - part * width, at - (part + 1) * width + 1 + span, part)
+            low, high = offsets[of] + first, offsets[of] + last + span
+            whole = rolling.of(sums, low, high, high - low)
+            h = core ^ (np.asarray(batch.column("h")).view(np.uint64)[of] * np.uint64(_ODD))
             take = pa.array(of)
+            int32 = lambda x: pa.array(x.astype(np.int32))
+            bodies = pa.array([data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)] if width > 1 else [b""] * len(of), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(wh.view(np.int64)), pa.array((np.asarray(batch.column(5))[of] + step).astype(np.int32))],
-                ["doc_id", "th", "h", "w", "start"],
-            )
+                [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(h.view(np.int64)), batch.column("copies").take(take), pa.array(whole.view(np.int64)),
+                 int32(start[of] + first), int32(last - first + 1), int32(off[of] - first), bodies],
+                ["doc_id", "th", "h", "copies", "r", "start", "n", "off", "body"],
+            )
 
-    windows = segments.mapInArrow(batches, f"doc_id {kind}, th int, h long, w long, start int")
-    many = windows.groupBy("h", "w").agg(F.count("*").alias("c")).where("c > 1").select("h", "w")
-    return windows.join(many, ["h", "w"], "left_semi").select("doc_id", "th", "start", F.lit(span).alias("bytes"))
+    return segments.mapInArrow(batches, PART.format(id=kind))
+
+
+def _crowded_spans(segments: DataFrame, span: int) -> DataFrame:
+    """Repeated spans of segments whose gram has too many different ones for a task.
+
+    Cut into parts of BLOCK windows, most meet few others, and a suffix array decides as before; what is still
+    crowded is cut into single windows and counted.
+    """
+    parts = materialise(_cut_segments(segments, span, BLOCK))
+    known = parts.groupBy("h", "r").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n", "off", "body")).alias("one"))
+    known = materialise(known)
+    spans = _whole(parts, known, span)
+    kinds = known.groupBy("h").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 AND fewest = 1")
+    rest = materialise(known.join(kinds, "h").select("one.doc_id", "one.th", "h", "copies", (F.col("kinds") > GROUP).alias("crowded"), "one.start", "one.n", "one.off", "one.body"))
+    spans = spans.union(_group_spans(rest.where("NOT crowded"), span))
+    still = rest.where("crowded")
+    if still.isEmpty():
+        return spans
+    windows = materialise(_cut_segments(still, span, 1).drop("body"))
+    return spans.union(_whole(windows, windows.groupBy("h", "r").agg(F.sum("copies").alias("copies")), span))
+
+
+def _whole(parts: DataFrame, known: DataFrame, span: int) -> DataFrame:
+    """Spans of the parts with one copy whose bytes another part has."""
+    twice = known.where("copies > 1").select("h", "r")
+    return parts.where("copies = 1").join(twice, ["h", "r"], "left_semi").select("doc_id", "th", "start", (F.col("n") - 1 + span).alias("bytes"))
 
 
 def keyed_documents(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -385,10 +429,11 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
        for 70 bytes. Grams that occur once can't be in a repeated string.
     2. Segments that occur twice are repeated as a whole.
     3. Where a gram has several different segments, one of each comes together with the others, with its
-       bytes: up to GROUP of them in a task, where a suffix array decides; more are counted window by window.
+       bytes: up to GROUP of them in a task, where a suffix array decides; more are cut first (_crowded_spans).
     """
     anchors = materialise(_anchors(rows, span, gram))
-    twice = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # a table of its own, so that a gram that very many documents share can be split in the join
+    twice = materialise(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     shared = materialise(anchors.join(twice, "h", "left_semi"))
     drop_table(anchors)
     known = materialise(shared.groupBy("h", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n", "off")).alias("one")))
@@ -397,8 +442,9 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     mixed = known.groupBy("h").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 AND fewest = 1")
     wanted = known.join(mixed, "h").select("h", "copies", (F.col("kinds") > GROUP).alias("crowded"), "one.*")
     segments = materialise(_segment_bytes(rows, wanted, span))
-    spans = whole.union(_group_spans(segments.where("NOT crowded"), span)).union(_crowded_spans(segments.where("crowded"), span))
-    return spans
+    spans = whole.union(_group_spans(segments.where("NOT crowded"), span))
+    crowded = segments.where("crowded")
+    return spans if crowded.isEmpty() else spans.union(_crowded_spans(crowded, span))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, kept: str = "bytes", carry: Sequence[str] = ()) -> DataFrame:
