@@ -19,12 +19,14 @@ from dispersa.llm.common import materialise, pieces, remainder, text_buffer
 #: Weight of the unigram level against a context's count.
 KAPPA = 1000.0
 #: Documents are worked on in blocks of about this many bytes, and shards hold about this many tokens' nodes.
-BLOCK_BYTES, SHARD_TOKENS = 12 << 20, 2_000_000
+BLOCK_BYTES, SHARD_TOKENS = 8 << 20, 700_000
+#: Words whose contexts are spread over shards: the SPREAD_WORDS most frequent, as far as they have SHARD_TOKENS / SPREAD_SHARE tokens.
+SPREAD_WORDS, SPREAD_SHARE = 65_536, 16
 #: Codes a decade of probability, in 16 bits.
 STEPS = 4000
-_TAG_BITS = 40
+_TAG_BITS = 32
 _TAG = np.uint64((1 << _TAG_BITS) - 1)
-#: Context of the unigram entries, and of a text's first word; hashes of words never matter against these two.
+#: Context of the unigram entries, and of a text's first word; tags of words begin after these two.
 ROOT, START = 0, 1
 END = xxhash.xxh64_intdigest(b" end ", 11)
 
@@ -114,7 +116,7 @@ class EliasFano:
 class Trie:
     """Words (level 1) and the words before them (level 2), with quantised probabilities.
 
-    Level 1 is the sorted word hashes with pointers to their children; children are 40-bit tags of the context word,
+    Level 1 is the sorted word hashes with pointers to their children; children are 32-bit tags of the context word,
     made monotone over the level by adding each parent's base, so one sequence serves all parents and a
     search for a tag plus its parent's base is relative to that context.
     """
@@ -195,7 +197,7 @@ def token_blocks(docs: DataFrame, modulus: int, held: int) -> DataFrame:
 class _Block:
     """A block's distinct queries (word, context), in an order that its blobs and its answers share."""
 
-    def __init__(self, tokens: bytes, words: bytes, counts: bytes, sizes: np.ndarray, held: np.ndarray, shards: int):
+    def __init__(self, tokens: bytes, words: bytes, counts: bytes, sizes: np.ndarray, held: np.ndarray, shards: int, hot: np.ndarray):
         flat = np.frombuffer(zlib.decompress(tokens), np.uint8)
         self.tokens = np.ascontiguousarray(flat.reshape(4, -1).T).view(np.int32).ravel()
         self.words = np.frombuffer(words, np.uint64)
@@ -212,10 +214,11 @@ class _Block:
         # unigram entries first: one of each word, under the root context
         w = np.concatenate([np.arange(v), pairs // (v + 1)])
         c = np.concatenate([np.full(v, -1), pairs % (v + 1)])
-        tag = np.concatenate([self.words & _TAG, [np.uint64(START), np.uint64(ROOT)]])[np.where(c < 0, v + 1, c)]
+        tag = np.concatenate([np.maximum(self.words & _TAG, np.uint64(2)), [np.uint64(START), np.uint64(ROOT)]])[np.where(c < 0, v + 1, c)]
         n = np.concatenate([self.counts, n])
-        spread = max(1, shards // 8)
-        shard = ((self.words[w] >> np.uint64(7)) % np.uint64(shards) + (tag % np.uint64(spread)) * np.uint64(7)) % np.uint64(shards)
+        wide = np.isin(self.words, hot)
+        aside = np.where(wide[w], tag % np.uint64(max(1, shards // 8)) * np.uint64(7), np.uint64(0))
+        shard = ((self.words[w] >> np.uint64(7)) + aside) % np.uint64(shards)
         self.order = np.lexsort((tag, self.words[w], shard))
         self.shard, self.w, self.tag, self.n = shard[self.order], w[self.order], tag[self.order], n[self.order]
         place = np.empty(len(w), np.int64)
@@ -223,21 +226,20 @@ class _Block:
         self.root, self.pair = place[:v], place[v:][inverse]
 
 
-def _blobs(blocks: DataFrame, shards: int) -> DataFrame:
+def _blobs(blocks: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
     """(shard, block, body): each shard's queries of each block, sorted by word and context, with training counts."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for r in batch.to_pylist():
-                b = _Block(r["tokens"], r["words"], r["counts"], np.array(r["sizes"]), np.array(r["held"], bool), shards)
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                b = _Block(r["tokens"], r["words"], r["counts"], np.array(r["sizes"]), np.array(r["held"], bool), shards, hot)
                 edge = np.flatnonzero(np.diff(b.shard.astype(np.int64), prepend=-1, append=-1))
                 for low, high in zip(edge, edge[1:], strict=False):
                     new = np.flatnonzero(np.diff(b.w[low:high], prepend=-1))
                     tag = b.tag[low:high]
-                    body = (
-                        np.array([len(new), high - low], np.int64).tobytes() + b.words[b.w[low:high][new]].tobytes() + np.diff(new, append=high - low).astype(np.int32).tobytes()
-                        + (tag & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (tag >> np.uint64(32)).astype(np.uint8).tobytes() + zlib.compress(b.n[low:high].astype(np.int32).tobytes(), 1)
-                    )
+                    fans = zlib.compress(np.diff(new, append=high - low).astype(np.int32).tobytes(), 1)
+                    head = np.array([len(new), high - low, len(fans)], np.int64).tobytes()
+                    body = head + b.words[b.w[low:high][new]].tobytes() + b.tag[low:high].astype(np.uint32).tobytes() + fans + zlib.compress(b.n[low:high].astype(np.int32).tobytes(), 1)
                     yield pa.RecordBatch.from_arrays([pa.array([int(b.shard[low])], pa.int32()), pa.array([r["block"]]), pa.array([body])], ["shard", "block", "body"])
 
     wanted = blocks.select("block", "sizes", "held", "tokens", "words", "counts")
@@ -245,13 +247,12 @@ def _blobs(blocks: DataFrame, shards: int) -> DataFrame:
 
 
 def _open_blob(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    k, n = np.frombuffer(body, np.int64, 2).tolist()
-    words = np.frombuffer(body, np.uint64, k, 16)
-    fan = np.frombuffer(body, np.int32, k, 16 + 8 * k)
-    low = np.frombuffer(body, np.uint32, n, 16 + 12 * k)
-    high = np.frombuffer(body, np.uint8, n, 16 + 12 * k + 4 * n)
-    counts = np.frombuffer(zlib.decompress(body[16 + 12 * k + 5 * n :]), np.int32)
-    return words, fan, low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), counts
+    k, n, f = np.frombuffer(body, np.int64, 3).tolist()
+    words = np.frombuffer(body, np.uint64, k, 24)
+    tags = np.frombuffer(body, np.uint32, n, 24 + 8 * k).astype(np.uint64)
+    rest = 24 + 8 * k + 4 * n
+    fan = np.frombuffer(zlib.decompress(body[rest : rest + f]), np.int32)
+    return words, fan, tags, np.frombuffer(zlib.decompress(body[rest + f :]), np.int32)
 
 
 def _answer(bodies: list[bytes], total: int, distinct: int) -> list[bytes]:
@@ -294,7 +295,8 @@ def _answers(blobs: DataFrame, total: int, distinct: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([shard] * len(blocks), pa.int32()), pa.array(got, pa.binary())], ["block", "shard", "answer"])
 
         for batch in it:
-            for s, block, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for s, block, body in zip(*batch.columns, strict=True):
+                s, block, body = s.as_py(), block.as_py(), body.as_py()
                 if s != shard and bodies:
                     yield made()
                     blocks, bodies = [], []
@@ -309,16 +311,16 @@ def _answers(blobs: DataFrame, total: int, distinct: int) -> DataFrame:
 SCORE = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scores(blocks: DataFrame, answers: DataFrame, shards: int, total: int, distinct: int, texts: int, kind: str) -> DataFrame:
+def _scores(blocks: DataFrame, answers: DataFrame, shards: int, hot: np.ndarray, total: int, distinct: int, texts: int, kind: str) -> DataFrame:
     lists = answers.groupBy(F.col("block").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("shard", "answer"))).alias("a"))
     joined = blocks.join(lists, blocks.block == lists._b).drop("_b")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unseen = np.log10(0.5 / (total + 0.5 * (distinct + 1)))
         for batch in it:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 sizes, held = np.array(r["sizes"]), np.array(r["held"], bool)
-                b = _Block(r["tokens"], r["words"], r["counts"], sizes, held, shards)
+                b = _Block(r["tokens"], r["words"], r["counts"], sizes, held, shards, hot)
                 codes, exact = [], []
                 for a in r["a"]:
                     body = a["answer"]
@@ -355,7 +357,7 @@ def language_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFra
 
     Documents become blocks of numbered tokens, written once to the shared folder. A block's distinct (word, context)
     pairs with their training counts go to shards by their hash; the number of shards follows the tokens, and the
-    contexts of a frequent word are spread over shards. Each shard adds up its counts, builds its trie and answers the
+    contexts of the most frequent words are spread over shards. Each shard adds up its counts, builds its trie and answers the
     blocks' queries; answers go back to the blocks. No model, vocabulary or count table is ever in one place.
     Null and empty texts have the end token only. Repeated rows each count and are each returned.
     """
@@ -370,11 +372,14 @@ def language_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFra
     def seen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for words, counts in zip(batch.column(0), batch.column(1), strict=True):
-                h = np.frombuffer(words.as_py(), np.int64)[np.frombuffer(zlib.decompress(counts.as_py()), np.int32) > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
+                c = np.frombuffer(zlib.decompress(counts.as_py()), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words.as_py(), np.int64)[c > 0]), pa.array(c[c > 0])], ["h", "c"])
 
-    distinct = blocks.select("words", "counts").mapInArrow(seen, "h long").distinct().count()
+    vocabulary = materialise(blocks.select("words", "counts").mapInArrow(seen, "h long, c int").groupBy("h").agg(F.sum("c").alias("c")))
+    distinct = vocabulary.count()
+    frequent = vocabulary.where(F.col("c") * SPREAD_SHARE > SHARD_TOKENS).orderBy(F.desc("c"), "h").limit(SPREAD_WORDS).select("h")
+    hot = np.array([r[0] for r in frequent.collect()], np.int64).view(np.uint64)  # at most SPREAD_WORDS
     total = int(total or 0)
-    answers = materialise(_answers(_blobs(blocks, shards), total, distinct))
-    out = _scores(blocks, answers, shards, total, distinct, int(trained_texts or 0), kind)
+    answers = materialise(_answers(_blobs(blocks, shards, hot), total, distinct))
+    out = _scores(blocks, answers, shards, hot, total, distinct, int(trained_texts or 0), kind)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
