@@ -12,10 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are cut into pieces of about this many text bytes before numpy works on them.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+
+
+#: Rows and bytes of an Arrow batch of documents, which bound what a Python worker holds at a time.
+BATCH_ROWS, BATCH_BYTES = 2500, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of documents fit two workers beside an executor's heap; the queries and the pipeline ask for it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, for a query or the pipeline."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -129,7 +129,7 @@ def _ranges(docs: DataFrame, rows: int) -> list[int]:
     return sorted(set(got or []))
 
 
-def with_next(docs: DataFrame, rows: int = 20_000) -> DataFrame:
+def with_next(docs: DataFrame, rows: int = 5_000) -> DataFrame:
     """(_b, _ghost, doc_id, text), dealt out so that the rows of a range of ids follow each other, ids descending.
 
     Each range ends with a ghost: the first row of the next lower range that has rows, or of the highest after the

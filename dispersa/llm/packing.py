@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dispersa.llm.common import materialise
 
 #: A word of more bytes than WORD_BYTES isn't kept in a worker's table of encoded words; the table holds twice WORDS at most.
-WORD_BYTES, WORDS = 48, 350_000
+WORD_BYTES, WORDS = 48, 150_000
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
