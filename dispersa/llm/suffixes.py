@@ -395,7 +395,7 @@ def _crowded_spans(segments: DataFrame, span: int) -> DataFrame:
     Cut into parts of BLOCK windows, most meet few others, and a suffix array decides as before; what is still
     crowded is cut into single windows and counted.
     """
-    parts = materialise(_cut_segments(segments, span, BLOCK))
+    parts = materialise(_cut_segments(segments, span, max(1, min(BLOCK, span // 4))))  # a core needs bytes
     known = parts.groupBy("h", "r").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n", "off", "body")).alias("one"))
     known = materialise(known)
     spans = _whole(parts, known, span)
