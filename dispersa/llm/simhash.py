@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dispersa.llm.common import components, materialise
+from dispersa.llm.common import components, drop_table, materialise
+from dispersa.llm.paragraphs import SHINGLE, SIMILARITY, Words, _factors, _mix, close_links, shingles, tune_bands
 
 SEED = 42
 #: Reference fingerprints: an origin, one per bit of it flipped (they tell blocks apart), and spread ones.
@@ -141,13 +142,113 @@ def keep_one_each(docs: DataFrame, k: int = 3, most: int = 2) -> DataFrame:
     Ids and text hashes name rows, so rows of one id and different texts are told apart; of rows that are
     alike in both, one stays. Null ids come first.
     """
-    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    th = _text_hash()
     named = docs.select(F.struct("doc_id", th.alias("th")).alias("doc_id"), "text")
     rows = near_duplicates(named, k, most)
     heads = materialise(rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.*").groupBy("doc_id", "th").agg(F.count("*").alias("n")))
+    return _only(docs, heads)
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _only(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The documents that heads (doc_id, th, n: rows alike in both) name, once each."""
     keys = heads.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
-    out = docs.withColumn("_h", th)
+    out = docs.withColumn("_h", _text_hash())
     out = out.join(keys, out.doc_id.eqNullSafe(keys._d) & (out._h == keys._t), "left_semi")
     if not heads.where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "_h"])
     return out.drop("_h")
+
+
+def _text_key(h: np.ndarray) -> int:
+    """Hash of a text's words in their order."""
+    place = _mix(np.arange(7, len(h) + 7, dtype=np.uint64)) | np.uint64(1)
+    return int(_mix((_mix(h) * place).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h))).view(np.int64)[0])
+
+
+def _profiles(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, th, ph, keys): hash of the words, and the keys under which similar texts meet; no keys under k words.
+
+    Keys are the bands of minima of the shingles, and each two of the four blocks of their SimHash fingerprint.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    two = list(combinations(BLOCKS, 2))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        salt, factor = (x[:, None] for x in _factors(bands * rows))
+        for batch in it:
+            ph, keys = [], []
+            for text in batch.column(2):
+                h = words((text.as_py() or "").encode("utf-8", "replace").lower().split())
+                ph.append(_text_key(h))
+                if len(h) < k:
+                    keys.append(np.zeros(0, np.int64))
+                    continue
+                grams = np.unique(shingles(h, k))
+                least, ones = np.full(bands * rows, ~np.uint64(0)), np.zeros(64, np.int64)
+                for low in range(0, len(grams), 1 << 12):
+                    part = grams[low : low + (1 << 12)]
+                    least = np.minimum(least, ((part ^ salt) * factor).min(axis=1))
+                    ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                fp = int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.uint64)[0])
+                blocks = [(fp >> a & 0xFFFF) << 16 | fp >> b & 0xFFFF for (a, _), (b, _) in two]
+                key = np.zeros(bands + len(two), np.uint64)
+                for r in range(rows):
+                    key[:bands] = _mix(key[:bands] * np.uint64(ORIGIN | 1) + _mix(least.reshape(bands, rows)[:, r]))
+                key[bands:] = _mix(np.array(blocks, np.uint64) + np.uint64(1))
+                keys.append((key * np.uint64(len(key)) + np.arange(len(key), dtype=np.uint64)).view(np.int64))
+            listed = pa.array(keys, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ph, pa.int64()), listed], ["doc_id", "th", "ph", "keys"])
+
+    return docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(batches, f"doc_id {kind}, th long, ph long, keys array<long>")
+
+
+def _text_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(ph, s): distinct shingle hashes of the wanted texts (doc_id, th), one row for each hash of words."""
+    named = docs.select("doc_id", _text_hash().alias("th"), "text")
+    joined = named.join(wanted.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left_semi")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in it:
+            ph, sets = [], []
+            for text in batch.column(0):
+                h = words((text.as_py() or "").encode("utf-8", "replace").lower().split())
+                ph.append(_text_key(h))
+                sets.append(np.unique(shingles(h, k)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ph, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["ph", "s"])
+
+    return joined.select("text").mapInArrow(batches, "ph long, s array<long>").dropDuplicates(["ph"])
+
+
+def keep_one_similar(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, recall: float = 0.999) -> DataFrame:
+    """The documents, all columns, with one row of each group of texts whose sets of k-word shingles are similar.
+
+    Two texts are linked if their words are equal, or if the Jaccard index of their sets is at least `similarity`, which
+    is tested exactly. Candidates are texts whose fingerprints differ in at most two bits, and texts that share a band of
+    minima: at a similarity of 0.8 fingerprints differ in about ten of 64 bits, where equal blocks of bits tell nothing
+    apart, while bands find a pair with chance `recall`. A group is a connected component; its least id, then
+    text hash, stays, as in keep_one_each.
+    """
+    bands, rows = tune_bands(similarity, recall)
+    named = materialise(_profiles(docs, k, bands, rows))
+    nodes = named.groupBy("ph").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("keys").alias("keys"))
+    nodes = materialise(nodes)
+    keyed = nodes.select("ph", "n", F.explode("keys").alias("key"))
+    twice = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    colliding = materialise(keyed.join(twice, "key", "left_semi"))
+    wanted = nodes.select("ph", "one.*").join(colliding.select("ph").distinct(), "ph", "left_semi")
+    sets = materialise(_text_sets(docs, wanted, k))
+    links = close_links(colliding, sets, similarity)
+    drop_table(colliding)
+    drop_table(sets)
+    reach = components(links)
+    classes = nodes.join(reach, nodes.ph == reach.node, "left").select("one", F.coalesce("component", "ph").alias("c"))
+    best = classes.groupBy("c").agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_t"))
+    rows_of = named.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    heads = materialise(rows_of.join(best, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left_semi"))
+    return _only(docs, heads)

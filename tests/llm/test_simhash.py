@@ -82,3 +82,44 @@ def test_one_of_each_group_stays(docs, awkward):
 def test_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one_each(empty).count() == 0
+
+
+def edited(rng, words, share):
+    """A copy with words changed, whose 5-word Jaccard index with the words is just at or above `share`."""
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    copy = list(words)
+    for i in rng.sample(range(len(words)), len(words)):
+        more = [*copy[:i], f"new{i}", *copy[i + 1 :]]
+        if len(grams(words) & grams(more)) < share * len(grams(words) | grams(more)):
+            break
+        copy = more
+    return copy
+
+
+def test_edited_copies_lose_all_but_one(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows, want = [], set()
+    for n in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 200))]
+        want.add(len(rows))
+        rows += [(len(rows) + i, t) for i, t in enumerate([" ".join(words), *(" ".join(edited(rng, words, s)) for s in (0.8, 0.87, 0.95)), " ".join(words).upper()])]
+        # half of the text is shared: under 0.8
+        want.add(len(rows))
+        rows.append((len(rows), " ".join(words[: len(words) // 2] + [f"x{rng.randrange(3000)}" for _ in words[::2]])))
+    crowd = [f"c{i}" for i in range(120)]
+    want.add(1000)
+    rows += [(1000 + i, " ".join([*crowd[:i], "edit", *crowd[i + 1 :]])) for i in range(60)]
+    want |= {2000, 2001}
+    rows += [(2000, "one two three"), (2001, "one two four"), (2002, " One two\nthree"), (2001, "one two four")]
+    docs = spark.createDataFrame([*rows, *((None, f"no id but text {i} of its own") for i in range(5))], "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(x for x in kept if x is not None) == sorted(want)
+    assert kept.count(None) == 5
+
+
+def test_similar_rows_of_awkward_tables(docs, empty):
+    kept = simhash.keep_one_similar(docs)
+    assert kept.columns == docs.columns
+    assert simhash.keep_one_similar(empty).count() == 0
