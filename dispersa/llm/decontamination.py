@@ -8,15 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dispersa.llm.common import materialise
-
 WINDOW = 5
 #: Windows of the benchmark up to which their hashes go to every task, 8 bytes each; beyond, documents' windows are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
 LEAST_LITERALS = 2
+#: Tokens by which a short item's windows may be out of place in one occurrence; for long items half their size.
+DRIFT = 8
 
 # Number words and units of measure.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen".split())
@@ -108,7 +108,7 @@ class Canon:
 
 
 def _windows(df: DataFrame, id_col: str, wanted, k: int) -> DataFrame:
-    """(id, pos, h, slots, total): windows whose hash is wanted (all, if None); slots: values of its placeholders, in order."""
+    """(id, th, pos, h, slots, total): windows whose hash is wanted (all, if None); th: hash of the text; slots: values of its placeholders, in order."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,19 +139,21 @@ def _windows(df: DataFrame, id_col: str, wanted, k: int) -> DataFrame:
                     slots.append([_EDGE.sub("", tokens[place[q]]).lower() for q in range(p, p + k) if int(symbol[q]) in slot_ids])
                     total.append(len(at) if keys is None else 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(pos, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(total, pa.int32())],
-                ["id", "pos", "h", "slots", "total"],
+                [*(batch.column(c).take(pa.array(row, pa.int64())) for c in (0, 2)), pa.array(pos, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(total, pa.int32())],
+                ["id", "th", "pos", "h", "slots", "total"],
             )
 
-    return df.select(id_col, "text").mapInArrow(batches, f"id {kind}, pos int, h long, slots array<string>, total int")
+    return df.select(id_col, "text", F.xxhash64("text")).mapInArrow(batches, f"id {kind}, th long, pos int, h long, slots array<string>, total int")
 
 
 def template_matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
-    """For each (doc_id, item_id) that share a template window: matched and total windows of the item, slots and consistent slots.
+    """For each occurrence of an item in a document: matched and total windows of the item, slots and consistent slots.
 
     Documents' windows are first held against the hashes of the benchmark's, where those are few enough to go to
-    every task, and then hash-joined with them. A slot value of the item is consistent if all its places in
-    the item stand for one value in the document. A text with fewer than k tokens has no window.
+    every task, and then hash-joined with them. Hits with the same offset (place in the document minus place in the
+    item) are one candidate occurrence; so are those in two neighbouring bins of offsets, of half the item's size or DRIFT, for
+    copies with words put in or left out. There, each window of the item has one hit, the nearest to the commonest offset. A
+    slot value of the item is consistent if all its places in the item stand for one value in the occurrence.
     """
     spark = docs.sparkSession
     items = _windows(benchmark.where("item_id IS NOT NULL"), "item_id", None, k).selectExpr("id AS item_id", "pos AS item_pos", "h AS item_h", "slots AS item_slots", "total")
@@ -160,26 +162,38 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) ->
     if items.count() <= BROADCAST_WINDOWS:
         got = keys.toArrow().column(0).to_numpy().view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(got) if len(got) else np.zeros(1, np.uint64))
-    # two branches read the windows that were found, so they are written once
-    found = materialise(_windows(docs, "doc_id", wanted, k).selectExpr("id AS doc_id", "pos", "h", "slots"))
-    hits = found.join(items, found.h == items.item_h)
-    cover = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("matched"), F.first("total").alias("windows"), F.min("pos").alias("first_pos"))
-    pairs = hits.where(F.size("slots") > 0).select("doc_id", "item_id", "pos", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
-    values = pairs.groupBy("doc_id", "item_id", "s.item_slots").agg(F.count_distinct("s.slots").alias("_kinds"), F.first("s.slots").alias("_v"))
-    slots = values.groupBy(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i")).agg(
-        F.count("*").alias("slots"), F.count_if(F.col("_kinds") == 1).alias("consistent"), F.count_if((F.col("_kinds") == 1) & (F.col("_v") == F.col("item_slots"))).alias("same")
-    )
-    out = cover.join(slots, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("item_id") == F.col("_i")), "left").drop("_d", "_i")
-    return out.na.fill(0, ["slots", "consistent", "same"])
+    found = _windows(docs, "doc_id", wanted, k).selectExpr("id AS doc_id", "th", "pos", "h", "slots")
+    hits = found.join(items, found.h == items.item_h).groupBy("doc_id", "th", "item_id", "pos", "item_pos")
+    hits = hits.agg(F.first("total").alias("windows"), F.min(F.struct(F.size("slots").alias("n"), "slots", "item_slots")).alias("v"))
+    hits = hits.withColumn("offset", F.col("pos") - F.col("item_pos"))
+    at = F.floor(F.col("offset") / F.greatest(F.lit(DRIFT), F.ceil(F.col("windows") / 2)))
+    bins = [F.struct(F.lit(wide).alias("wide"), bin.cast("long").alias("bin")) for wide, bin in ((False, F.col("offset")), (True, at), (True, at + 1))]
+    group = ["doc_id", "th", "item_id", "wide", "bin"]
+    # a bin has few offsets and an item few windows, so that groups are small however long a document is
+    hits = hits.select("*", F.inline(F.array(*bins))).repartition(*group)
+    hits = hits.withColumn("_c", F.count("*").over(Window.partitionBy(*group, "offset")))
+    hits = hits.withColumn("_top", F.max(F.struct("_c", (-F.col("offset")).alias("o"))).over(Window.partitionBy(*group)))
+    nearest = Window.partitionBy(*group, "item_pos").orderBy(F.abs(F.col("offset") + F.col("_top.o")), "pos")
+    hits = hits.withColumn("_r", F.row_number().over(nearest)).where("_r = 1")
+    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("v.slots").alias("slots"), F.col("v.item_slots").alias("item_slots")))))
+    out = hits.groupBy(*group).agg(F.count("*").alias("matched"), F.first("windows").alias("windows"), F.min("pos").alias("first_pos"), pairs.alias("_p"))
+    out = out.withColumn("_n", F.array_distinct(F.col("_p.item_slots")))
+    one = F.filter("_n", lambda n: F.size(F.filter("_p", lambda p: p["item_slots"] == n)) == 1)
+    same = F.filter(one, lambda n: F.exists("_p", lambda p: (p["item_slots"] == n) & (p["slots"] == n)))
+    return out.select("doc_id", "item_id", "matched", "windows", "first_pos", *[F.size(x).cast("long").alias(name) for x, name in ((F.col("_n"), "slots"), (one, "consistent"), (same, "same"))])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, k: int = WINDOW) -> DataFrame:
-    """Pairs (doc_id, item_id, matched, windows, coverage, slots, consistent, verbatim) where the document holds the item.
+    """Pairs (doc_id, item_id, matched, windows, coverage, slots, consistent, verbatim, first_pos) where the document holds the item.
 
-    It does if at least `similarity` of the item's windows are in the document and as large a share of the
-    item's slot values is consistent; verbatim: every slot has the item's own value. Documents with null or
+    It does if one occurrence has at least `similarity` of the item's windows and as large a share of the
+    item's slot values is consistent in it; verbatim: every slot has the item's own value. Figures are those of one occurrence, a
+    verbatim one if there is any, then the one with the most windows. Documents with null or
     empty text, and items that are too short for a window, are in no pair; repeated rows count once.
     """
     m = template_matches(docs, benchmark, k).withColumn("coverage", F.col("matched") / F.col("windows"))
     m = m.where((F.col("coverage") >= similarity) & (F.col("consistent") >= similarity * F.col("slots")))
-    return m.select("doc_id", "item_id", "matched", "windows", "coverage", "slots", "consistent", (F.col("same") == F.col("slots")).alias("verbatim"), "first_pos")
+    m = m.withColumn("verbatim", F.col("same") == F.col("slots"))
+    rank = F.struct("verbatim", "matched", (-F.col("first_pos")).alias("o"), "consistent", "slots")
+    best = F.max_by(F.struct("matched", "windows", "coverage", "slots", "consistent", "verbatim", "first_pos"), rank)
+    return m.groupBy("doc_id", "item_id").agg(best.alias("_b")).select("doc_id", "item_id", "_b.*")

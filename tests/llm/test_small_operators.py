@@ -117,6 +117,23 @@ def test_inconsistent_slots_are_left_alone(spark):
     assert got == {2}
 
 
+def test_each_occurrence_is_judged_by_itself(spark):
+    numbers = lambda a, b, c: ITEM.replace("5", a).replace("3 kg", f"{b} kg").replace("two", c).replace("4 miles", "6 km")
+    again = [numbers("17", "12", "nine"), numbers("8", "31", "six"), numbers("44", "70", "ten")]
+    words = ITEM.split()
+    half, rest = " ".join(words[:13]), " ".join(words[13:])
+    docs = spark.createDataFrame(
+        [(1, ITEM + " " + again[0]), (2, " And so on. ".join(again)), (3, "w " * 300 + again[0] + " x" * 40 + ". " + ITEM), (4, half + " y" * 400 + " " + rest),
+         (5, half + " very very much " + rest + "\n" + again[1]), (None, again[0]), (None, again[1]), (None, "nothing here")],
+        "doc_id long, text string",
+    )
+    got = {r.doc_id: r for r in decontamination.contaminated(docs, spark.createDataFrame([(10, ITEM)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 5, None}
+    assert got[1].verbatim and got[1].first_pos == 0 and got[1].coverage == 1
+    assert got[3].verbatim and got[3].first_pos == 300 + len(words) + 40
+    assert not got[2].verbatim and not got[None].verbatim
+
+
 def test_decontamination_without_a_broadcast_or_rows(spark, monkeypatch, empty):
     docs = spark.createDataFrame([(1, "so " + ITEM), (2, "nothing of it " * 9)], "doc_id long, text string")
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
