@@ -32,8 +32,9 @@ _MASK = (1 << 64) - 1
 class Canon:
     """Tokens to template symbols: literals, or one of the typed placeholders <num>, <unit> and <name>.
 
-    A word in title case is a name unless it begins a sentence or a line. Punctuation around words goes and case is
-    folded, so that reformatted text has the same templates.
+    A word in title case is a name; where it begins a sentence or a line it may be one, so a text has several readings: such
+    words as literals, such words as names, and no names at all. Texts are compared in all of them. Punctuation
+    around words goes and case is folded, so that reformatted text has the same templates.
     """
 
     SLOTS = tuple(xxhash.xxh64_intdigest(x, 7) for x in ("<num>", "<unit>", "<name>"))
@@ -44,8 +45,8 @@ class Canon:
 
     def _forget(self):
         self.known: dict[str, int] = {}
-        self.rows: list[tuple[int, int, int, int]] = []  # kept, ends a sentence, symbol, symbol inside a sentence
-        self.marks, self.table, self.filled = np.zeros((2, 1024), bool), np.zeros((2, 1024), np.uint64), 0
+        self.rows: list[tuple[int, int, int, int, int]] = []  # kept, ends a sentence, symbol, symbol as a name, value
+        self.marks, self.table, self.filled = np.zeros((2, 1024), bool), np.zeros((3, 1024), np.uint64), 0
 
     def _learn(self, token: str) -> int:
         body = _EDGE.sub("", token)
@@ -53,20 +54,23 @@ class Canon:
         low = body.lower()
         num, unit, name = self.SLOTS
         if not body:
-            row = (0, int(ends), 0, 0)
+            row = (0, int(ends), 0, 0, 0)
         elif _NUMBER.fullmatch(low) or low in NUMBER_WORDS or ((m := _MEASURE.fullmatch(low)) and m[2] in UNITS):
-            row = (1, int(ends), num, num)
+            row = (1, int(ends), num, num, xxhash.xxh64_intdigest(low, 7))
         elif low in UNITS:
-            row = (1, int(ends), unit, unit)
+            row = (1, int(ends), unit, unit, xxhash.xxh64_intdigest(low, 7))
         else:
             h = xxhash.xxh64_intdigest(low, 7)
-            row = (1, int(ends), h, name if body[:1].isupper() and not body[1:].isupper() and len(body) > 1 else h)
+            row = (1, int(ends), h, name if body[:1].isupper() and not body[1:].isupper() and len(body) > 1 else h, h)
         self.rows.append(row)
         self.known[token] = len(self.rows) - 1
         return len(self.rows) - 1
 
-    def symbols(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Symbols of the kept tokens, their places among the raw tokens, and the raw tokens."""
+    def readings(self, text: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[str]]:
+        """Symbols of the kept tokens in each reading, their values, their places among the raw tokens, and the raw tokens.
+
+        Readings are one, where no word is in title case, or three: names only inside sentences, everywhere, nowhere.
+        """
         if len(self.rows) > self.LIMIT:
             self._forget()
         tokens = text.replace("\n", " \n ").split(" ")
@@ -79,7 +83,9 @@ class Canon:
         place = tell[kept[tell]]
         first = after[kept[tell]]
         held = ids[place]
-        return np.where(first, self.table[0][held], self.table[1][held]), place, tokens
+        folded, named, value = self.table[0][held], self.table[1][held], self.table[2][held]
+        reads = [np.where(first, folded, named), named, folded] if (folded != named).any() else [folded]
+        return reads, value, place, tokens
 
     def _grow(self):
         need = len(self.rows)
@@ -107,8 +113,15 @@ class Canon:
         return h
 
 
-def _windows(df: DataFrame, id_col: str, wanted, k: int) -> DataFrame:
-    """(id, th, pos, h, slots, total): windows whose hash is wanted (all, if None); th: hash of the text; slots: values of its placeholders, in order."""
+def _windows(df: DataFrame, id_col: str, wanted, k: int, lengths: list[int] | None = None) -> DataFrame:
+    """(id, th, pos, h, slots, total, size): windows of items (`lengths` is None) or of documents, in all readings.
+
+    th: hash of the text; slots: values of the placeholders, in order. An item's windows are those with enough literals where
+    title case makes names everywhere; without any, where it does inside sentences, and then where it makes none.
+    An item that has none at all, as it is too short or holds little but slots, has windows of the values themselves, of size k
+    or of the whole sequence. Of documents come the windows whose hash is wanted (all, if None), with windows
+    of values for the sizes in `lengths`; of those under k, the first place of each.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,32 +131,66 @@ def _windows(df: DataFrame, id_col: str, wanted, k: int) -> DataFrame:
             hint = np.zeros(1 << 20, bool)
             hint[(keys >> np.uint64(44)).astype(np.int64)] = True
         slot_ids = set(Canon.SLOTS)
+
+        def among(h: np.ndarray) -> np.ndarray:
+            if keys is None:
+                return np.arange(len(h))
+            at = np.flatnonzero(hint[h >> np.uint64(44)])
+            return at[keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]] if len(at) else at
+
+        def values(value: np.ndarray, m: int) -> np.ndarray:
+            return canon.windows(value, m) ^ np.uint64((m + 1) * _MIX & _MASK)
+
         for batch in it:
-            row, pos, hashes, slots, total = [], [], [], [], []
+            row, pos, hashes, slots, total, size = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                symbol, place, tokens = canon.symbols(text.as_py() or "")
-                h = canon.windows(symbol, k)
-                if keys is not None:
-                    at = np.flatnonzero(hint[h >> np.uint64(44)])
-                    if len(at):
-                        at = at[keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]]
+                reads, value, place, tokens = canon.readings(text.as_py() or "")
+                spots, plain = [], []
+                for symbol in reads:
+                    h = canon.windows(symbol, k)
+                    at = among(h)
+                    # windows of placeholders alone would tie unrelated texts together
+                    literal = [sum(int(x) not in slot_ids for x in symbol[p : p + k]) for p in at.tolist()]
+                    spots.append((symbol, h, at[np.array(literal, np.int64) >= LEAST_LITERALS] if len(at) else at))
+                of = 0
+                if lengths is None:
+                    order = (1, 0, 2) if len(spots) > 1 else (0,)
+                    own = next((spots[r][2] for r in order if len(spots[r][2])), None)
+                    if own is not None:
+                        spots, of = [(symbol, h, at[np.isin(at, own)]) for symbol, h, at in spots], len(own)
+                    elif len(value):
+                        h = values(value, min(k, len(value)))
+                        plain, of = [(min(k, len(value)), h, np.arange(len(h)))], len(h)
                 else:
-                    at = np.arange(len(h))
-                # windows of placeholders alone would tie unrelated texts together
-                literal = [sum(int(x) not in slot_ids for x in symbol[p : p + k]) for p in at.tolist()]
-                at = at[np.array(literal, np.int64) >= LEAST_LITERALS] if len(at) else at
-                for p in at.tolist():
-                    row.append(i)
-                    pos.append(p)
-                    hashes.append(int(h[p].view(np.int64)))
-                    slots.append([_EDGE.sub("", tokens[place[q]]).lower() for q in range(p, p + k) if int(symbol[q]) in slot_ids])
-                    total.append(len(at) if keys is None else 0)
+                    for m in lengths:
+                        h = values(value, m)
+                        at = among(h)
+                        plain.append((m, h, at if m == k else at[np.unique(h[at], return_index=True)[1]]))
+                seen = set()
+                for symbol, h, at in spots:
+                    for p in at.tolist():
+                        if (p, int(h[p])) in seen:
+                            continue
+                        seen.add((p, int(h[p])))
+                        row.append(i)
+                        pos.append(p)
+                        hashes.append(int(h[p].view(np.int64)))
+                        slots.append([_EDGE.sub("", tokens[place[q]]).lower() for q in range(p, p + k) if int(symbol[q]) in slot_ids])
+                        total.append(of)
+                        size.append(0)
+                for m, h, at in plain:
+                    row += [i] * len(at)
+                    pos += at.tolist()
+                    hashes += h[at].view(np.int64).tolist()
+                    slots += [[] for _ in at]
+                    total += [of] * len(at)
+                    size += [m] * len(at)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(pa.array(row, pa.int64())) for c in (0, 2)), pa.array(pos, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(total, pa.int32())],
-                ["id", "th", "pos", "h", "slots", "total"],
+                [*(batch.column(c).take(pa.array(row, pa.int64())) for c in (0, 2)), pa.array(pos, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(total, pa.int32()), pa.array(size, pa.int32())],
+                ["id", "th", "pos", "h", "slots", "total", "size"],
             )
 
-    return df.select(id_col, "text", F.xxhash64("text")).mapInArrow(batches, f"id {kind}, th long, pos int, h long, slots array<string>, total int")
+    return df.select(id_col, "text", F.xxhash64("text")).mapInArrow(batches, f"id {kind}, th long, pos int, h long, slots array<string>, total int, size int")
 
 
 def template_matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
@@ -156,13 +203,14 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) ->
     slot value of the item is consistent if all its places in the item stand for one value in the occurrence.
     """
     spark = docs.sparkSession
-    items = _windows(benchmark.where("item_id IS NOT NULL"), "item_id", None, k).selectExpr("id AS item_id", "pos AS item_pos", "h AS item_h", "slots AS item_slots", "total")
+    items = _windows(benchmark.where("item_id IS NOT NULL"), "item_id", None, k).selectExpr("id AS item_id", "pos AS item_pos", "h AS item_h", "slots AS item_slots", "total", "size")
     keys = items.select("item_h").distinct()
     wanted = None
-    if items.count() <= BROADCAST_WINDOWS:
+    n, lengths = items.agg(F.count("*"), F.collect_set(F.when(F.col("size") > 0, F.col("size")))).first()
+    if n <= BROADCAST_WINDOWS:
         got = keys.toArrow().column(0).to_numpy().view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(got) if len(got) else np.zeros(1, np.uint64))
-    found = _windows(docs, "doc_id", wanted, k).selectExpr("id AS doc_id", "th", "pos", "h", "slots")
+    found = _windows(docs, "doc_id", wanted, k, sorted(lengths)).selectExpr("id AS doc_id", "th", "pos", "h", "slots")
     hits = found.join(items, found.h == items.item_h).groupBy("doc_id", "th", "item_id", "pos", "item_pos")
     hits = hits.agg(F.first("total").alias("windows"), F.min(F.struct(F.size("slots").alias("n"), "slots", "item_slots")).alias("v"))
     hits = hits.withColumn("offset", F.col("pos") - F.col("item_pos"))
@@ -188,8 +236,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
     It does if one occurrence has at least `similarity` of the item's windows and as large a share of the
     item's slot values is consistent in it; verbatim: every slot has the item's own value. Figures are those of one occurrence, a
-    verbatim one if there is any, then the one with the most windows. Documents with null or
-    empty text, and items that are too short for a window, are in no pair; repeated rows count once.
+    verbatim one if there is any, then the one with the most windows. An item
+    that is too short for a window is held where all its words stand together. Documents and items with null or
+    empty text are in no pair; repeated rows count once.
     """
     m = template_matches(docs, benchmark, k).withColumn("coverage", F.col("matched") / F.col("windows"))
     m = m.where((F.col("coverage") >= similarity) & (F.col("consistent") >= similarity * F.col("slots")))

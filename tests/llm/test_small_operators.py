@@ -134,6 +134,19 @@ def test_each_occurrence_is_judged_by_itself(spark):
     assert not got[2].verbatim and not got[None].verbatim
 
 
+def test_names_at_sentence_begins_and_folded_case(spark):
+    short = "Anna has 5 apples. Anna buys 3 kg of rice. Bob sells 4 pears."
+    other = "Maria has 17 apples. Maria buys 12 kg of rice. Tom sells 9 pears."
+    inside = "At noon the boys met Anna and Bob near the gate where Carl sold 7 old books to Dora for 3 euros."
+    docs = spark.createDataFrame(
+        [(1, "So it is. " + other), (3, "we read that " + inside.lower()), (4, inside.replace(" and Bob", "\nand\nBob").replace("to Dora", "to\nDora")), (5, "He said: what is 6 times 7? Well."), (6, "what is 6 times 8"), (7, "7 8 9 10 11 12 13 etc"), (8, "7 8 9 10 11 12 14")],
+        "doc_id long, text string",
+    )
+    bench = spark.createDataFrame([(10, short), (11, inside), (12, "Is 6 times 7?"), (13, "7 8 9 10 11 12 13"), (14, "?"), (15, "times 9")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(1, 10): False, (3, 11): True, (4, 11): True, (5, 12): True, (7, 13): True}
+
+
 def test_decontamination_without_a_broadcast_or_rows(spark, monkeypatch, empty):
     docs = spark.createDataFrame([(1, "so " + ITEM), (2, "nothing of it " * 9)], "doc_id long, text string")
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
