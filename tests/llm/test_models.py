@@ -135,6 +135,27 @@ def test_paragraph_removals(docs, awkward, monkeypatch, bucket):
     assert {d: v for d, v in got.items() if v} == want
 
 
+def test_paragraphs_of_null_and_repeated_ids(spark):
+    rng = np.random.Generator(np.random.Philox(21))
+    rows, want = [], set()
+    for n in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 30)]
+        near = [*words[:29], "end"]
+        own = [f"v{x}" for x in rng.integers(0, 5000, 30)]
+        rows += [(None if n % 2 else 7, " ".join(words)), (None if n % 3 else 8, " ".join(own)), (100 + n, "x\n" + " ".join(near))]
+        want.add((100 + n, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    occ = common.materialise(paragraphs._occurrences(docs, *paragraphs.tune_bands(0.8)))
+    sets = {r.ph: set(r.s) for r in paragraphs._sets(docs, occ.drop("bands")).collect()}
+    keys = lambda text: paragraphs.Words()([w.encode() for w in text.split()])
+    for _, text in rows:
+        h = keys(text.split("\n")[-1])
+        ph = int(paragraphs._word_keys(h, np.zeros(1, np.int64), np.array([len(h)])).view(np.int64)[0])
+        assert sets[ph] == set(paragraphs.shingles(h).view(np.int64).tolist())
+    got = {(r.doc_id, r.idx) for r in paragraphs.repeated_paragraphs(docs).collect() if r.doc_id is not None and r.doc_id >= 100}
+    assert got == want
+
+
 def test_removed_lines_go(spark):
     text = "first line of six words here\nsecond line of five words\nx"
     docs = spark.createDataFrame([(1, text, "a"), (2, "own\n" + text, "b"), (3, None, "c")], "doc_id long, text string, removed string")
