@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,6 +73,34 @@ def test_packing_round_trip(docs, awkward):
         assert at <= limit
 
 
+@pytest.mark.parametrize(("words", "piece"), [(600_000, 1 << 19), (40, 1 << 19), (40, 50)])
+def test_encoder_agrees_with_the_tokenizer(monkeypatch, words, piece):
+    monkeypatch.setattr(packing, "PIECE", piece)
+    encoder = packing.WordEncoder(tokenizer_path(), words, 5 * words)
+    rng = random.Random(words + piece)
+    signs = list("abXYZ.,;:!?'12 \n\t\u00a0\u3000é\u030c\u0301\u0327İIıßǰJĶ\u200bñÑ中国😀-_ΣςΑ")
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    texts += ["CUMHURİYETİ.", "İŞLERİ, x", "don't", "I'M it's 'tis", "J\u030c.", "x" * 3000, "ab " * 2000, "", " \n"]
+    for text, ids in zip(texts, encoder.many(texts), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_pieces_of_one_length_are_placed_gaplessly(spark, monkeypatch, most):
+    monkeypatch.setattr(packing, "CHUNKS", 8)
+    monkeypatch.setattr(packing, "BROADCAST_SLOTS", most)
+    lengths = [10] * 700 + [100] * 90 + [33] * 210 + [7, 90, 64]
+    pieces = spark.createDataFrame([(i, 0, n, 1) for i, n in enumerate(lengths)], "doc_id long, start long, length long, ids_crc32 long")
+    rows = packing.pack_pieces(pieces, 100).collect()
+    assert Counter(r.length for r in rows) == Counter(lengths) and len({r.doc_id for r in rows}) == len(rows)
+    packs = defaultdict(list)
+    for r in rows:
+        packs[r.sequence_id].append((r.offset, r.length))
+    for p in packs.values():
+        ends = [0, *(o + n for o, n in sorted(p))]
+        assert [o for o, _ in sorted(p)] == ends[:-1] and ends[-1] <= 100
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_histogram_packing(seed):
     rng = np.random.Generator(np.random.Philox(seed))
