@@ -1,5 +1,6 @@
 """Language model, quality, toxicity and paragraphs, and the pipeline."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -95,13 +96,25 @@ def test_scores_of_awkward_and_no_rows(spark, docs, empty, scores):
     assert scores(docs, labels.limit(0)).count() == docs.count()
 
 
-def brute_removals(rows, similarity=0.8):
+def brute_blocks(text):
+    """(start, words) of the blocks of a text, by definition."""
+    w = (text or "").encode().lower().split()
+    h = [int.from_bytes(hashlib.md5(x).digest()[8:], "little") for x in w]
+    if len(w) < 20:
+        return [(0, tuple(w))] if len(w) >= 5 else []
+    out = []
+    for size, reach in ((20, 5), (60, 20)):
+        for i in range(len(w) - size + 1):
+            if i == 0 or (h[i] < min(h[max(0, i - reach) : i]) and h[i] <= min(h[i : i + reach + 1])):
+                out.append((i, tuple(w[i : i + size])))
+    return out
+
+
+def brute_paragraphs(rows, similarity=0.8):
     occ = defaultdict(set)
     for d, t in rows:
-        for i, line in enumerate((t or "").encode().lower().split(b"\n")):
-            w = tuple(line.split())
-            if len(w) >= 5:
-                occ[w].add((d is not None, d or 0, i))
+        for i, w in brute_blocks(t):
+            occ[w].add((d is not None, d or 0, i))
     keys = list(occ)
     sets = [{k[i : i + 5] for i in range(len(k) - 4)} for k in keys]
     parent = list(range(len(keys)))
@@ -113,59 +126,73 @@ def brute_removals(rows, similarity=0.8):
 
     for i in range(len(keys)):
         for j in range(i):
-            n = len(sets[i] & sets[j])
-            if n >= similarity * (len(sets[i]) + len(sets[j]) - n):
-                parent[find(i)] = find(j)
+            if len(keys[i]) == len(keys[j]) == 60:
+                n = len(sets[i] & sets[j])
+                if n >= similarity * (len(sets[i]) + len(sets[j]) - n):
+                    parent[find(i)] = find(j)
     groups = defaultdict(set)
     for i, k in enumerate(keys):
-        groups[find(i)] |= occ[k]
-    gone = defaultdict(list)
+        groups[find(i)] |= {(*o, len(k)) for o in occ[k]}
+    out = set()
     for g in groups.values():
-        for there, d, i in sorted(g)[1:]:
-            gone[d if there else None].append(i)
-    return {d: sorted(v) for d, v in gone.items()}
+        there, d, i, _ = min(g)
+        first = d if there else None
+        if len(g) > 1:
+            out |= {(d if there else None, s, n, first, i, (d if there else None, s) != (first, i)) for there, d, s, n in g}
+    return out
 
 
 @pytest.mark.parametrize("bucket", [1, paragraphs.BUCKET])
-def test_paragraph_removals(docs, awkward, monkeypatch, bucket):
+def test_repeated_paragraphs(docs, awkward, monkeypatch, bucket):
     monkeypatch.setattr(paragraphs, "BUCKET", bucket)
-    got = {r.doc_id: r.removed for r in paragraphs.paragraph_removals(docs).collect()}
-    want = brute_removals([(d, t) for d, t, *_ in awkward])
-    assert set(got) == {r[0] for r in awkward}
-    assert {d: v for d, v in got.items() if v} == want
+    got = paragraphs.repeated_paragraphs(docs, recall=0.9999).collect()
+    assert len(set(got)) == len(got)
+    assert {tuple(r) for r in got} == brute_paragraphs([(d, t) for d, t, *_ in awkward])
+
+
+def test_passages_within_lines_are_caught():
+    rng = np.random.Generator(np.random.Philox(31))
+    caught = 0
+    for _ in range(300):
+        passage = [f"p{x}" for x in rng.integers(0, 10**6, 51)]
+        texts = [" ".join([f"w{x}" for x in rng.integers(0, 10**6, rng.integers(0, 60))] + passage + [f"v{x}" for x in rng.integers(0, 10**6, 40)]) for _ in range(2)]
+        a, b = ({w for _, w in brute_blocks(t)} for t in texts)
+        caught += bool(a & b)
+    assert caught >= 0.95 * 300
 
 
 def test_paragraphs_of_null_and_repeated_ids(spark):
     rng = np.random.Generator(np.random.Philox(21))
-    rows, want = [], set()
+    rows = []
     for n in range(60):
-        words = [f"w{x}" for x in rng.integers(0, 5000, 30)]
-        near = [*words[:29], "end"]
+        words = [f"w{x}" for x in rng.integers(0, 5000, 70)]
         own = [f"v{x}" for x in rng.integers(0, 5000, 30)]
-        rows += [(None if n % 2 else 7, " ".join(words)), (None if n % 3 else 8, " ".join(own)), (100 + n, "x\n" + " ".join(near))]
-        want.add((100 + n, 1))
+        rows += [(None if n % 2 else 7, " ".join(words)), (None if n % 3 else 8, " ".join(own)), (100 + n, " ".join([*words[:58], "end", *words[59:]]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    occ = common.materialise(paragraphs._occurrences(docs, *paragraphs.tune_bands(0.8)))
-    sets = {r.ph: set(r.s) for r in paragraphs._sets(docs, occ.drop("bands")).collect()}
-    keys = lambda text: paragraphs.Words()([w.encode() for w in text.split()])
-    for _, text in rows:
-        h = keys(text.split("\n")[-1])
-        ph = int(paragraphs._word_keys(h, np.zeros(1, np.int64), np.array([len(h)])).view(np.int64)[0])
-        assert sets[ph] == set(paragraphs.shingles(h).view(np.int64).tolist())
-    got = {(r.doc_id, r.idx) for r in paragraphs.repeated_paragraphs(docs).collect() if r.doc_id is not None and r.doc_id >= 100}
-    assert got == want
-
-
-def test_removed_lines_go(spark):
-    text = "first line of six words here\nsecond line of five words\nx"
-    docs = spark.createDataFrame([(1, text, "a"), (2, "own\n" + text, "b"), (3, None, "c")], "doc_id long, text string, removed string")
-    out = paragraphs.remove_paragraphs(docs, paragraphs.paragraph_removals(docs))
+    got = {r.doc_id for r in paragraphs.repeated_paragraphs(docs).collect() if r.doc_id is not None and r.doc_id >= 100}
+    assert got == {100 + n for n in range(60)}
+
+
+def test_removed_paragraphs_go(spark):
+    rng = np.random.Generator(np.random.Philox(4))
+    passage = " ".join(f"p{x}" for x in rng.integers(0, 10**6, 80))
+    short = "a text of less than twenty words in all"
+    own = " ".join(f"own{i}" for i in range(70)) + "\\n"
+    rows = [(1, passage, "a"), (2, "own  words\n" + passage + "\nand  an end", "b"), (3, None, "c"), (None, passage, "d"), (None, short, "e"), (None, "kept whole", "f"), (5, short, "g"), (6, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, removed string")
+    out = paragraphs.remove_paragraphs(docs)
     assert out.columns == docs.columns
-    assert {r.doc_id: r.text for r in out.collect()} == {1: text, 2: "own\nx", 3: None}
+    got = {r.removed: r.text for r in out.collect()}
+    assert got["d"] == passage and got["e"] == short and got["f"] == "kept whole" and got["c"] is None and got["h"] == "" and got["g"] == ""
+    for r in ("a", "b"):
+        left = got[r].split()
+        assert len(left) < 0.6 * 80 and set(left) <= set(passage.split()) | {"own", "words", "and", "an", "end"}
+    assert got["b"].startswith("own  words\n") and got["b"].endswith("and  an end")
 
 
 def test_paragraphs_of_an_empty_table(empty):
-    assert paragraphs.paragraph_removals(empty).count() == 0
+    assert paragraphs.repeated_paragraphs(empty).count() == 0
+    assert paragraphs.remove_paragraphs(empty).count() == 0
 
 
 def test_components(spark):
