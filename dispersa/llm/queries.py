@@ -96,7 +96,7 @@ l AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,
 p AS (SELECT doc_id, len(ws) AS n, unnest(range(len(ws))) AS i, unnest(list_transform(ws, lambda x: md5_number_lower(x)::HUGEINT)) AS h FROM l),
 a AS (SELECT doc_id, n, i,
         i = 0 OR (h < coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), h + 1) AND h <= coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), h)) AS short,
-        i = 0 OR (h < coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), h + 1) AND h <= coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), h)) AS long
+        h < coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), h + 1) AND h <= coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING), h) AS long
       FROM p),
 b AS (SELECT doc_id, i, 20 AS size FROM a WHERE short AND i + 20 <= n UNION ALL SELECT doc_id, i, 60 FROM a WHERE long AND i + 60 <= n UNION ALL SELECT doc_id, 0, len(ws) FROM l WHERE len(ws) BETWEEN 5 AND 19),
 occ AS (SELECT doc_id, i, size, ws[i + 1:i + size] AS words, array_to_string(ws[i + 1:i + size], ' ') AS para FROM b JOIN l USING (doc_id)),
