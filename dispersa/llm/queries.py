@@ -98,7 +98,7 @@ a AS (SELECT doc_id, n, i,
         i = 0 OR (h < coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), h + 1) AND h <= coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), h)) AS short,
         h < coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), h + 1) AND h <= coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING), h) AS long
       FROM p),
-b AS (SELECT doc_id, i, 20 AS size FROM a WHERE short AND i + 20 <= n UNION ALL SELECT doc_id, i, 60 FROM a WHERE long AND i + 60 <= n UNION ALL SELECT doc_id, 0, len(ws) FROM l WHERE len(ws) BETWEEN 5 AND 19),
+b AS (SELECT doc_id, i, 20 AS size FROM a WHERE short AND i + 20 <= n UNION ALL SELECT doc_id, i, 60 FROM a WHERE long AND i + 60 <= n),
 occ AS (SELECT doc_id, i, size, ws[i + 1:i + size] AS words, array_to_string(ws[i + 1:i + size], ' ') AS para FROM b JOIN l USING (doc_id)),
 d AS (SELECT para, any_value(words) AS words, any_value(size) AS size, row_number() OVER (ORDER BY para) AS id FROM occ GROUP BY para),
 g AS (SELECT DISTINCT id, array_to_string(words[j:j + 4], ' ') AS s FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS j FROM d WHERE size = 60)),
