@@ -92,14 +92,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps, each a grouped minimum and an equi-join, so that no
     group is ever collected; every round is written to the shared folder. Self edges are kept as
-    single nodes. Rounds grow with the logarithm of the node count.
+    single nodes. Rounds grow with the logarithm of the node count and end when all links form stars, each around its least node.
     """
-    spark = edges.sparkSession
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     link = materialise(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
+    while not _stars(link):
         both = link.union(link.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -107,16 +105,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         link, old = materialise(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()), link
-        now = link.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_table(old)
-        if seen == tuple(now):
-            break
-        seen = tuple(now)
     return nodes.join(link.withColumnsRenamed({"a": "node", "b": "component"}), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
 
 
+def _stars(link: DataFrame) -> bool:
+    """Whether each node has one link to a lesser one at most, and none of those that have is such a lesser one."""
+    ends = link.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(link.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up > 1 OR up = 1 AND top = 1").isEmpty()
+
+
 def ranked(df: DataFrame, group: str | None, key: list[str], buckets: int = 1024) -> DataFrame:
     """Add `rank`: gapless from 0 within `group` (or overall), without one task per group.
 

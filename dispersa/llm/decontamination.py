@@ -24,6 +24,7 @@ UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g k
 
 _NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 _MEASURE = re.compile(r"([$€£+-]?\d[\d.,]*)([a-z]{1,3})")
+_BREAK = "\ue000"  # stands for a line's end among the tokens
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 _MIX = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -50,7 +51,7 @@ class Canon:
 
     def _learn(self, token: str) -> int:
         body = _EDGE.sub("", token)
-        ends = token.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":", "\n") or token == "\n"
+        ends = token.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":", _BREAK)
         low = body.lower()
         num, unit, name = self.SLOTS
         if not body:
@@ -73,7 +74,7 @@ class Canon:
         """
         if len(self.rows) > self.LIMIT:
             self._forget()
-        tokens = text.replace("\n", " \n ").split(" ")
+        tokens = text.replace("\n", f" {_BREAK} ").split()
         get, learn = self.known.get, self._learn
         ids = np.fromiter([i if (i := get(t)) is not None else learn(t) for t in tokens], np.int64, len(tokens))
         self._grow()
@@ -228,7 +229,23 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) ->
     out = out.withColumn("_n", F.array_distinct(F.col("_p.item_slots")))
     one = F.filter("_n", lambda n: F.size(F.filter("_p", lambda p: p["item_slots"] == n)) == 1)
     same = F.filter(one, lambda n: F.exists("_p", lambda p: (p["item_slots"] == n) & (p["slots"] == n)))
-    return out.select("doc_id", "item_id", "matched", "windows", "first_pos", *[F.size(x).cast("long").alias(name) for x, name in ((F.col("_n"), "slots"), (one, "consistent"), (same, "same"))])
+    return out.select("doc_id", "th", "item_id", "matched", "windows", "first_pos", *[F.size(x).cast("long").alias(name) for x, name in ((F.col("_n"), "slots"), (one, "consistent"), (same, "same"))])
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, similarity: float, k: int) -> DataFrame:
+    m = template_matches(docs, benchmark, k).withColumn("coverage", F.col("matched") / F.col("windows"))
+    return m.where((F.col("coverage") >= similarity) & (F.col("consistent") >= similarity * F.col("slots")))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, k: int = WINDOW) -> DataFrame:
+    """The documents, all columns, that hold no benchmark item.
+
+    A row is told by its id and its text's hash, so of rows that share an id, or have none, only those that hold an item go.
+    """
+    held = _found(docs, benchmark, similarity, k).select(F.col("doc_id").alias("d"), "th").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), row)
+    return named.join(held, F.col("id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("th")), "left_anti").select("row.*")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, k: int = WINDOW) -> DataFrame:
@@ -240,8 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     that is too short for a window is held where all its words stand together. Documents and items with null or
     empty text are in no pair; repeated rows count once.
     """
-    m = template_matches(docs, benchmark, k).withColumn("coverage", F.col("matched") / F.col("windows"))
-    m = m.where((F.col("coverage") >= similarity) & (F.col("consistent") >= similarity * F.col("slots")))
+    m = _found(docs, benchmark, similarity, k)
     m = m.withColumn("verbatim", F.col("same") == F.col("slots"))
     rank = F.struct("verbatim", "matched", (-F.col("first_pos")).alias("o"), "consistent", "slots")
     best = F.max_by(F.struct("matched", "windows", "coverage", "slots", "consistent", "verbatim", "first_pos"), rank)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dispersa.llm.common import materialise
 
 #: Texts are worked on in pieces of about PIECE bytes. Each of a worker's two tables of encoded words holds at most WORDS words and IDS ids.
-PIECE, WORDS, IDS = 1 << 19, 600_000, 4_000_000
+PIECE, WORDS, IDS = 1 << 19, 400_000, 1_500_000
 #: Ranks of a length are cut into about CHUNKS chunks; slot rows up to BROADCAST_SLOTS (56 bytes each) go to every task, more are joined by a shuffle.
 CHUNKS, BROADCAST_SLOTS = 1024, 500_000
 ROW = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
@@ -34,11 +34,11 @@ class WordTable:
     """Hashes of words and the ids of each, in open addressing over numpy arrays; two words with one 64-bit hash are taken for one."""
 
     def __init__(self, words: int, ids: int):
-        self.bits = max(4, (2 * words - 1).bit_length())
+        self.bits = max(4, (words + words // 4 - 1).bit_length())  # up to 80 % full
         self.most, self.n, self.used = words, 0, 0
         self.key = np.zeros(1 << self.bits, np.uint64)
         self.first = np.zeros(1 << self.bits, np.int32)
-        self.count = np.zeros(1 << self.bits, np.int32)
+        self.count = np.zeros(1 << self.bits, np.int32)  # a word may have more ids than 16 bits count
         self.ids = np.zeros(min(ids, 1 << 16), np.uint32)
         self.room = ids
 

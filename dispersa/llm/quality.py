@@ -167,17 +167,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: i
     )
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, modulus: int = 3, held: int = 1) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, modulus: int = 3, held: int = 1, sample: int = 20_000) -> DataFrame:
     """The documents, all columns, whose score is at least `least`.
 
-    The statistics are worked out twice, once to fit and once to filter where the texts are, so that no text is shuffled.
+    The discriminant is fitted on about `sample` labelled rows at most, those with the least hashes of their ids; these ids are few enough to go
+    to every task, so that only the sample's statistics are worked out twice and no text is shuffled.
     """
-    model = fit_quality(document_statistics(docs), training_labels(labels, "quality", modulus, held))
+    known = training_labels(labels, "quality", modulus, held)
+    share = min(1.0, sample / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    texts = docs.select("doc_id", "text").join(F.broadcast(known.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    model = fit_quality(document_statistics(texts), F.broadcast(known))
     at = docs.columns.index("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # mapInArrow doesn't take names with dots
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(model.score(x) >= least))
+            x = np.array([statistics(t or "") for t in batch.column(0).field(at).to_pylist()]).reshape(-1, len(FEATURES))
+            row = batch.column(0).filter(pa.array(model.score(x) >= least))
+            yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in row.type])
 
-    return docs.mapInArrow(batches, docs.schema)
+    return rows.mapInArrow(batches, docs.schema)

@@ -15,7 +15,7 @@ from dispersa.llm.common import components, drop_table, materialise
 from dispersa.llm.paragraphs import SHINGLE, SIMILARITY, Words, _factors, _mix, close_links, shingles, tune_bands
 
 SEED = 42
-#: Reference fingerprints: an origin, one per bit of it flipped (they tell blocks apart), and spread ones.
+#: Reference fingerprints are ORIGIN and SPREAD random ones.
 ORIGIN = 0x9E3779B97F4A7C15
 BLOCKS = ((0, 16), (16, 32), (32, 48), (48, 64))
 SPREAD = 8
@@ -67,40 +67,28 @@ def _distance(fp: Column, pivot: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(_signed(pivot)).cast("long")))
 
 
-def pivot_table(fps: DataFrame, blocks=BLOCKS) -> DataFrame:
-    """fp with its distances to the references: `block` (an array of coordinate strings, one for each block of bits) and `far`.
-
-    The references of a block differ from the origin within that block only, so the coordinates relative to the
-    origin's are a function of the block's bits, and equal bits give equal coordinates. The spread
-    references are for the test of coordinate differences.
-    """
+def pivot_table(fps: DataFrame, pivots: int = SPREAD + 1) -> DataFrame:
+    """fp with `far`, its Hamming distances to the reference fingerprints, the same ones at every call."""
     rng = np.random.Generator(np.random.Philox(SEED))
-    spread = [int(x) for x in rng.integers(0, 1 << 64, SPREAD, dtype=np.uint64)]
-    origin = _distance(F.col("fp"), ORIGIN)
-    table = fps.withColumn("_o", origin)
-    parts = []
-    for low, high in blocks:
-        # each coordinate is the origin's plus or minus 1; as one digit a reference
-        digits = [(_distance(F.col("fp"), ORIGIN ^ (1 << i)) - F.col("_o") + 1).cast("string") for i in range(low, high)]
-        parts.append(F.conv(F.translate(F.concat(*digits), "2", "1"), 2, 16))
-    return table.select("fp", F.array(*parts).alias("block"), F.array(F.col("_o"), *[_distance(F.col("fp"), p) for p in spread]).alias("far"))
+    references = [ORIGIN, *(int(x) for x in rng.integers(0, 1 << 64, SPREAD, dtype=np.uint64))][:pivots]
+    return fps.select("fp", F.array(*[_distance(F.col("fp"), p) for p in references]).alias("far"))
 
 
 def close_pairs(fps: DataFrame, most: int = 2, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints, with every pair at distance <= `most` (1 or 2) connected.
 
-    Any two such fingerprints agree in at least two of the four blocks, so candidates are the pairs with equal
-    coordinates of two blocks. Those whose largest coordinate difference exceeds `most` go (a distance to a
-    reference can't differ by more than the distance between the two), the rest are verified. A bucket of
+    Any two such fingerprints agree in at least two of the four blocks of 16 bits, so only pairs that agree in two are looked at. Of
+    these, the pivot table discards those whose largest coordinate difference exceeds `most` (a distance to a
+    reference can't differ by more than the distance between the two), and the rest are verified. A bucket of
     over `bucket` fingerprints isn't paired up: its members meet at the fingerprints within one bit of them,
     where two members are at distance <= 2 exactly if they share one, and are linked to the
     least there. So no bucket makes more than a fixed number of rows for each member.
     """
     if most not in (1, 2):
         raise ValueError("most must be 1 or 2")
-    table = pivot_table(fps)
-    keys = [F.struct(F.lit(n).alias("n"), F.concat_ws("-", F.col("block")[i], F.col("block")[j]).alias("at")) for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    keyed = table.select("fp", "far", F.explode(F.array(*keys)).alias("key"))
+    part = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(0xFFFF).cast("long")) for low, _ in BLOCKS]
+    keys = [F.shiftleft(F.shiftleft(part[i], 16).bitwiseOR(part[j]), 3) + n for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
+    keyed = pivot_table(fps).select("fp", "far", F.explode(F.array(*keys)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     keyed = materialise(keyed.join(sizes, "key"))
     small = keyed.where(F.col("size") <= bucket)
@@ -155,12 +143,13 @@ def _text_hash() -> Column:
 
 def _only(docs: DataFrame, heads: DataFrame) -> DataFrame:
     """The documents that heads (doc_id, th, n: rows alike in both) name, once each."""
-    keys = heads.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
-    out = docs.withColumn("_h", _text_hash())
-    out = out.join(keys, out.doc_id.eqNullSafe(keys._d) & (out._h == keys._t), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.select(F.col("doc_id").alias("id"), _text_hash().alias("text_hash"), row)
+    keys = heads.select("doc_id", "th")
+    out = named.join(keys, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("th")), "left_semi")
     if not heads.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_h"])
-    return out.drop("_h")
+        out = out.dropDuplicates(["id", "text_hash"])
+    return out.select("row.*")
 
 
 def _text_key(h: np.ndarray) -> int:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dispersa.llm.common import drop_table, materialise, pieces, text_buffer
 
@@ -184,7 +185,7 @@ def _parts(raw: np.ndarray, offsets: np.ndarray, span: int) -> Iterator[tuple[in
                 yield low, at, part, np.array([0, len(part)])
 
 
-ANCHORS = "doc_id {id}, th int, start int, n int, off int, h long, seg long"
+ANCHORS = "doc_id {id}, th long, start int, n int, off int, h long, seg long"
 _KEY = ["doc_id", "th"]
 
 
@@ -236,7 +237,7 @@ def _segment_bytes(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                 ["doc_id", "th", "h", "copies", "crowded", "start", "n", "off", "body"],
             )
 
-    return joined.mapInArrow(batches, f"doc_id {kind}, th int, h long, copies long, crowded boolean, start int, n int, off int, body binary")
+    return joined.mapInArrow(batches, f"doc_id {kind}, th long, h long, copies long, crowded boolean, start int, n int, off int, body binary")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -299,7 +300,7 @@ def repeated_windows(members: Sequence[tuple[bytes, int, int]], span: int) -> li
     return flags
 
 
-SPANS = "doc_id {id}, th int, start int, bytes int"
+SPANS = "doc_id {id}, th long, start int, bytes int"
 
 
 def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +331,7 @@ def _group_spans(segments: DataFrame, span: int) -> DataFrame:
 
         types = None
         for batch in it:
-            types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32()]
+            types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32()]
             out: list[tuple] = []
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if group and group[-1][2] != row[2]:
@@ -345,7 +346,7 @@ def _group_spans(segments: DataFrame, span: int) -> DataFrame:
     return segments.repartition("h").sortWithinPartitions("h", "doc_id", "th", "start").mapInArrow(batches, SPANS.format(id=kind))
 
 
-PART = "doc_id {id}, th int, h long, copies long, r long, start int, n int, off int, body binary"
+PART = "doc_id {id}, th long, h long, copies long, r long, start int, n int, off int, body binary"
 
 
 def _cut_segments(segments: DataFrame, span: int, width: int) -> DataFrame:
@@ -418,8 +419,8 @@ def _whole(parts: DataFrame, known: DataFrame, span: int) -> DataFrame:
 def keyed_documents(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, th, text, ...): a hash of the text tells rows with one id apart. Carried columns come as one struct."""
     text = F.coalesce("text", F.lit(""))
-    more = [F.struct(*carry).alias("carried")] if carry else []
-    return docs.select("doc_id", F.hash(text).alias("th"), text.alias("text"), *more)
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"), *more)
 
 
 def repeated_spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -474,9 +475,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, kept: st
                 [batch.column(0), long([n for _, n, _ in found]), long([n - len(k) for _, n, k in found]), long([len(r) for r, _, _ in found]), runs, left, *batch.columns[3:]], names
             )
 
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, removed array<struct<start:int,length:int>>, kept {'binary' if kept == 'bytes' else 'string'}"
+    schema = StructType.fromDDL(f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, removed array<struct<start:int,length:int>>, kept {'binary' if kept == 'bytes' else 'string'}")
     if carry:
-        schema += f", carried {rows.schema['carried'].dataType.simpleString()}"
+        schema.add("carried", rows.schema["carried"].dataType)
     return joined.mapInArrow(batches, schema)
 
 

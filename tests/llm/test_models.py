@@ -221,3 +221,22 @@ def test_pipeline_stages_take_effect(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert pieces.select("doc_id").distinct().count() == sizes[3]
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(map(tuple, pieces.drop("sequence_id", "offset").collect()))
+
+
+def test_pipeline_keeps_extra_columns_rows_without_ids_and_empty_tables(spark):
+    docs = common.documents(spark, SF).where("doc_id < 150").drop("lang", "source")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    fresh = " ".join(f"word{i}" for i in range(40)) + "."
+    more = spark.createDataFrame([(None, f"It was so. {item}"), (None, fresh), (None, None), (None, "")], "doc_id long, text string")
+    docs = docs.unionByName(more.selectExpr("*", "cast(length(text) as long) AS n_chars"))
+    docs = docs.selectExpr("*", "'x' AS `_h`", "1 AS th", "'t' AS row", "2.5D AS `a.b`", "doc_id AS id")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        before, docs = docs, common.materialise(stage(spark, docs, SF))
+        assert docs.columns == before.columns
+    held = [r.text for r in docs.where("doc_id IS NULL").collect()]
+    assert fresh in held and not any(item in (t or "") for t in held)
+    assert {tuple(r) for r in docs.select("_h", "th", "row", "`a.b`").distinct().collect()} == {("x", 1, "t", 2.5)}
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, SF)
+        assert out.count() == 0

@@ -176,6 +176,18 @@ def test_names_at_sentence_begins_and_folded_case(spark):
     assert got == {(1, 10): False, (3, 11): True, (4, 11): True, (5, 12): True, (7, 13): True}
 
 
+def test_white_space_of_any_kind_and_rows_without_ids(spark):
+    spaced = [ITEM.replace(" ", x) for x in ("\t", "\u00a0", "\u3000", "\r\n", "  \n ")]
+    docs = spark.createDataFrame([*enumerate(spaced), (None, "x " + ITEM), (None, "nothing of it"), (None, None), (9, "own words"), (9, ITEM)], "doc_id long, text string")
+    docs = docs.selectExpr("*", "1 AS th", "'a' AS row", "doc_id AS `a.b`")
+    bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.contaminated(docs, bench).collect()} == {0, 1, 2, 3, 4, 9, None}
+    clean = decontamination.keep_clean(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in clean.collect()) == [(-1, ""), (-1, "nothing of it"), (9, "own words")]
+    assert decontamination.keep_clean(docs.limit(0), bench).count() == 0
+
+
 def test_decontamination_without_a_broadcast_or_rows(spark, monkeypatch, empty):
     docs = spark.createDataFrame([(1, "so " + ITEM), (2, "nothing of it " * 9)], "doc_id long, text string")
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")

@@ -66,7 +66,7 @@ def test_text_without_cut_characters_and_carried_columns(spark):
     s = "é" * 150
     df = spark.createDataFrame([(1, "a" + s, 5), (2, "b" + s + "ö", 6)], "doc_id long, text string, kept int")
     got = sorted((r.doc_id, r.kept, r.carried.kept) for r in suffixes.remove_repeats(df, kept="text", carry=["kept"]).collect())
-    assert got == [(1, "a", 5), (2, "bö", 6)]
+    assert got == [(1, "a", 5), (2, "b", 6)]  # the first byte of ö ends a string that starts earlier in its text
 
 
 def test_empty_table(empty):
