@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dispersa.llm.common import give_back
+
 WINDOW = 5
 #: Windows of the benchmark up to which their hashes go to every task, 8 bytes each; beyond, documents' windows are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
@@ -39,14 +41,14 @@ class Canon:
     """
 
     SLOTS = tuple(xxhash.xxh64_intdigest(x, 7) for x in ("<num>", "<unit>", "<name>"))
-    LIMIT = 500_000
+    LIMIT = 200_000  # tokens kept, about 40 MB
 
     def __init__(self):
         self._forget()
 
     def _forget(self):
         self.known: dict[str, int] = {}
-        self.rows: list[tuple[int, int, int, int, int]] = []  # kept, ends a sentence, symbol, symbol as a name, value
+        self.fresh: list[tuple[int, int, int, int, int]] = []  # kept, ends a sentence, symbol, symbol as a name, value
         self.marks, self.table, self.filled = np.zeros((2, 1024), bool), np.zeros((3, 1024), np.uint64), 0
 
     def _learn(self, token: str) -> int:
@@ -63,16 +65,16 @@ class Canon:
         else:
             h = xxhash.xxh64_intdigest(low, 7)
             row = (1, int(ends), h, name if body[:1].isupper() and not body[1:].isupper() and len(body) > 1 else h, h)
-        self.rows.append(row)
-        self.known[token] = len(self.rows) - 1
-        return len(self.rows) - 1
+        self.fresh.append(row)
+        self.known[token] = n = self.filled + len(self.fresh) - 1
+        return n
 
     def readings(self, text: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[str]]:
         """Symbols of the kept tokens in each reading, their values, their places among the raw tokens, and the raw tokens.
 
         Readings are one, where no word is in title case, or three: names only inside sentences, everywhere, nowhere.
         """
-        if len(self.rows) > self.LIMIT:
+        if self.filled > self.LIMIT:
             self._forget()
         tokens = text.replace("\n", f" {_BREAK} ").split()
         get, learn = self.known.get, self._learn
@@ -89,12 +91,13 @@ class Canon:
         return reads, value, place, tokens
 
     def _grow(self):
-        need = len(self.rows)
+        need = self.filled + len(self.fresh)
         while need > self.table.shape[1]:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
             self.marks = np.concatenate([self.marks, np.zeros_like(self.marks)], axis=1)
         if need > self.filled:
-            fresh = np.array(self.rows[self.filled :], np.uint64).T
+            fresh = np.array(self.fresh, np.uint64).T
+            self.fresh = []
             self.marks[:, self.filled : need] = fresh[:2] == 1
             self.table[:, self.filled : need] = fresh[2:]
             self.filled = need
@@ -191,7 +194,7 @@ def _windows(df: DataFrame, id_col: str, wanted, k: int, lengths: list[int] | No
                 ["id", "th", "pos", "h", "slots", "total", "size"],
             )
 
-    return df.select(id_col, "text", F.xxhash64("text")).mapInArrow(batches, f"id {kind}, th long, pos int, h long, slots array<string>, total int, size int")
+    return df.select(id_col, "text", F.xxhash64("text")).mapInArrow(give_back(batches), f"id {kind}, th long, pos int, h long, slots array<string>, total int, size int")
 
 
 def template_matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispersa.llm.common import materialise
+from dispersa.llm.common import give_back, materialise
 
 #: Texts are worked on in pieces of about PIECE bytes. Each of a worker's two tables of encoded words holds at most WORDS words and IDS ids.
 PIECE, WORDS, IDS = 1 << 19, 400_000, 1_500_000
@@ -237,7 +237,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 2, limit: i
             long = lambda x: pa.array(x, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(long(at)), *map(long, (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, ROW.format(id=kind))
+    return docs.select("doc_id", "text").mapInArrow(give_back(batches), ROW.format(id=kind))
 
 
 def pack_histogram(histogram: dict[int, int], limit: int = 4096) -> list[tuple[tuple[int, ...], int]]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dispersa.llm.common import components, drop_table, materialise
+from dispersa.llm.common import components, drop_table, give_back, materialise
 from dispersa.llm.paragraphs import SHINGLE, SIMILARITY, Words, _factors, _mix, close_links, shingles, tune_bands
 
 SEED = 42
@@ -193,7 +193,7 @@ def _profiles(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             listed = pa.array(keys, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ph, pa.int64()), listed], ["doc_id", "th", "ph", "keys"])
 
-    return docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(batches, f"doc_id {kind}, th long, ph long, keys array<long>")
+    return docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(give_back(batches), f"doc_id {kind}, th long, ph long, keys array<long>")
 
 
 def _text_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from dispersa.llm.common import drop_table, materialise, pieces, text_buffer
+from dispersa.llm.common import drop_table, give_back, materialise, pieces, text_buffer
 
 SPAN = 200
 GRAM = 64
@@ -208,7 +208,7 @@ def _anchors(rows: DataFrame, span: int, gram: int) -> DataFrame:
                     ["doc_id", "th", "start", "n", "off", "h", "seg"],
                 )
 
-    return rows.select("doc_id", "th", "text").mapInArrow(batches, ANCHORS.format(id=kind))
+    return rows.select("doc_id", "th", "text").mapInArrow(give_back(batches), ANCHORS.format(id=kind))
 
 
 def _same_key(left: DataFrame, right: DataFrame):
@@ -237,7 +237,7 @@ def _segment_bytes(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                 ["doc_id", "th", "h", "copies", "crowded", "start", "n", "off", "body"],
             )
 
-    return joined.mapInArrow(batches, f"doc_id {kind}, th long, h long, copies long, crowded boolean, start int, n int, off int, body binary")
+    return joined.mapInArrow(give_back(batches), f"doc_id {kind}, th long, h long, copies long, crowded boolean, start int, n int, off int, body binary")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -343,7 +343,7 @@ def _group_spans(segments: DataFrame, span: int) -> DataFrame:
             solve(out)
             yield made(out)
 
-    return segments.repartition("h").sortWithinPartitions("h", "doc_id", "th", "start").mapInArrow(batches, SPANS.format(id=kind))
+    return segments.repartition("h").sortWithinPartitions("h", "doc_id", "th", "start").mapInArrow(give_back(batches), SPANS.format(id=kind))
 
 
 PART = "doc_id {id}, th long, h long, copies long, r long, start int, n int, off int, body binary"
