@@ -63,18 +63,18 @@ def _likelihood(phi: np.ndarray, rows, mu: np.ndarray, ef: np.ndarray, en: np.nd
     return out
 
 
-def _maximise(f, low: np.ndarray, high: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Golden section on all features at once."""
+def _maximise(f, low: np.ndarray, high: np.ndarray, width: float = 1e-7) -> np.ndarray:
+    """Golden section on all features at once, down to intervals of `width`; one evaluation a round."""
     g = (np.sqrt(5) - 1) / 2
     a, b = low.copy(), high.copy()
     c, d = b - g * (b - a), a + g * (b - a)
     fc, fd = f(c), f(d)
-    for _ in range(rounds):
+    while (b - a).max(initial=0.0) > width:
         left = fc >= fd
         a, b = np.where(left, a, c), np.where(left, d, b)
-        c2, d2 = b - g * (b - a), a + g * (b - a)
-        c, d = c2, d2
-        fc, fd = f(c), f(d)
+        new = np.where(left, b - g * (b - a), a + g * (b - a))
+        fn = f(new)
+        c, d, fc, fd = np.where(left, new, d), np.where(left, c, new), np.where(left, fn, fd), np.where(left, fc, fn)
     return (a + b) / 2
 
 
@@ -104,7 +104,7 @@ def _fit_batch(pdf: pd.DataFrame, spectrum: dict[str, tuple[np.ndarray, np.ndarr
             over = ~done & (2 * (top - ll(y)) > CHI_90)
             lo, hi, done = np.where(over, x, lo), np.where(over, y, hi), done | over
             x = y
-        for _ in range(40):
+        for _ in range(29):  # from one half to 1e-9
             mid = (lo + hi) / 2
             over = 2 * (top - ll(mid)) > CHI_90
             lo, hi = np.where(over, lo, mid), np.where(over, mid, hi)
@@ -114,21 +114,13 @@ def _fit_batch(pdf: pd.DataFrame, spectrum: dict[str, tuple[np.ndarray, np.ndarr
     return pd.concat(out, ignore_index=True)
 
 
-#: Distinct exposures of a dataset beyond which they are rounded to this many significant digits before they go to tasks.
-EXPOSURE_DIGITS = 4
-
-
-def exposure_spectrum(units: DataFrame, most: int = 200_000) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def exposure_spectrum(units: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """For each dataset its distinct exposures and how many units have each.
 
-    Libraries are integers, so exposures repeat. Were there over `most` in all, they would be rounded to
-    EXPOSURE_DIGITS digits, which bounds the table at any number of units.
+    Libraries are integers and an exposure is a library over a constant, so there are no more rows than distinct library
+    sizes, 16 bytes each, however many units there are.
     """
-    table = units.groupBy("dataset", "expo").agg(F.count("*").alias("n"))
-    if table.limit(most + 1).count() > most:
-        scale = F.pow(F.lit(10.0), EXPOSURE_DIGITS - 1 - F.floor(F.log10("expo")))
-        table = units.groupBy("dataset", (F.round(F.col("expo") * scale) / scale).alias("expo")).agg(F.count("*").alias("n"))
-    got = table.toPandas()
+    got = units.groupBy("dataset", "expo").agg(F.count("*").alias("n")).toPandas()
     return {d: (p["expo"].to_numpy(float), p["n"].to_numpy(float)) for d, p in got.groupby("dataset")}
 
 

@@ -8,7 +8,7 @@ from dispersa.operators import axes, classes, coexpression, fitting, offsets, qc
 from dispersa.plans.bindings import COUNTS_SQL, counts
 from dispersa.plans.count_queries import _expo
 from dispersa.plans.registry import register, rounded
-from dispersa.plans.test_queries import CLASSED, PARTS_SQL, _classed, part_tests
+from dispersa.plans.testing_queries import CLASSED, PARTS_SQL, _classed, part_tests
 
 WITH = "WITH " + COUNTS_SQL.strip()
 
