@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -16,8 +16,8 @@ from dispersa.llm.common import give_back, materialise
 
 #: Texts are worked on in pieces of about PIECE bytes. Each of a worker's two tables of encoded words holds at most WORDS words and IDS ids.
 PIECE, WORDS, IDS = 1 << 19, 400_000, 1_500_000
-#: Ranks of a length are cut into about CHUNKS chunks; slot rows up to BROADCAST_SLOTS (56 bytes each) go to every task, more are joined by a shuffle.
-CHUNKS, BROADCAST_SLOTS = 1024, 500_000
+#: Slot rows up to BROADCAST_SLOTS (56 bytes each) go to every task, more are joined by a shuffle.
+BROADCAST_SLOTS = 200_000
 ROW = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 _ODD = 0x9E3779B97F4A7C15
 #: Classes of bytes: white space, ASCII letters, marks that stand apart from letters, all others.
@@ -313,8 +313,10 @@ def pack_pieces(pieces: DataFrame, limit: int = 4096) -> DataFrame:
     spark = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `limit` rows
     rows = place(pack_histogram(histogram, limit))
-    # ranks of a length are cut into chunks, so that the join is by equal keys; a slot row comes once for each chunk that it reaches into
-    chunk = {size: max(1, n // CHUNKS) for size, n in histogram.items()}
+    # ranks of a length are cut into as many chunks as it has slot rows, so that the join is by equal keys; a slot row comes once for each
+    # chunk that it reaches into, which makes the table twice as long at most
+    several = Counter(r[0] for r in rows)
+    chunk = {size: -(-n // several[size]) for size, n in histogram.items()}
     cut = [(size, part, low, high, at, offset, repeats) for size, low, high, at, offset, repeats in rows for part in range(low // chunk[size], high // chunk[size] + 1)]
     slots = spark.createDataFrame(cut, "_size long, _part long, _low long, _high long, _sequence long, _offset long, _repeats long")
     sizes = spark.createDataFrame(sorted(chunk.items()), "_s long, _chunk long")

@@ -87,7 +87,6 @@ def test_encoder_agrees_with_the_tokenizer(monkeypatch, words, piece):
 
 @pytest.mark.parametrize("most", [0, 10**6])
 def test_pieces_of_one_length_are_placed_gaplessly(spark, monkeypatch, most):
-    monkeypatch.setattr(packing, "CHUNKS", 8)
     monkeypatch.setattr(packing, "BROADCAST_SLOTS", most)
     lengths = [10] * 700 + [100] * 90 + [33] * 210 + [7, 90, 64]
     pieces = spark.createDataFrame([(i, 0, n, 1) for i, n in enumerate(lengths)], "doc_id long, start long, length long, ids_crc32 long")
