@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dispersa.llm.common import documents
 from dispersa.llm.decontamination import contaminated
 from dispersa.llm.fingerprints import edited_fingerprints
+from dispersa.llm.lexical import top_documents
 from dispersa.llm.lm import language_scores
 from dispersa.llm.packing import pack_documents
 from dispersa.llm.paragraphs import repeated_paragraphs
@@ -67,10 +68,15 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(documents(spark, sf_dir))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_suffixes, op2_simhash, op3_rendezvous, op4_decontamination, op5_packing,
         op6_fingerprints, op7_language_model, op8_toxicity, op9_quality, op10_paragraphs,
+        op11_lexical,
     )
     return {f.__name__: f for f in registered}
 
@@ -113,6 +119,20 @@ t AS (SELECT *, first_value(doc_id) OVER q AS kept_doc_id, first_value(i) OVER q
 SELECT doc_id, i AS start, size AS words, kept_doc_id, kept_start, doc_id <> kept_doc_id OR i <> kept_start AS removed FROM t WHERE n > 1"""
 
 
+#: Every document scored for every item, without lists or bounds.
+OP11_SQL = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT k, doc_id, len(ts) AS n, ts FROM d WHERE len(ts) > 0),
+s AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM c),
+p AS (SELECT k, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT k, doc_id, n, unnest(ts) AS term FROM c) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i),
+w AS (SELECT item_id, text, term, count(*) * floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM q JOIN f USING (term), s GROUP BY item_id, text, term, nd, df),
+r AS (SELECT item_id, w.text, k, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l))))::BIGINT AS score FROM w JOIN p USING (term), s GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM t WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries have no SQL: XXH64, crc32, learned scores, packing and parsing aren't expressible; tests hold them against brute force."""
-    return {"op1_suffixes": OP1_SQL, "op10_paragraphs": OP10_SQL}
+    return {"op1_suffixes": OP1_SQL, "op10_paragraphs": OP10_SQL, "op11_lexical": OP11_SQL}
