@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispersa.llm.common import documents
+from dispersa.llm.common import documents, small_batches
 from dispersa.llm.decontamination import contaminated
 from dispersa.llm.fingerprints import edited_fingerprints
 from dispersa.llm.lexical import top_documents
@@ -19,6 +19,7 @@ from dispersa.llm.sharding import op3_shards
 from dispersa.llm.simhash import near_duplicates
 from dispersa.llm.suffixes import remove_repeats
 from dispersa.llm.toxicity import toxicity_scores
+from dispersa.llm.trie import rebuilt, trie_nodes, turn_sequences
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -72,11 +73,16 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return trie_nodes(rebuilt(turn_sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_suffixes, op2_simhash, op3_rendezvous, op4_decontamination, op5_packing,
         op6_fingerprints, op7_language_model, op8_toxicity, op9_quality, op10_paragraphs,
-        op11_lexical,
+        op11_lexical, op12_prefix_trie,
     )
     return {f.__name__: f for f in registered}
 
@@ -133,6 +139,21 @@ t AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DES
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM t WHERE rank <= 20"""
 
 
+#: crc32 as a fold over eight bits a digit; a node is the digests of its path, its ancestors are its prefixes.
+OP12_SQL = """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, md5(strlen(role)::VARCHAR || ':' || role || text) AS key, strlen(text) AS size, role, turn FROM t),
+s AS (SELECT conv_id, list({'key': key, 'size': size} ORDER BY turn NULLS FIRST, role, key) AS ts FROM k GROUP BY conv_id),
+y AS (SELECT conv_id, [xor(4294967295, ascii((conv_id::VARCHAR)[1])::BIGINT)] || [0::BIGINT for z in range(7)] || flatten([[ascii(ch)::BIGINT] || [0::BIGINT for z in range(7)] for ch in string_split((conv_id::VARCHAR)[2:], '') if ch <> '']) || [0::BIGINT] AS bits FROM s),
+h AS (SELECT conv_id, xor(4294967295, list_reduce(bits, lambda a, b: xor(xor(a >> 1, 3988292384 * (a & 1)), b))) % 9 AS h FROM y),
+r AS (SELECT s.conv_id, coalesce(b.ts[1:h], []) || s.ts[h + 1:] AS ts FROM s JOIN h USING (conv_id) LEFT JOIN s b ON b.conv_id = s.conv_id - s.conv_id % 5),
+p AS (SELECT conv_id, len(ts) AS total, d, array_to_string([x.key for x in ts[1:d]], '') AS path, array_to_string([x.key for x in ts[1:d - 1]], '') AS up, coalesce(ts[d].size, 0) AS size FROM (SELECT *, unnest(range(len(ts) + 1)) AS d FROM r)),
+n AS (SELECT path, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (total = d), '')) AS ends_sha256 FROM p GROUP BY path, d),
+c AS (SELECT up, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.up = n.path),
+z AS (SELECT substr(path, 1, 32 * a) AS path, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS a FROM w) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, z.n_leaves, z.saved_tokens, w.ends_sha256 FROM w JOIN z ON z.path = w.path LEFT JOIN n u ON w.d > 0 AND u.path = w.up"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries have no SQL: XXH64, crc32, learned scores, packing and parsing aren't expressible; tests hold them against brute force."""
-    return {"op1_suffixes": OP1_SQL, "op10_paragraphs": OP10_SQL, "op11_lexical": OP11_SQL}
+    return {"op1_suffixes": OP1_SQL, "op10_paragraphs": OP10_SQL, "op11_lexical": OP11_SQL, "op12_prefix_trie": OP12_SQL}
