@@ -12,6 +12,7 @@ from dispersa.llm.decontamination import contaminated
 from dispersa.llm.fingerprints import edited_fingerprints
 from dispersa.llm.lexical import top_documents
 from dispersa.llm.lm import language_scores
+from dispersa.llm.multiindex import linked_vectors
 from dispersa.llm.packing import pack_documents
 from dispersa.llm.paragraphs import repeated_paragraphs
 from dispersa.llm.quality import quality_scores
@@ -78,11 +79,16 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_nodes(rebuilt(turn_sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return linked_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_suffixes, op2_simhash, op3_rendezvous, op4_decontamination, op5_packing,
         op6_fingerprints, op7_language_model, op8_toxicity, op9_quality, op10_paragraphs,
-        op11_lexical, op12_prefix_trie,
+        op11_lexical, op12_prefix_trie, op13_multi_index,
     )
     return {f.__name__: f for f in registered}
 
