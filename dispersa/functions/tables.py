@@ -68,7 +68,7 @@ def exposure_tables(expo: np.ndarray, weights: np.ndarray, block: int = 8192) ->
     return sums[0], sums[1], sums[2]
 
 
-def golden(f, low: np.ndarray, high: np.ndarray, width: float = 1e-6) -> np.ndarray:
+def golden(f, low: np.ndarray, high: np.ndarray, width: float = 1e-5) -> np.ndarray:
     """The maximum of f on all lanes at once by golden sections."""
     g = (np.sqrt(5) - 1) / 2
     a, b = low.copy(), high.copy()

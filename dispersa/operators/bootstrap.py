@@ -160,37 +160,45 @@ def draw_contrasts(refits: DataFrame, shares: DataFrame) -> DataFrame:
     bsize and kbal of log2 burst size and kinetic balance, kbalsup the latter from the other splits; rbsize and rkbal their differences.
     Noise of cis and trans comes from the noise split, kbal from the balance split. A dispersion of 0 is an infinite log; null is undefined.
     """
-    at = lambda c, name: F.col(c)[AT[name]]
     side = lambda name: name[:4] in ("HYB.", "HYC.", "HYT.") and name[4:6]
     scale = {False: F.lit(1.0), "SC": 2 * F.col("cbar"), "SE": 2 * (1 - F.col("cbar"))}
     share = {False: F.lit(0.0), "SC": F.col("r_c"), "SE": F.col("r_e")}
     fits = refits.join(shares, "draw")
-    fixed = [F.greatest((at("phi", n) - share[side(n)]) / (1 + share[side(n)]), F.lit(0.0)) for n in AT]
-    fits = fits.select("draw", "feature", F.array(*[at("mu", n) / scale[side(n)] for n in AT]).alias("mu"), F.array(*[F.when(at("phi", n).isNotNull(), x) for n, x in zip(AT, fixed)]).alias("phi"))
-    mu, phi = (lambda n: at("mu", n)), (lambda n: at("phi", n))
-    weighted = lambda mode, f: _sum([w * f(n) for n, w in MODE_GROUPS[mode].items()])
+    means = [(F.col("mu")[i] / scale[side(n)]).alias(f"m{i}") for n, i in AT.items()]
+    fixed = [F.greatest((F.col("phi")[i] - share[side(n)]) / (1 + share[side(n)]), F.lit(0.0)) for n, i in AT.items()]
+    fits = fits.select("draw", "feature", *means, *[F.when(F.col("phi")[i].isNotNull(), x).alias(f"p{i}") for i, x in enumerate(fixed)])
+    def slots(mode: str) -> list[Column]:
+        own, noise, balance = (list(MODE_GROUPS[m].items()) for m in (mode, NOISE_OF.get(mode, mode), BALANCE_OF.get(mode, mode)))
+        out = []
+        for k in range(4):
+            there = k < len(own)
+            value = lambda c, groups, k=k, there=there: F.col(f"{c}{AT[groups[k][0]]}") if there else F.lit(None).cast("double")
+            named = {"w": F.lit(own[k][1] if there else 0.0), "a": value("m", own), "n": value("m", noise), "q": value("p", noise), "b": value("m", balance), "r": value("p", balance)}
+            out += [x.alias(f"{c}{k}") for c, x in named.items()]
+        return out
+
+    rows = [F.struct(F.lit(mode).alias("mode"), F.lit(mode in ("mid", "par_sc", "par_se")).alias("arithmetic"), *slots(mode)) for mode in REPORTED]
+    each = fits.select("draw", "feature", F.explode(F.array(*rows)).alias("x")).select("draw", "feature", "x.*")
     cv2 = lambda m, p: F.when((m > 0) & (p > 0), p + 1 / m)
-    hybrid = lambda f: (f("HYB.SC") + f("HYB.SE")) / 2
-    rows = []
-    for mode in REPORTED:
-        noise, balance = NOISE_OF.get(mode, mode), BALANCE_OF.get(mode, mode)
-        parents = ["MIX.SC", "MIX.SE"] if mode == "mid" else [f"MIX.{mode[-2:].upper()}"]
-        if mode in ("mid", "par_sc", "par_se"):
-            means = {m: _log2(hybrid(mu)) - _log2(_sum([mu(p) for p in parents]) / len(parents)) for m in (mode, balance)}
-            spread = F.log2(cv2(hybrid(mu), hybrid(phi))) - _sum([F.log2(cv2(mu(p), phi(p))) for p in parents]) / len(parents)
-        else:
-            means = {m: weighted(m, lambda n: _log2(mu(n))) for m in (mode, balance)}
-            spread = weighted(noise, lambda n: F.log2(cv2(mu(n), phi(n))))
-        means = {m: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x) for m, x in means.items()}
-        disp = {m: weighted(m, lambda n: _log2(phi(n))) for m in (noise, balance)}
-        bsize = weighted(noise, lambda n: mu(n.removesuffix(".N")) * phi(n))
-        kbal = weighted(balance, lambda n: F.when((mu(n) > 0) & (phi(n) > 0), 1 / (mu(n) * phi(n) * phi(n))))
-        values = {
-            "mean": means[mode], "disp": disp[noise], "rdisp": weighted(noise, phi), "cv2": spread, "bsize": means[mode] + disp[noise], "kbal": -means[balance] - 2 * disp[balance],
-            "kbalsup": -means[mode] - 2 * disp[noise], "rbsize": bsize, "rkbal": kbal,
-        }
-        rows.append(F.struct(F.lit(mode).alias("mode"), *[x.alias(q) for q, x in values.items()]))
-    return fits.select("draw", "feature", F.explode(F.array(*rows)).alias("x")).select("draw", "feature", "x.*")
+    logs = {"la": lambda k: _log2(F.col(f"a{k}")), "lq": lambda k: _log2(F.col(f"q{k}")), "lb": lambda k: _log2(F.col(f"b{k}")), "lr": lambda k: _log2(F.col(f"r{k}")), "lc": lambda k: F.log2(cv2(F.col(f"n{k}"), F.col(f"q{k}")))}
+    each = each.select("*", *[f(k).alias(f"{c}{k}") for c, f in logs.items() for k in range(4)])
+    total = lambda f: _sum([F.when(F.col(f"w{k}") == 0, 0.0).otherwise(F.col(f"w{k}") * f(k)) for k in range(4)])
+    column = lambda c: lambda k: F.col(f"{c}{k}")
+    # modes of a hybrid against parents hold its alleles in the first two slots
+    two = F.col("w3") != 0
+    hybrid, parents = lambda c: (F.col(f"{c}0") + F.col(f"{c}1")) / 2, lambda c: F.when(two, (F.col(f"{c}2") + F.col(f"{c}3")) / 2).otherwise(F.col(f"{c}2"))
+    finite = lambda x: F.when(F.abs(x) < float("inf"), x)
+    each = each.select(
+        "draw", "feature", "mode", "arithmetic", total(column("la")).alias("own"), total(column("lb")).alias("balanced"), _log2(hybrid("a")).alias("up"), _log2(parents("a")).alias("down"),
+        total(column("lq")).alias("disp"), total(column("lr")).alias("_r"), total(column("q")).alias("rdisp"), total(column("lc")).alias("_c"), F.log2(cv2(hybrid("n"), hybrid("q"))).alias("_h"), parents("lc").alias("_p"),
+        total(lambda k: F.col(f"a{k}") * F.col(f"q{k}")).alias("rbsize"), total(lambda k: F.when((F.col(f"b{k}") > 0) & (F.col(f"r{k}") > 0), 1 / (F.col(f"b{k}") * F.col(f"r{k}") * F.col(f"r{k}")))).alias("rkbal"),
+    )
+    apart = finite(F.col("up") - F.col("down"))
+    each = each.withColumn("mean", F.when(F.col("arithmetic"), apart).otherwise(finite(F.col("own")))).withColumn("_m", F.when(F.col("arithmetic"), apart).otherwise(finite(F.col("balanced"))))
+    return each.select(
+        "draw", "feature", "mode", "mean", "disp", "rdisp", F.when(F.col("arithmetic"), F.col("_h") - F.col("_p")).otherwise(F.col("_c")).alias("cv2"), (F.col("mean") + F.col("disp")).alias("bsize"),
+        (-F.col("_m") - 2 * F.col("_r")).alias("kbal"), (-F.col("mean") - 2 * F.col("disp")).alias("kbalsup"), "rbsize", "rkbal",
+    )
 
 
 QUANTITIES = ("mean", "disp", "rdisp", "cv2", "bsize", "kbal", "kbalsup", "rbsize", "rkbal")
@@ -198,26 +206,27 @@ INFINITE = ("disp", "bsize", "kbal", "kbalsup")  # logs of dispersions, which ma
 
 
 def bootstrap_summary(values: DataFrame) -> DataFrame:
-    """(feature, mode, quantity, est, se, lo, hi, zero, flagged, nfin) of draw_contrasts: draw 0 is the estimate, the others are resamples.
+    """(feature, mode, quantity, est, se, lo, hi, zero, flagged, nfin, cor) of draw_contrasts: draw 0 is the estimate, the others are resamples.
 
     lo and hi are the draws' 2.5 and 97.5 % points without interpolation. For logs of dispersions infinite draws count, zero is their
     share, and se is the interval over 3.92, infinite with an infinite end; for the others se is the standard deviation of the finite
-    draws. Null under three draws. nfin: share of finite draws.
+    draws. Null under three draws. nfin: share of finite draws. cor: for disp, its draws' correlation with those of mean, as draw_correlations has it.
     """
-    long = values.select("draw", "feature", "mode", F.explode(F.array(*[F.struct(F.lit(q).alias("quantity"), F.col(q).alias("v")) for q in QUANTITIES])).alias("x")).select("draw", "feature", "mode", "x.*")
+    long = values.select("draw", "feature", "mode", "mean", "disp", F.explode(F.array(*[F.struct(F.lit(q).alias("quantity"), F.col(q).alias("v")) for q in QUANTITIES])).alias("x")).select("draw", "feature", "mode", "mean", "disp", "x.*")
     drawn, inf = F.when(F.col("draw") > 0, F.col("v")), float("inf")
     finite = F.when(F.abs(drawn) < inf, drawn)
+    both = (F.col("draw") > 0) & (F.abs("mean") < inf) & (F.abs("disp") < inf)
     point = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN draw > 0 THEN v END)")
     s = long.groupBy("feature", "mode", "quantity").agg(
         F.max(F.when(F.col("draw") == 0, F.col("v"))).alias("est"), point(0.025).alias("lo"), point(0.975).alias("hi"), F.stddev_samp(finite).alias("sd"), F.count(drawn).alias("n"),
-        F.count(finite).alias("nf"), F.count_if(F.col("draw") > 0).alias("all"),
+        F.count(finite).alias("nf"), F.count_if(F.col("draw") > 0).alias("all"), F.corr(F.when(both, F.col("mean")), F.when(both, F.col("disp"))).alias("c"), F.count_if(both).alias("nc"),
     )
     some, logs = F.col("n") >= 3, F.col("quantity").isin(*INFINITE)
     width = F.when((F.abs("lo") < inf) & (F.abs("hi") < inf), (F.col("hi") - F.col("lo")) / 3.92).otherwise(inf)
     zero = F.when(some & logs, 1 - F.col("nf") / F.col("n"))
     return s.select(
         "feature", "mode", "quantity", "est", F.when(some, F.when(logs, width).otherwise(F.col("sd"))).alias("se"), F.when(some, F.col("lo")).alias("lo"), F.when(some, F.col("hi")).alias("hi"),
-        zero.alias("zero"), (zero > ZERO_FLAG).alias("flagged"), (F.col("nf") / F.col("all")).alias("nfin"),
+        zero.alias("zero"), (zero > ZERO_FLAG).alias("flagged"), (F.col("nf") / F.col("all")).alias("nfin"), F.when((F.col("quantity") == "disp") & (F.col("nc") > 2) & ~F.isnan("c"), F.col("c")).alias("cor"),
     )
 
 

@@ -8,7 +8,7 @@ from dispersa.operators import axes, classes, coexpression, fitting, offsets, qc
 from dispersa.plans.bindings import COUNTS_SQL, counts
 from dispersa.plans.count_queries import _expo
 from dispersa.plans.registry import register, rounded
-from dispersa.plans.testing_queries import CLASSED, PARTS_SQL, _classed, part_tests
+from dispersa.plans.class_queries import CLASSED, PARTS_SQL, _classed, part_tests
 
 WITH = "WITH " + COUNTS_SQL.strip()
 
@@ -61,7 +61,7 @@ def typed(spark, sf):
     return axes.typed_pairs(pairs, poles)
 
 
-@register("e10_partition_report", f"""{WITH}, r AS (SELECT dataset, lib, row_number() OVER (PARTITION BY dataset ORDER BY lib DESC, unit) AS rk, count(*) OVER (PARTITION BY dataset) AS n FROM units),
+@register("e10_median_libraries", f"""{WITH}, r AS (SELECT dataset, lib, row_number() OVER (PARTITION BY dataset ORDER BY lib DESC, unit) AS rk, count(*) OVER (PARTITION BY dataset) AS n FROM units),
 k AS (SELECT dataset, any_value(n) AS n, CAST(round_even(0.4 * any_value(n), 0) AS BIGINT) AS k FROM r GROUP BY dataset),
 p AS (SELECT DISTINCT dataset, CAST(round_even(1 + j * CASE WHEN k > 1 THEN (n - 1) / (k - 1) ELSE 0 END, 0) AS BIGINT) AS rk FROM (SELECT *, unnest(range(k)) AS j FROM k))
 SELECT r.dataset, CASE WHEN p.rk IS NULL THEN 't' ELSE 'c' END AS side, count(*) AS n, round(quantile_cont(lib, 0.5), 6) AS median_lib FROM r LEFT JOIN p ON r.dataset = p.dataset AND r.rk = p.rk GROUP BY ALL""")

@@ -10,7 +10,7 @@ from dispersa.operators import coexpression, contrasts, enrichment, fitting, inf
 from dispersa.plans.bindings import counts
 from dispersa.plans.count_queries import _MODES, STATS, WITH, _expo, _pairs, _units
 from dispersa.plans.registry import register, rounded
-from dispersa.plans.testing_queries import PARTS_SQL, part_tests
+from dispersa.plans.class_queries import PARTS_SQL, part_tests
 from dispersa.session import read_table
 
 _CLS = """, fc AS (SELECT dataset, feature, mu, greatest(disp_moment, 0) AS disp, CASE WHEN disp_moment > 0.02 THEN 1 WHEN n_expr > 150 THEN 2 ELSE 3 END AS class, n_expr >= 120 AS info_ok FROM mom)"""

@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FLAGSHIP = "q1_unit_totals"
-MODULES = ("count_queries", "testing_queries", "table_queries", "more_queries", "axis_queries", "report_queries")
+MODULES = ("count_queries", "class_queries", "table_queries", "more_queries", "axis_queries", "report_queries", "resampling_queries")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
-    """Decorator that files a query, and its SQL where there is one."""
+    """Decorator that files a query, and its SQL where there is one; a name is given once."""
 
     def keep(f):
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
         _QUERIES[name] = f
         if sql is not None:
             _ORACLE[name] = sql

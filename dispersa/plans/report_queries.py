@@ -12,7 +12,7 @@ from dispersa.operators import contrasts, fitting, offsets, reports, resampling,
 from dispersa.plans.bindings import counts
 from dispersa.plans.count_queries import _MODES, EXPO, PAIRS, STATS, WITH, _expo, _pairs, _units
 from dispersa.plans.registry import _ORACLE, register, rounded
-from dispersa.plans.testing_queries import CLASSED, PARTS_SQL, _classed, part_tests
+from dispersa.plans.class_queries import CLASSED, PARTS_SQL, _classed, part_tests
 from dispersa.session import read_table
 from dispersa.sources import results
 
