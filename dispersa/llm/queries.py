@@ -108,7 +108,7 @@ SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_s
 FROM d LEFT JOIN p ON d.doc_id = p.doc_id"""
 
 
-#: Blocks of words at the least md5 numbers around; shingle overlaps of long blocks by one join, components by a recursive closure.
+#: Blocks of words at the least md5 numbers around and whole short texts; shingle overlaps of long blocks and of those by one join, components by a recursive closure.
 OP10_SQL = """WITH RECURSIVE
 l AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT doc_id, len(ws) AS n, unnest(range(len(ws))) AS i, unnest(list_transform(ws, lambda x: md5_number_lower(x)::HUGEINT)) AS h FROM l),
@@ -116,10 +116,10 @@ a AS (SELECT doc_id, n, i,
         i = 0 OR (h < coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), h + 1) AND h <= coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), h)) AS short,
         h < coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), h + 1) AND h <= coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING), h) AS long
       FROM p),
-b AS (SELECT doc_id, i, 20 AS size FROM a WHERE short AND i + 20 <= n UNION ALL SELECT doc_id, i, 60 FROM a WHERE long AND i + 60 <= n),
-occ AS (SELECT doc_id, i, size, ws[i + 1:i + size] AS words, array_to_string(ws[i + 1:i + size], ' ') AS para FROM b JOIN l USING (doc_id)),
-d AS (SELECT para, any_value(words) AS words, any_value(size) AS size, row_number() OVER (ORDER BY para) AS id FROM occ GROUP BY para),
-g AS (SELECT DISTINCT id, array_to_string(words[j:j + 4], ' ') AS s FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS j FROM d WHERE size = 60)),
+b AS (SELECT doc_id, i, 12 AS size, false AS banded FROM a WHERE short AND i + 12 <= n UNION ALL SELECT doc_id, i, 60, true FROM a WHERE long AND i + 60 <= n UNION ALL SELECT doc_id, 0, n, n >= 5 FROM a WHERE i = 0 AND n < 60),
+occ AS (SELECT doc_id, i, size, bool_or(banded) AS banded, ws[i + 1:i + size] AS words, array_to_string(ws[i + 1:i + size], ' ') AS para FROM b JOIN l USING (doc_id) GROUP BY ALL),
+d AS (SELECT para, any_value(words) AS words, bool_or(banded) AS banded, row_number() OVER (ORDER BY para) AS id FROM occ GROUP BY para),
+g AS (SELECT DISTINCT id, array_to_string(words[j:j + 4], ' ') AS s FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS j FROM d WHERE banded)),
 z AS (SELECT id, count(*) AS n FROM g GROUP BY id),
 c AS (SELECT a.id AS x, b.id AS y, count(*) AS n FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
 k AS (SELECT x, y FROM c JOIN z u ON u.id = x JOIN z v ON v.id = y WHERE c.n >= 0.8 * (u.n + v.n - c.n)),
@@ -128,7 +128,7 @@ r AS (SELECT id, id AS root FROM d UNION SELECT e.y, r.root FROM r JOIN e ON r.i
 m AS (SELECT id, min(root) AS cluster FROM r GROUP BY id),
 f AS (SELECT doc_id, i, occ.size AS size, cluster FROM occ JOIN d USING (para) JOIN m USING (id)),
 t AS (SELECT *, first_value(doc_id) OVER q AS kept_doc_id, first_value(i) OVER q AS kept_start, count(*) OVER (PARTITION BY cluster) AS n FROM f WINDOW q AS (PARTITION BY cluster ORDER BY doc_id, i))
-SELECT doc_id, i AS start, size AS words, kept_doc_id, kept_start, doc_id <> kept_doc_id OR i <> kept_start AS removed FROM t WHERE n > 1"""
+SELECT doc_id, i AS start, size AS words, kept_doc_id, kept_start, (doc_id <> kept_doc_id OR i <> kept_start) AND size >= 12 AS removed FROM t WHERE n > 1"""
 
 
 #: Every document scored for every item, without lists or bounds.

@@ -101,18 +101,21 @@ def brute_blocks(text):
     w = (text or "").encode().lower().split()
     h = [int.from_bytes(hashlib.md5(x).digest()[8:], "little") for x in w]
     out = []
-    for size, reach in ((20, 5), (60, 30)):
+    for size, reach in ((12, 5), (60, 30)):
         for i in range(len(w) - size + 1):
-            if i == 0 and size == 20 or h[i] < min(h[max(0, i - reach) : i], default=1 << 64) and h[i] <= min(h[i : i + reach + 1]):
-                out.append((i, tuple(w[i : i + size])))
+            if i == 0 and size == 12 or h[i] < min(h[max(0, i - reach) : i], default=1 << 64) and h[i] <= min(h[i : i + reach + 1]):
+                out.append((i, tuple(w[i : i + size]), size == 60))
+    if 0 < len(w) < 60:
+        out.append((0, tuple(w), len(w) >= 5))
     return out
 
 
 def brute_paragraphs(rows, similarity=0.8):
-    occ = defaultdict(set)
+    occ, banded = defaultdict(set), set()
     for d, t in rows:
-        for i, w in brute_blocks(t):
+        for i, w, similar in brute_blocks(t):
             occ[w].add((d is not None, d or 0, i))
+            banded |= {w} if similar else set()
     keys = list(occ)
     sets = [{k[i : i + 5] for i in range(len(k) - 4)} for k in keys]
     parent = list(range(len(keys)))
@@ -124,7 +127,7 @@ def brute_paragraphs(rows, similarity=0.8):
 
     for i in range(len(keys)):
         for j in range(i):
-            if len(keys[i]) == len(keys[j]) == 60:
+            if keys[i] in banded and keys[j] in banded:
                 n = len(sets[i] & sets[j])
                 if n >= similarity * (len(sets[i]) + len(sets[j]) - n):
                     parent[find(i)] = find(j)
@@ -136,7 +139,7 @@ def brute_paragraphs(rows, similarity=0.8):
         there, d, i, _ = min(g)
         first = d if there else None
         if len(g) > 1:
-            out |= {(d if there else None, s, n, first, i, (d if there else None, s) != (first, i)) for there, d, s, n in g}
+            out |= {(d if there else None, s, n, first, i, n >= 12 and (d if there else None, s) != (first, i)) for there, d, s, n in g}
     return out
 
 
@@ -154,11 +157,45 @@ def test_passages_within_lines_are_caught():
     for _ in range(300):
         passage = [f"p{x}" for x in rng.integers(0, 10**6, 51)]
         texts = [" ".join([f"w{x}" for x in rng.integers(0, 10**6, rng.integers(0, 60))] + passage + [f"v{x}" for x in rng.integers(0, 10**6, 40)]) for _ in range(2)]
-        a, b = ({w for _, w in brute_blocks(t)} for t in texts)
+        a, b = ({w for _, w, _ in brute_blocks(t)} for t in texts)
         caught += bool(a & b)
     assert caught >= 0.95 * 300
 
 
+@pytest.mark.parametrize(("words", "edited", "least"), [(5, 0, 1.0), (8, 0, 1.0), (12, 0, 1.0), (19, 0, 1.0), (40, 1, 0.95), (59, 1, 0.95), (59, 2, 0.9)])
+def test_recall_of_whole_short_texts(spark, words, edited, least):
+    """Texts of one paragraph and copies of them, with edits that leave a similarity of 0.8."""
+    rng = np.random.Generator(np.random.Philox(words))
+    rows = []
+    for n in range(100):
+        text = [f"w{x}" for x in rng.integers(0, 10**6, words)]
+        copy = list(text)
+        for x in range(edited):
+            copy[x if words > 50 else words - 1 - x] = f"e{n}"
+        rows += [(2 * n, " ".join(text)), (2 * n + 1, " ".join(copy))]
+    got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(r.kept_doc_id, r.doc_id) for r in got}
+    assert sum((2 * n, 2 * n + 1) in pairs for n in range(100)) >= 100 * least
+
+
+@pytest.mark.parametrize(("words", "edited"), [(25, 0), (30, 0), (30, 1), (40, 1), (60, 1), (80, 1), (100, 2), (200, 4)])
+def test_recall_of_passages_by_size_and_edits(words, edited):
+    """Passages set into different texts, edited so that a similarity of 0.8 is left: some whole block is the same in both."""
+    rng = np.random.Generator(np.random.Philox(100 * words + edited))
+    caught = 0
+    for _ in range(300):
+        passage = [f"p{x}" for x in rng.integers(0, 10**6, words)]
+        texts = []
+        for changes in (0, edited):
+            own = list(passage)
+            for x in range(changes):
+                own[(words // 8 if words == 30 else words // (edited + 1)) * (x + 1)] = f"e{x}"
+            texts.append(" ".join([f"w{x}" for x in rng.integers(0, 10**6, rng.integers(5, 60))] + own + [f"v{x}" for x in rng.integers(0, 10**6, 40)]))
+        a, b = ({w for _, w, _ in brute_blocks(t)} for t in texts)
+        caught += bool(a & b)
+    assert caught >= 0.9 * 300
+
+
 def test_paragraphs_of_null_and_repeated_ids(spark):
     rng = np.random.Generator(np.random.Philox(21))
     rows = []
