@@ -101,3 +101,10 @@ def rank_sum(df: DataFrame, x: str, first: Column, keys: list[str]) -> DataFrame
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     z = F.try_divide(away - F.signum(away) * 0.5, sd)
     return per.join(ties, keys).select(*keys, "n1", "n2", u.alias("u"), z.alias("z"))
+
+
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Correlation of two columns over the rows that have both, as an aggregate; null where one of them is constant."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

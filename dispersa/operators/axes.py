@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Features beyond which a pair table doesn't go to the driver for its axes.
-MOST_FEATURES = 5000
-
+from dispersa.functions import tails
 
 def bootstrap_pairs(residuals: DataFrame, weights: DataFrame) -> DataFrame:
     """(i, j, n, mean, se): correlations of features over resamples of units, from residuals (unit, feature, r) and weights (draw, unit, w).
@@ -57,37 +54,9 @@ def bootstrap_pairs(residuals: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def normal_p(df: DataFrame, est: str, se: str) -> DataFrame:
-    """df with z = est / se and its two-sided normal p."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", z double, p double"
-
-    def tail(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            z = pdf[est] / pdf[se].where(pdf[se] > 0)
-            yield pdf.assign(z=z, p=[math.erfc(abs(v) / math.sqrt(2)) if v == v else None for v in z])
-
-    return df.mapInPandas(tail, schema)
-
-
-def leading_axes(pairs: DataFrame, value: str, k: int, diagonal: float = 0.0) -> DataFrame:
-    """(rank, eigenvalue, share, feature, v): the k axes of a symmetric pair table with the largest |eigenvalue|, largest loading positive.
-
-    The table goes to the driver only up to MOST_FEATURES features.
-    """
-    names = [r[0] for r in pairs.select("i").union(pairs.select("j")).distinct().orderBy("i").limit(MOST_FEATURES + 1).collect()]
-    if len(names) > MOST_FEATURES:
-        raise ValueError(f"axes need at most {MOST_FEATURES} features")
-    at = {n: x for x, n in enumerate(names)}
-    m = np.eye(len(names)) * diagonal
-    got = pairs.select("i", "j", value).toPandas()
-    i, j = got["i"].map(at).to_numpy(), got["j"].map(at).to_numpy()
-    m[i, j] = m[j, i] = got[value].to_numpy(float)
-    values, vectors = np.linalg.eigh(m)
-    total = float((values**2).sum()) or 1.0
-    rows = []
-    for rank, c in enumerate(np.argsort(-np.abs(values), kind="stable")[:k], 1):
-        v = vectors[:, c] * np.sign(vectors[np.abs(vectors[:, c]).argmax(), c])
-        rows += [(rank, float(values[c]), float(values[c] ** 2 / total), n, float(x)) for n, x in zip(names, v, strict=True)]
-    return pairs.sparkSession.createDataFrame(rows, "rank int, eigenvalue double, share double, feature string, v double")
+    """df with z = est / se and its two-sided normal p; null without a positive error."""
+    z = F.when(F.col(se) > 0, F.col(est) / F.col(se))
+    return df.withColumn("z", z).withColumn("p", tails.normal_p(F.col("z")))
 
 
 def candidate_axes(axes: DataFrame, least_share: float = 0.01, least_participation: float = 10.0) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dispersa.functions.stats import correlation
 from dispersa.functions.tables import RATES, LogTable, exposure_tables, weighted_fits
 from dispersa.operators.contrasts import MODE_GROUPS
 from dispersa.operators.fitting import LOG_PHI
@@ -219,7 +220,7 @@ def bootstrap_summary(values: DataFrame) -> DataFrame:
     point = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN draw > 0 THEN v END)")
     s = long.groupBy("feature", "mode", "quantity").agg(
         F.max(F.when(F.col("draw") == 0, F.col("v"))).alias("est"), point(0.025).alias("lo"), point(0.975).alias("hi"), F.stddev_samp(finite).alias("sd"), F.count(drawn).alias("n"),
-        F.count(finite).alias("nf"), F.count_if(F.col("draw") > 0).alias("all"), F.corr(F.when(both, F.col("mean")), F.when(both, F.col("disp"))).alias("c"), F.count_if(both).alias("nc"),
+        F.count(finite).alias("nf"), F.count_if(F.col("draw") > 0).alias("all"), correlation(F.when(both, F.col("mean")), F.when(both, F.col("disp"))).alias("c"), F.count_if(both).alias("nc"),
     )
     some, logs = F.col("n") >= 3, F.col("quantity").isin(*INFINITE)
     width = F.when((F.abs("lo") < inf) & (F.abs("hi") < inf), (F.col("hi") - F.col("lo")) / 3.92).otherwise(inf)
@@ -233,7 +234,7 @@ def bootstrap_summary(values: DataFrame) -> DataFrame:
 def draw_correlations(values: DataFrame) -> DataFrame:
     """(feature, mode, cor, n): correlation of the mean and the dispersion contrast over the draws that have both; null under three."""
     ok = values.where((F.col("draw") > 0) & (F.abs("mean") < float("inf")) & (F.abs("disp") < float("inf")))
-    s = ok.groupBy("feature", "mode").agg(F.corr("mean", "disp").alias("c"), F.count("*").alias("n"))
+    s = ok.groupBy("feature", "mode").agg(correlation("mean", "disp").alias("c"), F.count("*").alias("n"))
     return s.select("feature", "mode", F.when((F.col("n") > 2) & ~F.isnan("c"), F.col("c")).alias("cor"), "n")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dispersa.functions.stats import benjamini_hochberg
 from dispersa.operators.classes import log_factorials
+from dispersa.sources.results import checkpointed
 
 
 def term_closure(term2feature: DataFrame, parents: DataFrame) -> DataFrame:
@@ -14,8 +15,8 @@ def term_closure(term2feature: DataFrame, parents: DataFrame) -> DataFrame:
     pairs = term2feature.select("term", "feature").distinct()
     up = pairs
     while not up.isEmpty():
-        up = up.join(parents, "term").select(F.col("parent").alias("term"), "feature").join(pairs, ["term", "feature"], "left_anti").distinct().checkpoint()
-        pairs = pairs.union(up).checkpoint()
+        up = checkpointed(up.join(parents, "term").select(F.col("parent").alias("term"), "feature").join(pairs, ["term", "feature"], "left_anti").distinct())
+        pairs = checkpointed(pairs.union(up))
     return pairs
 
 

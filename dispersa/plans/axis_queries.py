@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dispersa.operators import axes, classes, coexpression, fitting, offsets, qc, resampling
+from dispersa.operators import axes, bootstrap, classes, coexpression, fitting, offsets, qc, reports, resampling, spectra
 from dispersa.plans.bindings import COUNTS_SQL, counts
-from dispersa.plans.count_queries import _expo
+from dispersa.plans.count_queries import _expo, _pairs as _units_pairs
 from dispersa.plans.registry import register, rounded
 from dispersa.plans.class_queries import CLASSED, PARTS_SQL, _classed, part_tests
+from dispersa.sources.results import checkpointed
 
 WITH = "WITH " + COUNTS_SQL.strip()
 
@@ -29,7 +30,7 @@ def decomposition(spark, sf):
 
 
 @register("x5_bootstrap_pairs")
-def bootstrap(spark, sf):
+def pair_errors(spark, sf):
     u, r = _residuals(spark, sf, "MIX.SC")
     placed = resampling.positions(u, "dataset", "unit")
     w = resampling.bootstrap_weights(placed.groupBy("stratum").agg(F.count("*").alias("n")), 20, 4)
@@ -39,7 +40,7 @@ def bootstrap(spark, sf):
 
 @register("x8_candidate_axes")
 def candidates(spark, sf):
-    return rounded(axes.candidate_axes(axes.leading_axes(_pairs(spark, sf, "MIX.SC"), "r", 10), 0.01, 3.0))
+    return rounded(axes.candidate_axes(spectra.leading_axes(_pairs(spark, sf, "MIX.SC"), "r", 40)))
 
 
 @register("g1_signed_sets", f"""{PARTS_SQL} SELECT CASE WHEN est > 0 THEN 'disp_up' ELSE 'disp_down' END AS set_name, p_partkey AS feature, CAST(row_number() OVER (PARTITION BY est > 0 ORDER BY abs(est) DESC, p_partkey) AS INT) AS ord FROM pv WHERE p < 0.2 AND est <> 0""")
@@ -81,3 +82,55 @@ def overlap_range(spark, sf):
     t = _classed(spark, sf)
     both = classes.overlap_table(t, "reg", "dom").select("lor").union(classes.overlap_table(t, "reg", "family").select("lor"))
     return rounded(both.agg(F.max(F.abs("lor")).alias("half_range")))
+
+
+@register("x7_rank_fit")
+def rank_fit(spark, sf):
+    pairs = checkpointed(_pairs(spark, sf, "MIX.SC"))
+    axis = checkpointed(spectra.leading_axes(pairs, "r", 3))
+    out = spectra.rank_fit(pairs, "r", axis, 1)
+    for k in (2, 3):
+        out = out.union(spectra.rank_fit(pairs, "r", axis, k))
+    return rounded(out)
+
+
+def _all_residuals(spark, sf):
+    """Residuals of both parents and both alleles, on the features that all four have a fit of."""
+    c, u = counts(spark, sf), _expo(spark, sf)
+    fits = fitting.moment_fit(fitting.sufficient(c, u)).select("dataset", "feature", "mu", F.greatest("disp_moment", F.lit(0.0)).alias("disp"))
+    shared = fits.groupBy("feature").agg(F.count_distinct("dataset").alias("n")).where("n = 4").select("feature")
+    return coexpression.pearson_residuals(c, u, fits.join(shared, "feature"))
+
+
+#: Relabellings of the null spectra in the registered query; the library takes any number.
+SPECTRUM_DRAWS = 1000
+
+
+@register("x10_permutation_spectra")
+def permutation_spectra(spark, sf):
+    """Observed squared eigenvalues with their rank-matched p."""
+    got = spectra.permutation_spectra(_all_residuals(spark, sf), SPECTRUM_DRAWS)
+    return rounded(spectra.spectrum_p(got.where("draw = 0"), got.where("draw > 0")))
+
+
+@register("x11_recoloured_spectra")
+def recoloured_spectra(spark, sf):
+    """Null spectra of the summed hybrid against the first parent, over resamples within the recoloured groups."""
+    c, u = counts(spark, sf), _expo(spark, sf)
+    hybrid = c.where(F.col("dataset").startswith("HYB.")).groupBy("feature", "unit").agg(F.sum("y").alias("y")).withColumn("dataset", F.lit("HYB.COMB"))
+    both = u.where(F.col("dataset").startswith("HYB.")).groupBy("unit").agg((2 * F.max("expo")).alias("expo")).withColumn("dataset", F.lit("HYB.COMB"))
+    parent = c.where("dataset = 'MIX.SC'").select(hybrid.columns), u.where("dataset = 'MIX.SC'").select(both.columns)
+    rows, units = parent[0].union(hybrid), parent[1].union(both)
+    fits = fitting.moment_fit(fitting.sufficient(rows, units)).select("dataset", "feature", "mu", F.greatest("disp_moment", F.lit(0.0)).alias("disp"))
+    shared = fits.groupBy("feature").agg(F.count("*").alias("n")).where("n = 2").select("feature")
+    residuals = coexpression.pearson_residuals(rows, units, fits.join(shared, "feature"))
+    shift = reports.ploidy_shift(fitting.allele_components(c, u, offsets.share_terms(_units_pairs(spark, sf))))
+    squares = reports.ploidy_factor(fits.join(shared, "feature").where("dataset = 'HYB.COMB'"), shift)
+    factors = [r.f2**0.5 for r in squares.orderBy("feature").collect()]  # one number a feature
+    groups = [spectra.unit_vectors(residuals, [v]) for v in ("MIX.SC", "HYB.COMB")]
+    p, h, _ = spectra.recoloured(*groups, factors)
+    placed = bootstrap.coexpression_units(u)
+    weights = bootstrap.unit_draws(placed, SPECTRUM_DRAWS, 2).where("draw > 0").join(placed.where("grp IN (0, 2)"), ["stratum", "pos"])
+    weights = weights.select("draw", (F.col("grp") / 2).cast("int").alias("grp"), "unit", "w")
+    null = spectra.recoloured_spectra(p, h, weights, factors, part="par_sc")
+    return rounded(null.groupBy("part", "rank").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("upper")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or the context's checkpoint folder; one of the two must be set."""
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder; a temporary one only for a local master without either."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = own.get() if own.isDefined() else None
+    if not at and spark.sparkContext.master.startswith("local["):
+        at = tempfile.mkdtemp(prefix="spark-dispersa-")
+        spark.sparkContext.setCheckpointDir(at)
     if not at:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at.rstrip("/")

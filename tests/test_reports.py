@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from dispersa.functions import tails
-from dispersa.operators import axes, contrasts, fitting, reports
+from dispersa.operators import axes, contrasts, fitting, reports, spectra
 from dispersa.sources import results
 
 
@@ -86,7 +86,7 @@ def test_a_planted_axis_is_a_candidate(spark):
     v = np.r_[np.full(20, 1.0), np.full(20, -1.0)] / math.sqrt(n)
     m = 8 * np.outer(v, v)
     pairs = spark.createDataFrame([(f"f{i:02d}", f"f{j:02d}", float(m[i, j])) for i in range(n) for j in range(i)], "i string, j string, r double")
-    got = axes.candidate_axes(axes.leading_axes(pairs, "r", 5), 0.5, 10.0).collect()
+    got = axes.candidate_axes(spectra.leading_axes(pairs, "r", 5), 0.5, 10.0).collect()
     assert len(got) == 1 and got[0]["rank"] == 1 and got[0].participation == pytest.approx(n, rel=1e-6)
 
 
