@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispersa.operators import bootstrap, offsets
+from dispersa.functions import stats
+from dispersa.operators import bootstrap, classes, nulls, offsets
 from dispersa.plans.bindings import counts
-from dispersa.plans.count_queries import EXPO, _expo, _pairs
+from dispersa.plans.count_queries import EXPO, PAIRS, WITH, _expo, _pairs
 from dispersa.plans.registry import register, rounded
+from dispersa.sources.results import checkpointed
 
 #: Shares of the hybrid's units on the C side of the mean, the noise and the balance split.
 FRACTIONS = {"hyc": 0.4, "hyc_n": 0.35, "hyc_k": 0.3}
@@ -79,3 +81,93 @@ def contrast_bootstrap(spark, sf):
 def pilot_errors(spark, sf):
     refits, terms = _drawn(spark, sf)
     return rounded(bootstrap.pilot_errors(refits, terms), 4)
+
+
+def _null_inputs(spark, sf, draws, label=None):
+    units = _expo(spark, sf)
+    hyc = splits(spark, sf).where("hyc").select("unit")
+    cbar = shares(spark, sf).where("lib > 1").agg(F.avg("chat")).first()[0]
+    items, cells = checkpointed(nulls.pooled_items(units, hyc)), checkpointed(nulls.pooled_cells(counts(spark, sf), hyc, cbar))
+    return items, cells, nulls.item_labels(items, draws, 3, label), cbar
+
+
+def _levels(items, cells, cbar) -> dict[str, float]:
+    """A number a feature: the hybrid's mean rate in the trans set over the parents', geometric means of both alleles."""
+    wanted = ["trans_sc", "trans_se"]
+    side = F.substring("item", 1, 1).cast("int").alias("side")
+    down = items.where(F.col("pool").isin(wanted)).groupBy("pool", "side").agg(F.sum("expo").alias("e"))
+    up = cells.where(F.col("pool").isin(wanted)).groupBy("feature", "pool", side).agg(F.sum("y").alias("y"))
+    log = F.log(F.col("y") / F.col("e") / F.when(F.col("side") == 0, 1.0).when(F.col("pool") == "trans_sc", 2 * cbar).otherwise(2 * (1 - cbar)))
+    s = up.join(down, ["pool", "side"]).groupBy("feature").agg(F.exp(F.sum(F.when(F.col("side") == 1, log).otherwise(-log)) / 2).alias("k"), F.count("*").alias("n"))
+    return {r.feature: r.k for r in s.where("n = 4").collect()}
+
+
+#: Relabellings of the registered queries; the library takes any number.
+RELABELLINGS = 1000
+
+
+@register("i9_mean_nulls")
+def mean_nulls(spark, sf):
+    items, cells, labels, cbar = _null_inputs(spark, sf, RELABELLINGS)
+    values = nulls.mean_nulls(items, cells, labels, _levels(items, cells, cbar), cbar)
+    return rounded(nulls.null_p(values, ["value"]).drop("quantity"))
+
+
+@register("i12_refit_nulls")
+def refit_nulls(spark, sf):
+    items, cells, labels, _ = _null_inputs(spark, sf, RELABELLINGS)
+    terms = offsets.share_terms(_pairs(spark, sf)).first()
+    got = nulls.null_p(nulls.fit_nulls(nulls.half_fits(items, cells, labels), terms.r_c, terms.r_e), ["mu", "disp", "cv2", "rdisp"])
+    return rounded(_finite(got, "obs"), 4)
+
+
+def _arithmetic(pool, draw, name):
+    return (draw * 7919 + F.regexp_replace(name, ":", "").cast("long") * 104729 + F.length(pool) * 31) % 1000003
+
+
+_H = "(draw * 7919 + CAST(replace({0}, ':', '') AS BIGINT) * 104729 + length(pool) * 31) % 1000003"
+_PARENT = "SELECT '{0}' AS pool, '{1}:' || unit AS item, unit, {1} AS side, expo AS e FROM expo WHERE dataset = '{2}'"
+_HYBRID = "SELECT '{0}', '{1}:' || unit, unit, {1}, {2} * e FROM he WHERE {3}"
+_COUNTED = "SELECT '{0}' AS pool, '{1}:' || unit AS item, feature, CAST(y AS DOUBLE) AS z FROM counts WHERE dataset = '{2}'"
+_ALLELE = "SELECT '{0}', '{1}:' || unit, feature, {2} FROM counts JOIN he USING (unit), cb WHERE dataset = '{3}' AND {4}"
+CHAIN = f"""{STRATA}{PAIRS[len(WITH):]}, cb AS (SELECT avg(a / (a + b)) AS c FROM pairs WHERE a + b > 1),
+he AS (SELECT unit, max(expo) AS e, any_value(r IN (SELECT r FROM k_hyc)) AS cis FROM expo JOIN o USING (unit) WHERE dataset LIKE 'HYB%' GROUP BY unit),
+it AS ({_PARENT.format('total', 0, 'MIX.SC')} UNION ALL {_PARENT.format('total', 1, 'MIX.SE')} UNION ALL {_PARENT.format('trans_sc', 0, 'MIX.SC')} UNION ALL {_PARENT.format('trans_se', 0, 'MIX.SE')}
+  UNION ALL {_PARENT.format('par_sc', 1, 'MIX.SC')} UNION ALL {_PARENT.format('par_se', 1, 'MIX.SE')} UNION ALL {_HYBRID.format('trans_sc', 1, 1, 'NOT cis')} UNION ALL {_HYBRID.format('trans_se', 1, 1, 'NOT cis')}
+  UNION ALL {_HYBRID.format('par_sc', 0, 2, 'true')} UNION ALL {_HYBRID.format('par_se', 0, 2, 'true')} UNION ALL {_HYBRID.format('cis', 0, 1, 'cis')} UNION ALL {_HYBRID.format('cis', 1, 1, 'cis')}),
+both_ AS (SELECT feature, unit, sum(CASE dataset WHEN 'HYB.SC' THEN y / (2 * c) ELSE y / (2 * (1 - c)) END) AS z FROM counts, cb WHERE dataset LIKE 'HYB%' GROUP BY ALL),
+cz AS ({_COUNTED.format('total', 0, 'MIX.SC')} UNION ALL {_COUNTED.format('total', 1, 'MIX.SE')} UNION ALL {_COUNTED.format('trans_sc', 0, 'MIX.SC')} UNION ALL {_COUNTED.format('trans_se', 0, 'MIX.SE')}
+  UNION ALL {_COUNTED.format('par_sc', 1, 'MIX.SC')} UNION ALL {_COUNTED.format('par_se', 1, 'MIX.SE')} UNION ALL {_ALLELE.format('trans_sc', 1, 'y', 'HYB.SC', 'NOT cis')} UNION ALL {_ALLELE.format('trans_se', 1, 'y', 'HYB.SE', 'NOT cis')}
+  UNION ALL {_ALLELE.format('cis', 0, 'y / (2 * c)', 'HYB.SC', 'cis')} UNION ALL {_ALLELE.format('cis', 1, 'y / (2 * (1 - c))', 'HYB.SE', 'cis')}
+  UNION ALL SELECT 'par_sc', '0:' || unit, feature, z FROM both_ UNION ALL SELECT 'par_se', '0:' || unit, feature, z FROM both_),
+n0 AS (SELECT pool, count(*) AS n FROM it WHERE side = 0 GROUP BY pool),
+lab AS (SELECT it.*, draw, CASE WHEN draw = 0 THEN side = 0 WHEN pool = 'cis' THEN side = ({_H.format('unit')}) % 2 ELSE row_number() OVER (PARTITION BY pool, draw ORDER BY {_H.format('item')}, item) <= n END AS half FROM it JOIN n0 USING (pool), (SELECT unnest(range(51)) AS draw)),
+of_ AS (SELECT pool, draw, half, coalesce(sum(e) FILTER (side = 0), 0) AS e0, coalesce(sum(e) FILTER (side = 1), 0) AS e1 FROM lab GROUP BY ALL),
+ys AS (SELECT pool, draw, half, feature, sum(z) AS s FROM cz JOIN lab USING (pool, item) GROUP BY ALL),
+ms AS (SELECT pool, CAST(item[1] AS INT) AS side, feature, sum(z) AS s FROM cz WHERE pool LIKE 'trans%' GROUP BY ALL), me AS (SELECT pool, side, sum(e) AS e FROM it GROUP BY ALL),
+kk AS (SELECT feature, exp(sum(CASE side WHEN 1 THEN ln(s / e / (CASE pool WHEN 'trans_sc' THEN 2 * c ELSE 2 * (1 - c) END)) ELSE -ln(s / e) END) / 2) AS k FROM ms JOIN me USING (pool, side), cb GROUP BY feature HAVING count(*) = 4),
+lv AS (SELECT pool, draw, half, feature, log2(s / (e0 + e1 * CASE pool WHEN 'trans_sc' THEN k * 2 * c WHEN 'trans_se' THEN k * 2 * (1 - c) ELSE 1 END)) AS l FROM ys JOIN of_ USING (pool, draw, half) LEFT JOIN kk USING (feature), cb),
+ap AS (SELECT pool, draw, feature, max(l) FILTER (half) - max(l) FILTER (NOT half) AS v FROM lv GROUP BY ALL),
+va AS (SELECT pool AS mode, draw, feature, v FROM ap WHERE pool NOT LIKE 'trans%' UNION ALL SELECT 'trans', draw, feature, x.v - z.v FROM (SELECT * FROM ap WHERE pool = 'trans_sc') x JOIN (SELECT * FROM ap WHERE pool = 'trans_se') z USING (draw, feature)),
+pv AS (SELECT mode, feature, any_value(b.v) AS est, (1 + count(*) FILTER (abs(va.v) >= abs(b.v)))::DOUBLE / (1 + count(va.v)) AS p FROM va JOIN (SELECT mode, feature, v FROM va WHERE draw = 0 AND v IS NOT NULL) b USING (mode, feature) WHERE draw > 0 GROUP BY ALL),
+rk AS (SELECT *, count(*) OVER (PARTITION BY mode) AS m, count(*) OVER (PARTITION BY mode ORDER BY p) AS r FROM pv),
+qv AS (SELECT *, least(1.0, min(p * m / r) OVER (PARTITION BY mode ORDER BY p DESC)) AS q FROM rk),
+wd AS (SELECT feature, {', '.join(f"max(est) FILTER (mode = '{m}') AS est_{m}, max(q) FILTER (mode = '{m}') AS q_{m}" for m in ('cis', 'trans', 'par_sc', 'par_se'))} FROM qv GROUP BY feature)"""
+
+
+@register("k1_tested_classes", f"""{CHAIN}
+SELECT feature, {', '.join(f'round(est_{m}, 6) AS est_{m}, round(q_{m}, 6) AS q_{m}' for m in ('cis', 'trans', 'par_sc', 'par_se'))},
+CASE WHEN q_cis IS NULL OR q_trans IS NULL THEN NULL WHEN q_cis >= 0.5 AND q_trans >= 0.5 THEN 'Conserved' WHEN q_cis < 0.5 AND q_trans >= 0.5 THEN 'Cis' WHEN q_cis >= 0.5 AND q_trans < 0.5 THEN 'Trans' WHEN sign(est_cis * est_trans) >= 0 THEN 'Cis + Trans' ELSE 'Compensatory' END AS reg,
+CASE WHEN q_par_sc IS NULL OR q_par_se IS NULL THEN NULL WHEN q_par_sc >= 0.5 AND q_par_se >= 0.5 THEN 'Conserved' WHEN q_par_sc < 0.5 AND q_par_se >= 0.5 THEN 'Se.Dominant' WHEN q_par_sc >= 0.5 AND q_par_se < 0.5 THEN 'Sc.Dominant' WHEN sign(sign(est_par_sc) + sign(est_par_se)) > 0 THEN 'Overdominant' WHEN sign(sign(est_par_sc) + sign(est_par_se)) < 0 THEN 'Underdominant' ELSE 'Additive' END AS dom
+FROM wd""")
+def tested_classes(spark, sf):
+    """From counts to classes: relabelled means, p, q and both classifications; labels by arithmetic, so that SQL has the same."""
+    items, cells, labels, cbar = _null_inputs(spark, sf, 50, _arithmetic)
+    p = nulls.null_p(nulls.mean_nulls(items, cells, labels, _levels(items, cells, cbar), cbar), ["value"])
+    q = stats.benjamini_hochberg(p.where("p IS NOT NULL").select("feature", "mode", F.col("obs").alias("est"), "p"), "p", ["mode"])
+    of = lambda c, m: F.max(F.when(F.col("mode") == m, F.col(c))).alias(f"{c}_{m}")
+    wide = q.groupBy("feature").agg(*[of(c, m) for m in ("cis", "trans", "par_sc", "par_se") for c in ("est", "q")])
+    col = lambda *names: [F.col(n) for n in names]
+    reg = classes.regulatory_class(*col("q_cis", "q_trans", "est_cis", "est_trans"), sig=0.5)
+    dom = classes.dominance_class(*col("q_par_sc", "q_par_se", "est_par_sc", "est_par_se"), sig=0.5)
+    return rounded(wide.withColumn("reg", reg).withColumn("dom", dom))
