@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispersa.functions import stats
-from dispersa.operators import bootstrap, classes, nulls, offsets
+from dispersa.operators import bootstrap, classes, doublets, nulls, offsets
 from dispersa.plans.bindings import counts
 from dispersa.plans.count_queries import EXPO, PAIRS, WITH, _expo, _pairs
 from dispersa.plans.registry import register, rounded
@@ -171,3 +171,13 @@ def tested_classes(spark, sf):
     reg = classes.regulatory_class(*col("q_cis", "q_trans", "est_cis", "est_trans"), sig=0.5)
     dom = classes.dominance_class(*col("q_par_sc", "q_par_se", "est_par_sc", "est_par_se"), sig=0.5)
     return rounded(wide.withColumn("reg", reg).withColumn("dom", dom))
+
+
+@register("q13_doublet_scores")
+def doublet_scores(spark, sf):
+    """Scores of all units of all datasets, each dataset among its own simulated sums."""
+    c, out = checkpointed(counts(spark, sf)), None
+    for name in ("MIX.SC", "MIX.SE", "HYB.SC", "HYB.SE"):
+        got = doublets.doublet_scores(c.where(F.col("dataset") == name)).withColumn("dataset", F.lit(name))
+        out = got if out is None else out.union(got)
+    return rounded(out)
