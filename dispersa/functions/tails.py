@@ -99,3 +99,34 @@ def correlation_p(rho: Column, n: Column) -> Column:
     """Two-sided p of a correlation by the t approximation; 0 at a correlation of 1 or -1."""
     t = rho * F.sqrt((n - 2) / (1 - rho * rho))
     return F.when(F.abs(rho) >= 1, 0.0).otherwise(student_p(F.when(F.abs(rho) < 1, t), n - 2))
+
+
+def _phi(z: np.ndarray) -> np.ndarray:
+    """Distribution of a standard normal."""
+    tail = upper_gamma(np.full(z.size, 0.5), z.ravel() ** 2 / 2).reshape(z.shape) / 2
+    return np.where(z > 0, 1 - tail, tail)
+
+
+def studentised_range(q: np.ndarray, k: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Upper tail of the range of k standard normals over an independent estimate of their deviation with df degrees of freedom.
+
+    The range's distribution, an integral over its least value, is averaged over the estimate's density; both by Gauss-Legendre nodes.
+    """
+    x, w = np.polynomial.legendre.leggauss(80)
+    z, wz = 8.0 * x, 8.0 * w
+    density = np.exp(-z * z / 2) / np.sqrt(2 * np.pi)
+    out = np.empty(len(q))
+    for i, (r, m, n) in enumerate(zip(q.tolist(), k.tolist(), df.tolist())):
+        n = min(n, 1e6)  # the estimate is exact beyond
+        half = min(0.999, 9 / np.sqrt(2 * n))
+        s, ws = (1 + half * x, half * w) if half < 0.999 else (2.5 + 2.5 * x, 2.5 * w)
+        log = n * np.log(s) - n * s * s / 2
+        weight = np.exp(log - log.max() - np.log(s)) * ws
+        inside = (_phi(z)[None] - _phi(z[None] - r * s[:, None])) ** (m - 1)
+        out[i] = 1 - float(weight / weight.sum() @ (m * inside @ (density * wz)))
+    return np.clip(out, 0.0, 1.0)
+
+
+def tukey_p(q: Column, k: Column, df: Column) -> Column:
+    """Upper tail of the studentised range."""
+    return _of(lambda v, m, n: studentised_range(v, m, n), q, k, df)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dispersa.functions import stats
+from dispersa.functions import stats, tails
 from dispersa.operators.offsets import split_fraction
 
 
@@ -272,3 +272,21 @@ def two_normals(df: DataFrame, value: str, key: str, seed: int = 1) -> DataFrame
     p = vector_to_array("_p")
     out = model.transform(rows).select(key, value, p[low].alias("_l"), p[high].alias("_h"))
     return out.select(key, value, F.when(F.col("_l") > 0.5, 0).when(F.col("_h") > 0.5, 1).alias("pole"), F.greatest("_l", "_h").alias("posterior"))
+
+
+def tukey_pairs(df: DataFrame, x: str, group: str, sig: float = 0.05) -> DataFrame:
+    """(first, second, diff, q, p): all pairs of groups by the studentised range, if the analysis of variance is significant; else no row.
+
+    diff is the second's mean less the first's. Null groups and values are left out. Pairs are of groups, never of rows.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(group).isNotNull())
+    per = rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
+    whole = per.agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("t"))
+    df1, df2 = F.col("k") - 1, F.col("all") - F.col("k")
+    mse = F.try_divide(F.col("within"), df2)
+    between = F.col("t") - F.col("s") * F.col("s") / F.col("all")
+    test = whole.select("k", df2.alias("df2"), mse.alias("mse"), tails.f_p(F.try_divide(F.try_divide(between, df1), mse), df1, df2).alias("pf")).where(F.col("pf") < sig)
+    a, b = per.select(F.col("g").alias("first"), F.col("n").alias("na"), F.col("m").alias("ma")), per.select(F.col("g").alias("second"), F.col("n").alias("nb"), F.col("m").alias("mb"))
+    pairs = a.join(b, F.col("first") < F.col("second")).join(test)
+    q = F.abs(F.col("mb") - F.col("ma")) / F.sqrt(F.col("mse") / 2 * (1 / F.col("na") + 1 / F.col("nb")))
+    return pairs.withColumn("q", q).select("first", "second", (F.col("mb") - F.col("ma")).alias("diff"), "q", tails.tukey_p(F.col("q"), F.col("k"), F.col("df2")).alias("p"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispersa.functions import stats
-from dispersa.operators import bootstrap, classes, doublets, nulls, offsets
+from dispersa.operators import bootstrap, classes, doublets, nulls, offsets, profiles, reports
 from dispersa.plans.bindings import counts
 from dispersa.plans.count_queries import EXPO, PAIRS, WITH, _expo, _pairs
 from dispersa.plans.registry import register, rounded
+from dispersa.session import read_table
 from dispersa.sources.results import checkpointed
 
 #: Shares of the hybrid's units on the C side of the mean, the noise and the balance split.
@@ -181,3 +182,27 @@ def doublet_scores(spark, sf):
         got = doublets.doublet_scores(c.where(F.col("dataset") == name)).withColumn("dataset", F.lit(name))
         out = got if out is None else out.union(got)
     return rounded(out)
+
+
+@register("d20_paired_profiles", f"""{EXPO}, he AS (SELECT unit, max(expo) AS e FROM expo WHERE dataset LIKE 'HYB%' GROUP BY unit),
+mu AS (SELECT feature, dataset, sum(y) / (SELECT sum(e) FROM he) AS mu FROM counts WHERE dataset LIKE 'HYB%' GROUP BY ALL),
+cl AS (SELECT m.feature, m.dataset, mu * e AS m, coalesce(y, 0) AS y, count(*) AS n FROM mu m CROSS JOIN he LEFT JOIN counts c ON c.feature = m.feature AND c.dataset = m.dataset AND c.unit = he.unit GROUP BY ALL),
+gr AS (SELECT CAST(k AS INT) AS k, exp(-4 + 0.1 * k) AS t FROM (SELECT unnest(range(191)) AS k)),
+lk AS (SELECT feature, dataset, k, sum(n * (lgamma(y + t) - lgamma(t) + t * ln(t) - (t + y) * ln(t + m) + y * ln(m))) AS l FROM cl, gr GROUP BY ALL),
+sh AS (SELECT a.feature, b.k - a.k AS d, max(a.l + b.l) AS m FROM (SELECT * FROM lk WHERE dataset = 'HYB.SC') a JOIN (SELECT * FROM lk WHERE dataset = 'HYB.SE') b USING (feature) GROUP BY ALL),
+tp AS (SELECT feature, max(m) AS top, arg_max(d, m) AS j FROM sh GROUP BY feature), dv AS (SELECT sh.feature, d, 2 * (top - m) AS dev, j FROM sh JOIN tp USING (feature)),
+ed AS (SELECT feature, max(d) FILTER (d < j AND dev > 3.841458820694124) AS l, min(d) FILTER (d > j AND dev > 3.841458820694124) AS r FROM dv GROUP BY feature),
+en AS (SELECT ed.feature, l + 1 - (3.841458820694124 - b.dev) / (a.dev - b.dev) AS lo, r - 1 + (3.841458820694124 - c.dev) / (d.dev - c.dev) AS hi FROM ed LEFT JOIN dv a ON a.feature = ed.feature AND a.d = l LEFT JOIN dv b ON b.feature = ed.feature AND b.d = l + 1
+  LEFT JOIN dv c ON c.feature = ed.feature AND c.d = r - 1 LEFT JOIN dv d ON d.feature = ed.feature AND d.d = r)
+SELECT feature, CASE WHEN abs(lo * 0.1 / ln(2)) <= 10 THEN round(lo * 0.1 / ln(2), 3) END AS lo, CASE WHEN abs(hi * 0.1 / ln(2)) <= 10 THEN round(hi * 0.1 / ln(2), 3) END AS hi FROM en""")
+def paired_profiles(spark, sf):
+    """Ends of the intervals, open ones as null; a flat profile's peak depends on rounding, so it isn't compared."""
+    units = _expo(spark, sf).where(F.col("dataset").startswith("HYB.")).groupBy("unit").agg(F.max("expo").alias("expo"))
+    got = profiles.paired_profile(profiles.likelihood_grid(counts(spark, sf), units))
+    return rounded(got.select("feature", *[F.when(F.abs(c) < float("inf"), F.col(c)).alias(c) for c in ("lo", "hi")]), 3)
+
+
+@register("k9_tukey_pairs")
+def tukey_pairs(spark, sf):
+    """Pairs of part types by price, where the types differ at all; the level is wide, as these prices hardly differ."""
+    return rounded(reports.tukey_pairs(read_table(spark, sf, "part"), "p_retailprice", "p_type", sig=1.0))
