@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +68,61 @@ def running_sum_score(ranks: DataFrame, term2feature: DataFrame) -> DataFrame:
     return ends.select("list", "term", F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("es"))
 
 
+#: Random sets that a task scores at a time, and their elements.
+SETS_TOGETHER, ELEMENTS_TOGETHER = 500, 2_000_000
+
+
+def null_scores(weights: np.ndarray, size: int, seed: int, first: int, many: int) -> np.ndarray:
+    """Scores of random sets of a size, numbers first .. first + many - 1, on a list of weights from the highest score down."""
+    n, out = len(weights), np.empty(many)
+    step = max(1, ELEMENTS_TOGETHER // n)
+    for low in range(0, many, step):
+        draws = range(first + low, first + min(many, low + step))
+        r = np.sort(np.stack([np.random.Generator(np.random.Philox(key=[seed, d])).choice(n, size, replace=False, shuffle=False) for d in draws]), axis=1)
+        w = weights[r]
+        total = w.sum(1, keepdims=True)
+        w = np.divide(w, total, out=np.full(w.shape, 0.0), where=total > 0)
+        down = (r - np.arange(size)) / max(n - size, 1)
+        up = np.cumsum(w, axis=1)
+        high, least = (up - down).max(1), (up - w - down).min(1)
+        out[low : low + len(r)] = np.where(high >= -least, high, least)
+    return out
+
+
+def normalised_scores(ranks: DataFrame, term2feature: DataFrame, draws: int = 100_000, seed: int = 1) -> DataFrame:
+    """(list, term, size, es, nes, p, q): running-sum scores over the mean of random sets' scores of the same sign, with add-one p.
+
+    A null depends on the list and the set's size alone, so all terms of one size share its random sets. A task scores a block of them and
+    returns counts and sums for each term, never walks. The random sets follow from (seed, number, list, size), whatever the partitioning.
+    nes and p are null where no random set has the sign. q: Benjamini-Hochberg within a list. A task holds a list's weights.
+    """
+    sizes = ranks.select("list", "feature").join(term2feature.select("term", "feature").distinct(), "feature").groupBy("list", "term").agg(F.count("*").alias("size"))
+    seen = running_sum_score(ranks, term2feature).where("es IS NOT NULL").join(sizes, ["list", "term"])
+    terms = seen.groupBy("list", "size").agg(F.collect_list(F.struct("term", "es")).alias("t"))
+    order = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "feature", F.abs("score").alias("w")))), lambda x: x["w"])
+    lists = ranks.groupBy("list").agg(order.alias("w"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // SETS_TOGETHER))).alias("block")
+    work = terms.select("list", "size", "t", blocks).repartition(F.col("list"), F.col("size"), F.col("block")).join(lists, "list")
+    kind = dict(seen.dtypes)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for name, size, t, block, w in pdf[["list", "size", "t", "block", "w"]].itertuples(index=False):
+                first = int(block) * SETS_TOGETHER
+                own = zlib.crc32(f"{name}\0{size}".encode()) << 20 | seed
+                null = null_scores(np.asarray(w, float), int(size), own, first, min(SETS_TOGETHER, draws - first))
+                for x in t:
+                    same = null[null >= 0] if x["es"] >= 0 else null[null < 0]
+                    rows.append((name, x["term"], len(same), float(np.abs(same).sum()), int((np.abs(same) >= abs(x["es"])).sum())))
+            yield pd.DataFrame(rows, columns=["list", "term", "n", "s", "hits"])
+
+    parts = work.mapInPandas(run, f"list {kind['list']}, term {kind['term']}, n long, s double, hits long")
+    null = parts.groupBy("list", "term").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("hits").alias("hits"))
+    out = seen.join(null, ["list", "term"]).withColumn("nes", F.when(F.col("s") > 0, F.col("es") * F.col("n") / F.col("s"))).withColumn("p", F.when(F.col("n") > 0, (1 + F.col("hits")) / (1 + F.col("n"))))
+    return benjamini_hochberg(out.select("list", "term", "size", "es", "nes", "p"), "p", ["list"])
+
+
 def significant_counts(terms: DataFrame, sig: float = 0.05) -> DataFrame:
     """(set_name, n): significant terms of each set, 0 for sets without any."""
     return terms.groupBy("set_name").agg(F.count_if(F.col("q") < sig).alias("n"))

@@ -277,6 +277,17 @@ def gsea(spark, sf):
     return rounded(enrichment.running_sum_score(ranks, t2f))
 
 
+#: Random sets of the registered query; the library's default is a hundred times as many.
+RANDOM_SETS = 1000
+
+
+@register("g5_normalised_scores")
+def normalised(spark, sf):
+    _, t2f, _ = _sets(spark, sf)
+    ranks = read_table(spark, sf, "part").select(F.col("p_type").alias("list"), F.col("p_partkey").alias("feature"), (F.col("p_retailprice") / 1000).alias("score"))
+    return rounded(enrichment.normalised_scores(ranks, t2f, RANDOM_SETS))
+
+
 @register("v4_pairwise_agreement", f"""WITH s AS (SELECT l_returnflag AS source, l_partkey AS feature, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), j AS (SELECT a.source AS source_a, b.source AS source_b, round(a.v, 9) AS x, round(b.v, 9) AS y FROM s a JOIN s b ON a.feature = b.feature AND a.source < b.source),
 r AS (SELECT source_a, source_b, {_RANKS.format('PARTITION BY source_a, source_b ', 'x', 'source_a, source_b, ')} AS rx, {_RANKS.format('PARTITION BY source_a, source_b ', 'y', 'source_a, source_b, ')} AS ry FROM j)
 SELECT source_a, source_b, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY ALL""")
