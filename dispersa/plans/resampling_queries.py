@@ -49,9 +49,13 @@ def _finite(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def _drawn(spark, sf, draws=bootstrap.DRAWS):
+#: Draws of the bootstrap queries.
+DRAWS = bootstrap.DRAWS
+
+
+def _drawn(spark, sf):
     placed = bootstrap.stratified_units(_expo(spark, sf), splits(spark, sf))
-    weights = bootstrap.unit_draws(placed, draws, 1)
+    weights = bootstrap.unit_draws(placed, DRAWS, 1)
     return bootstrap.refit_draws(counts(spark, sf), placed, weights), bootstrap.share_draws(weights, placed, shares(spark, sf))
 
 

@@ -4,12 +4,21 @@ import duckdb
 import pandas as pd
 import pytest
 
-from dispersa.plans import registry
+from dispersa.plans import axis_queries, class_queries, registry, resampling_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(autouse=True)
+def few_draws(monkeypatch):
+    """Registered queries run with all their draws elsewhere; here a few show that they run."""
+    monkeypatch.setattr(resampling_queries, "DRAWS", 30)
+    monkeypatch.setattr(resampling_queries, "RELABELLINGS", 30)
+    monkeypatch.setattr(axis_queries, "SPECTRUM_DRAWS", 20)
+    monkeypatch.setattr(class_queries, "RANDOM_SETS", 50)
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
