@@ -33,11 +33,16 @@ def average_ranks(df: DataFrame, value: str, into: str, groups: list[str]) -> Da
     return df.join(ranks, [*groups, value], "left")
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: Pearson's correlation, null without variance, where the built-in raises."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def spearman(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
-    """(groups, n, rho) over rows where both are there."""
+    """(groups, n, rho) over rows where both are there; rho is null without variance."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, x, y)
     ranked = average_ranks(average_ranks(both, x, "_rx", groups), y, "_ry", groups)
-    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str], into: str = "q") -> DataFrame:
@@ -78,14 +83,14 @@ def one_way_anova(df: DataFrame, x: str, group: str) -> DataFrame:
 
 
 def kruskal_wallis(df: DataFrame, x: str, group: str, keys: list[str]) -> DataFrame:
-    """(keys, h): the rank test of several groups with the tie correction."""
+    """(keys, h): the rank test of several groups with the tie correction; null where all values are equal."""
     both = df.where(F.col(x).isNotNull() & F.col(group).isNotNull()).select(*keys, group, x)
     ranked = average_ranks(both, x, "_r", keys)
     per = ranked.groupBy(*keys, group).agg(F.count("*").alias("n"), F.sum("_r").alias("s"))
-    ties = both.groupBy(*keys, x).agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    ties = both.groupBy(*keys, x).agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     sums = per.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     n = F.col("n").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("b") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("b") - 3 * (n + 1), 1 - F.try_divide(F.col("ties"), n * n * n - n))
     return (sums.join(ties, keys) if keys else sums.join(F.broadcast(ties))).select(*keys, h.alias("h"))
 
 
@@ -94,7 +99,7 @@ def rank_sum(df: DataFrame, x: str, first: Column, keys: list[str]) -> DataFrame
     both = df.where(F.col(x).isNotNull()).select(*keys, first.alias("_one"), x)
     ranked = average_ranks(both, x, "_r", keys)
     per = ranked.groupBy(*keys).agg(F.count_if("_one").alias("n1"), F.count_if(~F.col("_one")).alias("n2"), F.sum(F.when(F.col("_one"), F.col("_r"))).alias("w"))
-    ties = both.groupBy(*keys, x).agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    ties = both.groupBy(*keys, x).agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     u = F.col("w") - F.col("n1") * (F.col("n1") + 1) / 2
     n = (F.col("n1") + F.col("n2")).cast("double")
     away = u - F.col("n1") * F.col("n2") / 2

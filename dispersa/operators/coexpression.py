@@ -22,8 +22,8 @@ def pearson_residuals(counts: DataFrame, units: DataFrame, fits: DataFrame) -> D
     return full.select("dataset", "unit", "feature", F.when(r.isNull() | F.isnan(r), 0.0).otherwise(r).alias("r"))
 
 
-def shrunken_correlations(residuals: DataFrame, dataset: str | None = None) -> DataFrame:
-    """(i, j, r) for i < j: correlations with off-diagonals times 1 - lambda, lambda = sum var(r) / sum r^2 within 0..1.
+def shrunken_correlations(residuals: DataFrame, dataset: str | None = None, shrink: bool = True) -> DataFrame:
+    """(i, j, r) for i < j: correlations with off-diagonals times 1 - lambda, lambda = sum var(r) / sum r^2 within 0..1; or as they are.
 
     Units come as vectors in one order of features; tasks add up their Gram matrices of the standardised values and of
     their squares, which are summed by pair, so no task sees more than its own units.
@@ -52,6 +52,8 @@ def shrunken_correlations(residuals: DataFrame, dataset: str | None = None) -> D
     var = n / ((n - 1) * (n - 1) * (n - 1)) * (F.col("q") - n * mean * mean)
     r = F.col("s") / (n - 1)
     pairs = pairs.select("i", "j", r.alias("r"), var.alias("var"))
+    if not shrink:
+        return pairs.drop("var")
     lam = pairs.agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.sum("var"), F.sum(F.col("r") * F.col("r"))))).alias("lambda"))
     return pairs.join(F.broadcast(lam)).select("i", "j", (F.col("r") * (1 - F.coalesce("lambda", F.lit(0.0)))).alias("r"))
 

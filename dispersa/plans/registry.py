@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FLAGSHIP = "q1_unit_totals"
-MODULES = ("count_queries", "class_queries", "table_queries", "more_queries", "axis_queries", "report_queries", "resampling_queries")
+MODULES = ("count_queries", "class_queries", "table_queries", "more_queries", "axis_queries", "report_queries", "resampling_queries", "cluster_queries")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}

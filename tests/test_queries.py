@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from dispersa.plans import axis_queries, class_queries, registry, resampling_queries
+from dispersa.plans import axis_queries, class_queries, cluster_queries, registry, resampling_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,6 +17,7 @@ def few_draws(monkeypatch):
     monkeypatch.setattr(resampling_queries, "RELABELLINGS", 30)
     monkeypatch.setattr(axis_queries, "SPECTRUM_DRAWS", 20)
     monkeypatch.setattr(class_queries, "RANDOM_SETS", 50)
+    monkeypatch.setattr(cluster_queries, "ERROR_DRAWS", 30)
 
 
 @pytest.fixture(scope="module")
