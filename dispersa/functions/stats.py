@@ -33,11 +33,6 @@ def average_ranks(df: DataFrame, value: str, into: str, groups: list[str]) -> Da
     return df.join(ranks, [*groups, value], "left")
 
 
-def correlation(x: Column | str, y: Column | str) -> Column:
-    """Aggregate: Pearson's correlation, null without variance, where the built-in raises."""
-    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
-
-
 def spearman(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
     """(groups, n, rho) over rows where both are there; rho is null without variance."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, x, y)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispersa.functions.stats import spearman
+from dispersa.operators.fitting import fit_dispersions
+from dispersa.operators.qc import filter_depth, normalise_ids
 
 
 def implied_terms(df: DataFrame, scale: str = "count") -> DataFrame:
@@ -17,6 +19,30 @@ def implied_terms(df: DataFrame, scale: str = "count") -> DataFrame:
     return df.withColumn("fano", none).withColumn("bsize", none).withColumn("disp", none)
 
 
+def relative_exposures(counts: DataFrame) -> DataFrame:
+    """(dataset, unit, lib, expo): each unit's library over the mean library of its dataset."""
+    lib = counts.groupBy("dataset", "unit").agg(F.sum("y").alias("lib"))
+    mean = lib.groupBy("dataset").agg(F.avg("lib").alias("_m"))
+    return lib.join(F.broadcast(mean), "dataset").select("dataset", "unit", "lib", (F.col("lib") / F.col("_m")).alias("expo"))  # a row a dataset
+
+
+def source_counts(counts: DataFrame, aliases: DataFrame, pattern: str, least_unit: int, least_units: int) -> DataFrame:
+    """(dataset, feature, unit, y) of published counts (source, id, unit, y): ids named, equal names summed, shallow units and rare features left out.
+
+    Ids that match the pattern stand for themselves, others for their first alias (alias, feature, ord), those without one leave.
+    """
+    names = normalise_ids(counts.select("id").distinct(), aliases, pattern).where("feature IS NOT NULL")
+    named = counts.join(names, "id").select(F.col("source").alias("dataset"), "feature", "unit", "y")
+    return filter_depth(named, least_unit, least_units)
+
+
+def fit_sources(counts: DataFrame, aliases: DataFrame, pattern: str, least_unit: int, least_units: int) -> DataFrame:
+    """(source, feature, mean, cv2, fano, disp, bsize) of all published count sources in one job, in the layout that sources share."""
+    kept = source_counts(counts, aliases, pattern, least_unit, least_units)
+    fits = fit_dispersions(kept, relative_exposures(kept))
+    return fits.select(F.col("dataset").alias("source"), "feature", F.col("mu").alias("mean"), (F.col("cv") * F.col("cv")).alias("cv2"), "fano", "disp", "bsize")
+
+
 def pairwise_agreement(df: DataFrame, value: str) -> DataFrame:
     """(source_a, source_b, n, rho): Spearman of a value for all unordered pairs of sources (source, feature, value).
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispersa.functions import tails
+from dispersa.operators.classes import outer_groups
 
 def bootstrap_pairs(residuals: DataFrame, weights: DataFrame) -> DataFrame:
     """(i, j, n, mean, se): correlations of features over resamples of units, from residuals (unit, feature, r) and weights (draw, unit, w).
@@ -79,6 +80,12 @@ def signed_sets(df: DataFrame, feature: str, est: str, q: str, name: str, sig: f
     return ok.select(label.alias("set_name"), F.col(feature).alias("feature"), est).withColumn("ord", F.row_number().over(order)).drop(est)
 
 
+def level_sets(df: DataFrame, feature: str, score: str, name: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
+    """(set_name, feature): features of low, average and high score as sets of an enrichment; features without a score are in none."""
+    rows = outer_groups(df, score, low, high).where("level IS NOT NULL")
+    return rows.select(F.concat(F.lit(f"{name}_"), "level").alias("set_name"), F.col(feature).alias("feature"))
+
+
 def class_sets(df: DataFrame, feature: str, group: str, est: str, q: str, sig: float = 0.05) -> DataFrame:
     """(set_name, feature): each class by the sign of a significant total, both without one."""
     sign = F.when((F.col(q) < sig) & (F.col(est) > 0), ".up").when((F.col(q) < sig) & (F.col(est) < 0), ".down")

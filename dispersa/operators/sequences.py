@@ -51,6 +51,22 @@ def motif_scores(seqs: DataFrame, key: str, pwm: list[dict[str, float]], first:
     return seqs.select(key).join(best, key, "left").select(key, F.col("b.score").alias("score"), (-F.col("b.p")).alias("pos"))
 
 
+def score_table(seqs: DataFrame, key: str, motif: DataFrame, runs: DataFrame) -> DataFrame:
+    """(key, prom_len, prom_extended, tata_score, tata_pos, tata_motif, polyat_len, polyat_pos, polyat_tract): scores of upstream sequences by their distances.
+
+    seqs (key, seq, extended) end next to the gene; motif (key, score, pos, width) and runs (key, run, place) count places from the far
+    end, the table counts from the gene: the last base is at 1. A sequence without a score or a run keeps its row with nulls there,
+    an unstated `extended` is false.
+    """
+    size = F.length("seq")
+    out = seqs.join(motif.select(key, "score", "pos", "width"), key, "left").join(runs.select(key, "run", "place"), key, "left")
+    bases = lambda at, n: F.when(F.col(at).isNotNull(), F.substring(F.col("seq"), F.col(at).cast("int"), F.col(n).cast("int")))
+    return out.select(
+        key, size.alias("prom_len"), F.coalesce("extended", F.lit(False)).alias("prom_extended"), F.col("score").alias("tata_score"), (size - F.col("pos") + 1).alias("tata_pos"),
+        bases("pos", "width").alias("tata_motif"), F.col("run").alias("polyat_len"), (size - F.col("place") + 1).alias("polyat_pos"), bases("place", "run").alias("polyat_tract"),
+    )
+
+
 def longest_run(seqs: DataFrame, key: str, bases: tuple[str, str] = ("A", "T")) -> DataFrame:
     """(key, run, place): length of the longest run of one of two bases and its first place from 1; 0 and null without any."""
     pattern = f"({bases[0]}+|{bases[1]}+)"

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dispersa.functions.stats import correlation
+from dispersa.functions.stats import benjamini_hochberg, correlation
 from dispersa.sources.results import checkpointed
 
 #: Features of a block's side: a task holds blocks, never a table of all pairs.
@@ -479,3 +479,8 @@ def spectrum_p(values: DataFrame, nulls: DataFrame) -> DataFrame:
     rows = seen.join(nulls.select("part", "rank", "value"), ["part", "rank"], "left")
     return rows.groupBy("part", "rank", F.col("obs")).agg(((1 + F.count_if(F.col("value") >= F.col("obs"))) / (1 + F.count("value"))).alias("p")).withColumnRenamed("obs", "value")
 
+
+def validated_axes(tests: DataFrame, candidates: DataFrame, sig: float = 0.05) -> DataFrame:
+    """(part, rank, value, p, q, validated): rank-matched tests of the candidate axes (part, rank), q by Benjamini-Hochberg within a part's candidates."""
+    chosen = tests.join(candidates.select("part", "rank").distinct(), ["part", "rank"], "left_semi")
+    return benjamini_hochberg(chosen, "p", ["part"]).select("part", "rank", "value", "p", "q", (F.col("q") < sig).alias("validated"))

@@ -113,6 +113,14 @@ def permutation_spectra(spark, sf):
     return rounded(spectra.spectrum_p(got.where("draw = 0"), got.where("draw > 0")))
 
 
+@register("x12_validated_axes")
+def validated(spark, sf):
+    """The ten leading axes of total, cis and trans with q over these candidates."""
+    got = checkpointed(spectra.permutation_spectra(_all_residuals(spark, sf), SPECTRUM_DRAWS))
+    tests = checkpointed(spectra.spectrum_p(got.where("draw = 0"), got.where("draw > 0")))
+    return rounded(spectra.validated_axes(tests, tests.where("rank <= 10")))
+
+
 @register("x11_recoloured_spectra")
 def recoloured_spectra(spark, sf):
     """Null spectra of the summed hybrid against the first parent, over resamples within the recoloured groups."""

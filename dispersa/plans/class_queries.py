@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispersa.functions import stats
-from dispersa.operators import agreement, classes, enrichment, resampling, states
+from dispersa.operators import agreement, axes, classes, enrichment, resampling, states
 from dispersa.plans.bindings import COUNTS_SQL, counts
 from dispersa.plans.registry import register, rounded
 from dispersa.session import read_table
@@ -261,15 +261,30 @@ def _sets(spark, sf):
     return part.select(F.col("p_brand").alias("set_name"), F.col("p_partkey").alias("feature")), t2f, part.select(F.col("p_partkey").alias("feature"))
 
 
-@register("g4_over_representation", f"""{_SETS}, m AS (SELECT term, count(*) AS m FROM t2f GROUP BY term HAVING count(*) BETWEEN 10 AND 500), k AS (SELECT set_name, count(*) AS k FROM sets GROUP BY set_name HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM uni),
+_ORA = """, m AS (SELECT term, count(*) AS m FROM t2f GROUP BY term HAVING count(*) BETWEEN 10 AND 500), k AS (SELECT set_name, count(*) AS k FROM sets GROUP BY set_name HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM uni),
 h AS (SELECT set_name, term, count(*) AS x FROM sets JOIN t2f USING (feature) GROUP BY ALL), r AS (SELECT h.*, m, k, n FROM h JOIN m USING (term) JOIN k USING (set_name), n),
 e AS (SELECT *, unnest(range(x, least(k, m) + 1)) AS j FROM r), p AS (SELECT set_name, term, x, m, k, least(1.0, sum(exp(lgamma(m + 1) + lgamma(n - m + 1) + lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 1) - lgamma(j + 1) - lgamma(m - j + 1) - lgamma(k - j + 1) - lgamma(n - m - k + j + 1)))) AS p FROM e WHERE n - m - k + j >= 0 GROUP BY ALL),
 q AS (SELECT *, count(*) OVER (PARTITION BY set_name) AS t, count(*) OVER (PARTITION BY set_name ORDER BY round(p, 9)) AS rk FROM p)
-SELECT set_name, term, x AS overlap, m AS term_size, k AS set_size, round(p, 5) AS p, round(least(1.0, min(p * t / rk) OVER (PARTITION BY set_name ORDER BY p DESC)), 5) AS q FROM q""")
+SELECT set_name, term, x AS overlap, m AS term_size, k AS set_size, round(p, 5) AS p, round(least(1.0, min(p * t / rk) OVER (PARTITION BY set_name ORDER BY p DESC)), 5) AS q FROM q"""
+
+
+@register("g4_over_representation", _SETS + _ORA)
 def ora(spark, sf):
     return rounded(enrichment.over_representation(*_sets(spark, sf)), 5)
 
 
+_LEVELS = _SETS[: _SETS.index("sets AS")] + """sc AS (SELECT l_partkey AS feature, CAST(count(*) FILTER (l_linestatus = 'F') AS DOUBLE) / count(*) AS s FROM lineitem GROUP BY 1),
+cut AS (SELECT quantile_cont(s, 0.25) AS a, quantile_cont(s, 0.75) AS b FROM sc), sets AS (SELECT 'finished_' || CASE WHEN s <= a THEN 'low' WHEN s >= b THEN 'high' ELSE 'average' END AS set_name, feature FROM sc, cut)"""
+
+
+@register("g7_level_enrichment", _LEVELS + _ORA)
+def levels(spark, sf):
+    """Terms of parts whose share of finished line items is low, average or high."""
+    _, t2f, universe = _sets(spark, sf)
+    share = read_table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("feature")).agg((F.count_if(F.col("l_linestatus") == "F") / F.count("*")).alias("s"))
+    return rounded(enrichment.over_representation(axes.level_sets(share, "feature", "s", "finished"), t2f, universe), 5)
+
+
 @register("g5_running_sum")
 def gsea(spark, sf):
     _, t2f, _ = _sets(spark, sf)

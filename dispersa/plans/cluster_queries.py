@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispersa.operators import bootstrap, clusters, fitting, inference, rowwise, smoothing, spectra, states
+from dispersa.operators import agreement, bootstrap, clusters, fitting, inference, rowwise, smoothing, spectra, states
 from dispersa.plans.axis_queries import _all_residuals, _residuals
 from dispersa.plans.bindings import counts
 from dispersa.plans.count_queries import STATS, WITH, _expo, _units
@@ -144,3 +144,29 @@ def error_floors(spark, sf):
     floors = spark.range(1, 13).select((F.col("id") * 0.05).alias("floor"))
     raw, true = inference.floor_table(found, "attn", "se_obs", floors), inference.floor_table(found, "attn", "se_true", floors)
     return rounded(raw.withColumnRenamed("median_se", "median_se_obs").join(true.select("floor", F.col("median_se").alias("median_se_true")), "floor"))
+
+
+def _published(spark, sf):
+    """Brands of line items as raw ids of three published sources, the return flags, over customers; ids in lower case are aliases."""
+    line = read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    order, part = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey"), read_table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
+    rows = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    raw = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.lower("p_brand"))
+    counts = rows.groupBy(F.col("l_returnflag").alias("source"), raw.alias("id"), F.col("o_custkey").cast("string").alias("unit")).agg(F.count("*").alias("y"))
+    aliases = part.groupBy(F.lower("p_brand").alias("alias"), F.col("p_brand").alias("feature")).agg(F.min("p_partkey").alias("ord"))
+    return counts, aliases, "^Brand#", 10, 20
+
+
+PUBLISHED = """WITH raw AS (SELECT l_returnflag AS source, p_brand AS feature, o_custkey AS unit, count(*) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+deep AS (SELECT source, unit FROM raw GROUP BY ALL HAVING sum(y) >= 10), k AS (SELECT * FROM raw SEMI JOIN deep USING (source, unit)), fe AS (SELECT source, feature FROM k GROUP BY ALL HAVING count(*) >= 20),
+kept AS (SELECT * FROM k SEMI JOIN fe USING (source, feature)), lib AS (SELECT source, unit, sum(y) AS lib FROM kept GROUP BY ALL), mean AS (SELECT source, avg(lib) AS m FROM lib GROUP BY source)"""
+
+
+@register("v2_relative_exposures", f"{PUBLISHED} SELECT source AS dataset, CAST(unit AS VARCHAR) AS unit, lib, round(lib / m, 6) AS expo FROM lib JOIN mean USING (source)")
+def relative(spark, sf):
+    return rounded(agreement.relative_exposures(agreement.source_counts(*_published(spark, sf))))
+
+
+@register("v2_fit_sources")
+def fit_sources(spark, sf):
+    return rounded(agreement.fit_sources(*_published(spark, sf)), 4)

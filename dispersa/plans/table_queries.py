@@ -51,6 +51,19 @@ def runs(spark, sf):
     return sequences.longest_run(bases(spark, sf), "doc_id").select("doc_id", F.col("run").cast("long").alias("run"), F.col("place").cast("long").alias("place"))
 
 
+@register("p4_score_table", f"""{BASES_SQL}, p AS (SELECT doc_id, seq, unnest(range(50, least(200, length(seq) - 2) + 1)) AS p FROM s), q AS (SELECT doc_id, p, {_SCORE} AS score FROM p),
+b AS (SELECT doc_id, score, p AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, p) AS r FROM q), k AS (SELECT doc_id, seq, regexp_extract_all(seq, '(A+|T+)') AS runs FROM s),
+m AS (SELECT *, coalesce(list_max([length(x) for x in runs]), 0) AS run FROM k), o AS (SELECT doc_id, run, CASE WHEN run > 0 THEN instr(seq, list_filter(runs, lambda x: length(x) = run)[1]) END AS place FROM m)
+SELECT s.doc_id, length(seq) AS prom_len, length(seq) < 50 AS prom_extended, score AS tata_score, length(seq) - pos + 1 AS tata_pos, CASE WHEN pos IS NOT NULL THEN substr(seq, CAST(pos AS INT), 3) END AS tata_motif,
+  run AS polyat_len, length(seq) - place + 1 AS polyat_pos, CASE WHEN place IS NOT NULL THEN substr(seq, CAST(place AS INT), CAST(run AS INT)) END AS polyat_tract
+FROM s LEFT JOIN b ON s.doc_id = b.doc_id AND r = 1 JOIN o ON s.doc_id = o.doc_id""")
+def scores(spark, sf):
+    s = bases(spark, sf)
+    motif = sequences.motif_scores(s, "doc_id", MOTIF, 50, 200).withColumn("width", F.lit(len(MOTIF)))
+    got = sequences.score_table(s.withColumn("extended", F.length("seq") < 50), "doc_id", motif, sequences.longest_run(s, "doc_id"))
+    return got.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in got.dtypes])
+
+
 @register("p6_tiles", f"{BASES_SQL}, t AS (SELECT doc_id, seq, unnest(range(1, length(seq) + 1, 500)) AS core_start FROM s WHERE length(seq) > 0) SELECT CAST(doc_id AS VARCHAR) AS seqid, (core_start - 1) // 500 AS tile, core_start, md5(substr(seq, greatest(1, core_start - 70), core_start + 570 - greatest(1, core_start - 70))) AS piece FROM t")
 def tiled(spark, sf):
     s = bases(spark, sf).where(F.length("seq") > 0).select(F.col("doc_id").cast("string").alias("seqid"), "seq")
