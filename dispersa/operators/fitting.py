@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOG_PHI = (-15.0, 4.0)  # search range of log phi
+LONG = 512  # counts above are summed by an integral
 CHI_90 = 2.7055434541  # fixed value: upper 10 % point of chi-squared with one degree of freedom
 FITS = "dataset string, feature string, disp_app double, lrt double, upper double, hit_range int"
 
@@ -37,26 +38,37 @@ def moment_fit(stats: DataFrame) -> DataFrame:
     return stats.select("dataset", "feature", "mu", F.try_divide(up, down).alias("disp_moment"))
 
 
+def _log_rises(phi: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum of log(1 + phi j) over 1 <= j < y for each entry, y ascending: term by term up to LONG, beyond by the integral and its end corrections."""
+    out = np.zeros(len(y))
+    for j in range(1, int(min(y.max(initial=0), LONG))):
+        k = np.searchsorted(y, j, "right")
+        out[k:] += np.log1p(phi[k:] * j)
+    k = np.searchsorted(y, LONG, "right")
+    if k < len(y):
+        p, ends = phi[k:], (float(LONG), y[k:])
+        whole = [((1 + p * x) * np.log1p(p * x) - p * x) / p - np.log1p(p * x) / 2 + p / (1 + p * x) / 12 for x in ends]
+        out[k:] += whole[1] - whole[0]
+    return out
+
+
 def _likelihood(phi: np.ndarray, rows, mu: np.ndarray, ef: np.ndarray, en: np.ndarray) -> np.ndarray:
     """Cox-Reid adjusted log-likelihood of each feature at its phi, without terms that phi isn't in.
 
-    rows: (feature of each stored count, y, exposure); ef, en: the dataset's distinct exposures and their numbers of
-    units. Counts are integers, so the gamma functions become sums of logs over j < y.
+    rows: (feature, y, cells) of each distinct count, ascending by y, and (feature, exposure, summed y) of each distinct exposure; ef, en:
+    the dataset's distinct exposures and their numbers of units. Counts are integers, so the gamma functions become sums of logs over j < y.
     """
-    of, y, e = rows
+    of_y, y, cells, of_e, e, sums = rows
     safe = np.maximum(phi, 1e-300)
-    steps = np.zeros(len(y))
-    for j in range(1, int(y.max(initial=0))):
-        more = y > j
-        steps[more] += np.log1p(safe[of[more]] * j)
-    steps -= y * np.log1p(safe[of] * mu[of] * e)
+    steps = np.bincount(of_y, cells * _log_rises(safe[of_y], y), len(phi)) - np.bincount(of_e, sums * np.log1p(safe[of_e] * mu[of_e] * e), len(phi))
     t = safe * mu
     tail, info = np.zeros(len(phi)), np.zeros(len(phi))
-    for a in range(0, len(ef), 4096):
-        te = t[:, None] * ef[None, a : a + 4096]
-        tail += np.log1p(te) @ en[a : a + 4096]
-        info += (ef[None, a : a + 4096] / (1 + te)) @ en[a : a + 4096]
-    out = np.bincount(of, steps, len(phi)) - tail / safe - 0.5 * np.log(mu * info)
+    width = max(1, 4_000_000 // max(1, len(phi)))  # exposures at a time: 32 MB a table
+    for a in range(0, len(ef), width):
+        te = t[:, None] * ef[None, a : a + width]
+        tail += np.log1p(te) @ en[a : a + width]
+        info += (ef[None, a : a + width] / (1 + te)) @ en[a : a + width]
+    out = steps - tail / safe - 0.5 * np.log(mu * info)
     flat = phi == 0
     if flat.any():
         out[flat] = -(mu[flat] * (ef @ en)) - 0.5 * np.log(mu[flat] * (ef @ en))
@@ -82,8 +94,10 @@ def _fit_batch(pdf: pd.DataFrame, spectrum: dict[str, tuple[np.ndarray, np.ndarr
     out = []
     for dataset, part in pdf.groupby("dataset"):
         ef, en = spectrum[dataset]
-        of = np.repeat(np.arange(len(part)), part["ys"].str.len())
-        rows = (of, np.concatenate(part["ys"].to_list()).astype(float), np.concatenate(part["es"].to_list()).astype(float))
+        of = [np.repeat(np.arange(len(part)), part[c].str.len()) for c in ("ys", "es")]
+        y, cells, e, sums = (np.concatenate(part[c].to_list()).astype(float) for c in ("ys", "ns", "es", "ss"))
+        up = np.argsort(y, kind="stable")
+        rows = (of[0][up], y[up], cells[up], of[1], e, sums)
         mu = part["mu"].to_numpy(float)
 
         def ll(log_phi, rows=rows, mu=mu, ef=ef, en=en):
@@ -135,8 +149,14 @@ def fit_dispersions(counts: DataFrame, units: DataFrame, corrections: DataFrame
     stats = sufficient(counts, units)
     spectrum = counts.sparkSession.sparkContext.broadcast(exposure_spectrum(units))
     rows = counts.join(units.select("dataset", "unit", "expo"), ["dataset", "unit"])
-    # equal (y, expo) cells of a feature are kept apart in its arrays; features are the unit of work
-    arrays = rows.groupBy("dataset", "feature").agg(F.collect_list(F.col("y").cast("double")).alias("ys"), F.collect_list("expo").alias("es"))
+    # the likelihood needs how often a count occurs and what is counted at an exposure: a feature's arrays hold distinct values, not cells
+    y, e = F.col("y").cast("double"), F.col("expo").cast("double")
+    each = F.explode(F.array(F.struct(F.lit(True).alias("count"), y.alias("v"), F.lit(1.0).alias("w")), F.struct(F.lit(False).alias("count"), e.alias("v"), y.alias("w")))).alias("c")
+    tables = rows.select("dataset", "feature", each).groupBy("dataset", "feature", "c.count", "c.v").agg(F.sum("c.w").alias("w"))
+    pair = F.struct("v", "w")
+    lists = [F.sort_array(F.collect_list(F.when(of, pair))).alias(name) for name, of in (("_y", F.col("count")), ("_e", ~F.col("count")))]
+    arrays = tables.groupBy("dataset", "feature").agg(*lists)
+    arrays = arrays.select("dataset", "feature", F.col("_y.v").alias("ys"), F.col("_y.w").alias("ns"), F.col("_e.v").alias("es"), F.col("_e.w").alias("ss"))
     work = arrays.join(stats.select("dataset", "feature", "mu", "slope0"), ["dataset", "feature"])
 
     def fit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

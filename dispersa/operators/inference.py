@@ -133,7 +133,9 @@ def parametric_p(fits: DataFrame, units: DataFrame, groups: dict[str, float], si
                     y = rng.poisson(mu * e * rng.gamma(1 / phi, phi, (size, len(e))))
                     fit = np.maximum(y.sum(axis=1) / e.sum(), 1e-12)
                     at = np.nonzero(y)
-                    rows = (at[0], y[at].astype(float), e[at[1]])
+                    drawn = y[at].astype(float)
+                    up = np.argsort(drawn, kind="stable")
+                    rows = (at[0][up], drawn[up], np.ones(len(up)), at[0], e[at[1]], drawn)
                     mean = fit[:, None] * e
                     slope = ((y - mean) ** 2).sum(axis=1) - mean.sum(axis=1) + (mean**2).sum(axis=1) / mean.sum(axis=1)
                     best = _maximise(lambda x, r=rows, f=fit, ef=ef, en=en: _likelihood(np.exp(x), r, f, ef, en), np.full(size, LOG_PHI[0]), np.full(size, LOG_PHI[1]), 30)

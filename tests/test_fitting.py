@@ -51,3 +51,20 @@ def test_sparse_sums_equal_dense_ones(spark):
     y = dense["f0"]
     m = y.sum() / e.sum() * e
     assert abs(r.slope0 - (((y - m) ** 2).sum() - m.sum() + (m**2).sum() / m.sum())) < 1e-6
+
+
+def test_large_counts_are_summed_by_the_integral():
+    y = np.array([0, 1, 2, 511, 512, 513, 514, 900, 20_000, 300_000], float)
+    for phi in (1e-300, 3e-7, 1e-3, 0.4, 50.0):
+        want = [np.log1p(phi * np.arange(1, k)).sum() for k in y]
+        assert np.allclose(fitting._log_rises(np.full(len(y), phi), y), want, rtol=1e-11, atol=1e-9)
+
+
+def test_fit_with_large_counts(spark):
+    counts, units, e, dense = tables(spark, [3000, 40], [0.3, 0.6])
+    for r in fitting.fit_dispersions(counts, units).collect():
+        y = dense[r.feature]
+        m = y.sum() / e.sum() * e
+        here = dense_loglik(y, m, r.disp_app)
+        assert y.max() > 512 or r.feature == "f1"
+        assert all(dense_loglik(y, m, r.disp_app * s) < here for s in (0.99, 1.01, 0.5, 2))
