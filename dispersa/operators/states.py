@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dispersa.sources.results import checkpointed
+
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, ari) of two partitions of the same rows, from the counts of their crossing."""
@@ -55,18 +57,25 @@ def plateaus(curve: DataFrame, keys: list[str], x: str, k: str) -> DataFrame:
     return curve.withColumn("_new", F.when(before.isNotNull() & (before != F.col(k)), 1).otherwise(0)).withColumn("run", F.sum("_new").over(order)).drop("_new")
 
 
-def equal_bins(df: DataFrame, value: str, bins: int, tiebreak: str) -> DataFrame:
-    """df with `bin` 1..bins: ceil(rank / n * bins), ties in the tiebreak's order.
+def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """df with `into` 1..n: each row's place in the order of some columns, nulls first; places of rows equal in all of them are arbitrary.
 
-    Ranks come from counts below a value and the place among its equals, so no task orders all rows.
+    Ranges of the order are sorted apart and written with the places inside them, so that a lost executor can't number its rows anew;
+    a place is the rows of earlier ranges and the place inside. Equal values of the first columns may lie in several ranges, and no task holds more than a range.
     """
-    per = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    below = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_below", F.coalesce(F.sum("_c").over(below), F.lit(0)))
-    n = per.agg(F.sum("_c").alias("_n"))
-    inside = Window.partitionBy(value).orderBy(tiebreak)
-    out = df.join(per, F.col(value) == F.col("_v")).join(F.broadcast(n))
-    return out.withColumn("bin", F.ceil((F.col("_below") + F.row_number().over(inside)) / F.col("_n") * bins)).drop("_v", "_c", "_below", "_n")
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the place in a partition
+    saved = checkpointed(ranges.withColumn("_range", F.spark_partition_id()).withColumn("_inside", inside))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = saved.groupBy("_range").agg(F.count("*").alias("_c")).select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    return saved.join(F.broadcast(base), "_range").withColumn(into, F.col("_base") + F.col("_inside") + 1).drop("_range", "_inside", "_base")
+
+
+def equal_bins(df: DataFrame, value: str, bins: int, tiebreak: str) -> DataFrame:
+    """df with `bin` 1..bins: ceil(rank / n * bins), ties in the tiebreak's order; rows without a value are left out."""
+    placed = numbered(df.where(F.col(value).isNotNull()), [value, tiebreak], "_place")
+    n = placed.agg(F.count("*").alias("_n"))
+    return placed.join(F.broadcast(n)).withColumn("bin", F.ceil(F.col("_place") / F.col("_n") * bins)).drop("_place", "_n")
 
 
 def cohens_d(df: DataFrame, x: str, first: Column) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dispersa.operators import bootstrap, clusters, rowwise
+from dispersa.operators import bootstrap, clusters, rowwise, states
 
 
 @pytest.fixture(scope="module")
@@ -129,3 +129,16 @@ def test_stratified_sample(spark):
     assert {r["bin"]: r["count"] for r in taken.groupBy("bin").count().collect()} == dict.fromkeys(range(1, 11), 15)
     again = rowwise.stratified_sample(binned.repartition(7), "feature", "bin", 15, 3)
     assert sorted(r.feature for r in taken.collect()) == sorted(r.feature for r in again.collect())
+
+
+def test_numbered_rows_and_equal_bins_with_a_hot_value(spark):
+    rng = np.random.default_rng(6)
+    v = np.where(np.arange(999) % 3 == 0, 5, rng.integers(0, 1000, 999)).tolist()  # a third of all rows hold one value
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "id long, v long").repartition(5)
+    got = {r.id: r.place for r in states.numbered(df, ["v", "id"], "place").collect()}
+    order = sorted(range(999), key=lambda i: (v[i], i))
+    assert got == {i: k + 1 for k, i in enumerate(order)}
+    none = spark.createDataFrame([(2000, None)], "id long, v long")
+    bins = {r.id: r.bin for r in states.equal_bins(df.union(none), "v", 7, "id").collect()}
+    assert bins == {i: -(-(k + 1) * 7 // 999) for k, i in enumerate(order)}
+    assert states.equal_bins(df.limit(0), "v", 7, "id").count() == 0
