@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dispersa.sources.results import checkpointed
+
 
 def hashed_pick(seed: int, draw: Column, slot: Column, n: Column) -> Column:
     """A position in 0..n - 1 for a slot of a draw, by hash alone: the same under any partitioning."""
@@ -19,6 +23,31 @@ def bootstrap_weights(strata: DataFrame, draws: int, seed: int, pick=hashed_pick
     return picked.groupBy("draw", "stratum", "pos").agg(F.count("*").alias("w"))
 
 
+def hash_cuts(items: DataFrame, sizes: DataFrame, draws: int, hashed: Callable[[Column, Column, Column], Column], shift: int = 52) -> DataFrame:
+    """(pool, hs, ids): for draws 1 to `draws` the last item of a pool's first half, by hash and then by name; null where the half is empty.
+
+    items (pool, item), sizes (pool, first_n): the items of the least hashes in a draw are its first half. Hashes are counted in buckets, and
+    only the bucket that holds the last item is put in order, so no label is stored and no task orders a pool. shift: bits that a bucket leaves out.
+    """
+    each = items.join(F.broadcast(sizes), "pool").select("pool", "item", "first_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    each = each.withColumn("h", hashed(F.col("pool"), F.col("draw"), F.col("item"))).withColumn("bucket", F.shiftright("h", shift))
+    counted = each.groupBy("pool", "draw", "bucket").agg(F.count("*").alias("n"), F.first("first_n").alias("first_n"))
+    until = F.sum("n").over(Window.partitionBy("pool", "draw").orderBy("bucket"))
+    last = counted.withColumn("until", until).where("until >= first_n AND until - n < first_n")
+    last = checkpointed(last.select("pool", "draw", "bucket", (F.col("first_n") - F.col("until") + F.col("n")).alias("at")))  # a row a pool and draw
+    inside = each.join(F.broadcast(last), ["pool", "draw", "bucket"])
+    order = Window.partitionBy("pool", "draw").orderBy("h", "item")
+    cut = inside.withColumn("r", F.row_number().over(order)).where("r = at").groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("draw", F.struct("h", "item")))).alias("m"))
+    every = F.sequence(F.lit(1), F.lit(draws))
+    return checkpointed(cut.select("pool", F.transform(every, lambda d: F.col("m")[d]["h"]).alias("hs"), F.transform(every, lambda d: F.col("m")[d]["item"]).alias("ids")))
+
+
+def before_cut(hs: Column, ids: Column, draw: Column, h: Column, item: Column) -> Column:
+    """Whether an item of hash h is in the first half of a draw, by its pool's row of hash_cuts."""
+    cut = F.get(hs, draw - 1)
+    return F.coalesce((h < cut) | ((h == cut) & (item <= F.get(ids, draw - 1))), F.lit(False))
+
+
 def positions(units: DataFrame, stratum: str, unit: str) -> DataFrame:
     """(stratum, unit, pos): units of a stratum in their order from 0."""
     order = Window.partitionBy(stratum).orderBy(unit)

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispersa.functions.stats import benjamini_hochberg, correlation
+from dispersa.operators.resampling import before_cut, hash_cuts
 from dispersa.sources.results import checkpointed
 
 #: Features of a block's side: a task holds blocks, never a table of all pairs.
 SIDE = 512
 
-#: Draws that a task sums up together, and units of a block.
-DRAWS_TOGETHER, UNITS_TOGETHER = 8, 4096
+#: Most draws that a task sums up together, units of a block, and bytes of the products that a block gives.
+DRAWS_TOGETHER, UNITS_TOGETHER, PRODUCT_BYTES = 128, 4096, 64 << 20
 
 BLOCKS = "key string, bi int, bj int, m binary"
 
@@ -200,31 +201,31 @@ def unit_vectors(residuals: DataFrame, views: list[str]) -> DataFrame:
 
 
 def relabelled_units(parents: tuple[DataFrame, DataFrame], alleles: DataFrame, draws: int, seed: int, label=None) -> DataFrame:
-    """(grp, block, db, unit, x0, x1, flags): units with their flags in a block of draws, draw 0 the data as they are.
+    """(grp, block, db, low, unit, x0, x1, flags): units with their flags in a block of draws from `low` on, draw 0 the data as they are.
 
     grp 0: pooled parents; flagged units form the half of the first parent's size, those of the least hashes in a draw. grp 1: hybrid units;
-    a flag swaps the two alleles. A draw's order is told by buckets of the hash first, so no task sorts a draw's units.
+    a flag swaps the two alleles. Flags follow from a unit's own hashes and the cuts of the draws, so no table of units and draws is shuffled.
     """
     a, b = (df.select("unit", "x0").withColumn("first", F.lit(i == 0)) for i, df in enumerate(parents))
     pool = checkpointed(a.union(b).withColumn("id", F.concat(F.col("first").cast("string"), F.lit(":"), "unit")))
-    first = a.count()
-    each = pool.select("id", "first", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    hashed = each.withColumn("h", label(F.col("draw"), F.col("id")) if label else F.xxhash64(F.lit(seed), "draw", "id")).withColumn("bucket", F.shiftright("h", 52))
-    counted = hashed.groupBy("draw", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("draw").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counted.select("draw", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("draw", "bucket").orderBy("h", "id")
-    halves = hashed.join(base, ["draw", "bucket"]).select("draw", "id", (F.col("base") + F.row_number().over(inside) <= first).alias("f"))
-    halves = halves.union(pool.select(F.lit(0), "id", "first")).withColumn("db", F.floor(F.col("draw") / DRAWS_TOGETHER).cast("int"))
-    flags = halves.groupBy("db", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "f"))), lambda x: x["f"]).alias("flags"))
+    alleles = checkpointed(alleles.select("unit", "x0", "x1"))
+    sized = pool.agg(F.count("*").alias("n"), F.count_if("first").alias("first_n"), F.coalesce(F.max(F.size("x0")), F.lit(0)).alias("p")).first()
+    wide = int(max(1, min(DRAWS_TOGETHER, PRODUCT_BYTES // (16 * max(sized.p, 1) ** 2))))
+    hashed = lambda d, u: label(d, u) if label else F.xxhash64(F.lit(seed), d, u)
+    own = F.lit("").alias("pool")
+    cuts = hash_cuts(pool.select(own, F.col("id").alias("item")), pool.sparkSession.createDataFrame([("", sized.first_n)], "pool string, first_n long"), draws, lambda _, d, u: hashed(d, u))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(-(-n // UNITS_TOGETHER) or 1)).cast("int").alias("block")
-    none = F.array().cast("array<double>").alias("x1")
-    own = flags.join(pool.select("id", "x0"), "id").select(F.lit(0).alias("grp"), block("id", pool.count()), "db", F.col("id").alias("unit"), "x0", none, "flags")
+    every = F.explode(F.sequence(F.lit(0), F.lit(draws // wide))).alias("db")
+    low = F.col("db") * wide
+    inside = F.sequence(low, F.least(low + wide - 1, F.lit(draws)))
+    at = lambda grp, b, unit, x1, flags: (F.lit(grp).alias("grp"), b, "db", low.alias("low"), unit, "x0", x1, flags.alias("flags"))
+    halves = pool.select("id", "x0", "first", own, every).join(F.broadcast(cuts), "pool", "left")
+    flags = F.transform(inside, lambda d: F.when(d == 0, F.col("first")).otherwise(before_cut(F.col("hs"), F.col("ids"), d, hashed(d, F.col("id")), F.col("id"))))
+    halves = halves.select(*at(0, block("id", sized.n), F.col("id").alias("unit"), F.array().cast("array<double>").alias("x1"), flags))
     swap = lambda d: F.when(d == 0, F.lit(False)).otherwise((label(d, F.col("unit")) if label else F.xxhash64(F.lit(seed + 1), d, "unit")) % 2 != 0)
-    low = F.col("db") * DRAWS_TOGETHER
-    both = alleles.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(draws // DRAWS_TOGETHER))))
-    both = both.select(F.lit(1).alias("grp"), block("unit", alleles.count()), "db", "unit", "x0", "x1", F.transform(F.sequence(low, F.least(low + DRAWS_TOGETHER - 1, F.lit(draws))), swap).alias("flags"))
-    return checkpointed(own.union(both))
+    both = alleles.select("*", every)
+    both = both.select(*at(1, block("unit", alleles.count()), F.col("unit"), F.col("x1"), F.transform(inside, swap)))
+    return checkpointed(halves.union(both))
 
 
 def _halves(x0: np.ndarray, x1: np.ndarray, flags: np.ndarray, grp: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,10 +235,10 @@ def _halves(x0: np.ndarray, x1: np.ndarray, flags: np.ndarray, grp: int) -> tupl
 
 
 def _loaded(pdf: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    grp, db = int(pdf["grp"].iloc[0]), int(pdf["db"].iloc[0])
+    grp, low = int(pdf["grp"].iloc[0]), int(pdf["low"].iloc[0])
     x0, flags = np.stack(pdf["x0"].to_list()), np.stack(pdf["flags"].to_list()).astype(bool)
     x1 = np.stack(pdf["x1"].to_list()) if grp else x0
-    return grp, db * DRAWS_TOGETHER + np.arange(flags.shape[1]), x0, x1, flags
+    return grp, low + np.arange(flags.shape[1]), x0, x1, flags
 
 
 def _sums(side: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -246,10 +247,12 @@ def _sums(side: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grp, draws, x0, x1, flags = _loaded(pdf)
         parts, rows = _slices(x0.shape[1], side), []
+        up = [np.concatenate([np.ones_like(x), x, x * x, x * x * x, (x * x) ** 2], axis=1) for x in ([x0, x1] if grp else [x0])]
+        on, off = flags.T.astype(float), (~flags).T.astype(float)
+        powers = (on @ up[-1] + off @ up[0], on @ up[0] + off @ up[-1]) if grp else (on @ up[0], off @ up[0])
         for i, draw in enumerate(draws.tolist()):
             for half, x in enumerate(_halves(x0, x1, flags[:, i], grp)):
-                powers = np.stack([(x**e).sum(0) for e in range(5)]) if len(x) else np.zeros((5, x0.shape[1]))
-                rows.append((draw, grp, half, -1, -1, powers.tobytes()))
+                rows.append((draw, grp, half, -1, -1, powers[half][i].tobytes()))
                 for bi, s in enumerate(parts):
                     rows += [(draw, grp, half, bi, bj, (x[:, s].T @ x[:, t]).tobytes()) for bj, t in enumerate(parts) if bj >= bi]
         return pd.DataFrame(rows, columns=["draw", "grp", "half", "bi", "bj", "m"])
@@ -296,8 +299,8 @@ def null_blocks(units: DataFrame, side: int = SIDE) -> DataFrame:
     summed = units.groupBy("grp", "block", "db").applyInPandas(_sums(side), "draw int, grp int, half int, bi int, bj int, m binary")
     summed = checkpointed(summed.groupBy("draw", "grp", "half", "bi", "bj").applyInPandas(_added, "draw int, grp int, half int, bi int, bj int, m binary"))
     powers = summed.where("bi = -1").select("draw", "grp", "half", "m")
-    where = units.select("grp", "block", "db").distinct()
-    known = powers.withColumn("db", F.floor(F.col("draw") / DRAWS_TOGETHER).cast("int")).join(where, ["grp", "db"]).select(*[F.col(c).alias(c) for c in ("grp", "block", "db", "draw", "half", "m")])
+    where = units.select("grp", "block", "db", "low", F.size("flags").alias("n")).distinct().select("grp", "block", "db", F.explode(F.sequence("low", F.col("low") + F.col("n") - 1)).alias("draw"))
+    known = powers.join(where, ["grp", "draw"]).select(*[F.col(c).alias(c) for c in ("grp", "block", "db", "draw", "half", "m")])
     norms = units.groupBy("grp", "block", "db").cogroup(known.groupBy("grp", "block", "db")).applyInPandas(_squares, "draw int, grp int, half int, q double")
     norms = norms.groupBy("draw", "grp", "half").agg(F.sum("q").alias("q"))
     grams = summed.where("bi >= 0").join(powers.withColumnRenamed("m", "w"), ["draw", "grp", "half"])
