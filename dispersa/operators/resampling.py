@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from dispersa.sources.results import checkpointed
 
+#: Slots of a stratum that are drawn together, and positions of draws that a task counts.
+SLOTS, COUNTED = 20_000, 500_000
+
 
 def hashed_pick(seed: int, draw: Column, slot: Column, n: Column) -> Column:
     """A position in 0..n - 1 for a slot of a draw, by hash alone: the same under any partitioning."""
@@ -17,10 +20,15 @@ def hashed_pick(seed: int, draw: Column, slot: Column, n: Column) -> Column:
 
 def bootstrap_weights(strata: DataFrame, draws: int, seed: int, pick=hashed_pick) -> DataFrame:
     """(draw, stratum, pos, w): how often each position 0..n - 1 of a stratum (stratum, n) is in a draw of n with replacement."""
-    slots = strata.select("stratum", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    each = slots.select("stratum", "n", "slot", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    # runs of slots are dealt out and positions are counted by as many tasks as their number asks for
+    strata = checkpointed(strata.where("n > 0").select("stratum", F.col("n").cast("long").alias("n")))
+    total = strata.agg(F.sum("n")).first()[0] or 0
+    parts = max(strata.sparkSession.sparkContext.defaultParallelism, -(-total * draws // COUNTED))
+    runs = strata.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOTS).cast("long"))).alias("low"))
+    runs = runs.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).repartition(min(parts, 1000), "stratum", "low", "draw")
+    each = runs.select("stratum", "n", "draw", F.explode(F.sequence("low", F.least(F.col("low") + SLOTS, F.col("n")) - 1)).alias("slot"))
     picked = each.select("draw", "stratum", pick(seed, F.col("draw"), F.col("slot"), F.col("n")).alias("pos"))
-    return picked.groupBy("draw", "stratum", "pos").agg(F.count("*").alias("w"))
+    return picked.repartition(parts, "draw", "stratum", "pos").groupBy("draw", "stratum", "pos").agg(F.count("*").alias("w"))
 
 
 def hash_cuts(items: DataFrame, sizes: DataFrame, draws: int, hashed: Callable[[Column, Column, Column], Column], shift: int = 52) -> DataFrame:

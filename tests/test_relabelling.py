@@ -18,3 +18,13 @@ def test_cuts_divide_pools_as_an_order_by_hash_does(spark):
             for draw in range(1, 8):
                 own = sorted((r.h, r.item, r.f) for r in rows if r.pool == pool and r.draw == draw)
                 assert [f for *_, f in own] == [i < n for i in range(len(own))]
+
+
+def test_runs_of_slots_give_the_same_draws(spark, monkeypatch):
+    strata = spark.createDataFrame([("a", 25), ("b", 7), ("none", 0)], "stratum string, n long")
+    want = {}
+    slots = [(s, n, d, i) for s, n in (("a", 25), ("b", 7)) for d in (1, 2, 3) for i in range(n)]
+    for r in spark.createDataFrame(slots, "stratum string, n long, draw int, slot long").select("draw", "stratum", resampling.hashed_pick(4, F.col("draw"), F.col("slot"), F.col("n")).alias("pos")).collect():
+        want[tuple(r)] = want.get(tuple(r), 0) + 1
+    monkeypatch.setattr(resampling, "SLOTS", 6)
+    assert {(r.draw, r.stratum, r.pos): r.w for r in resampling.bootstrap_weights(strata, 3, 4).collect()} == want
