@@ -2,10 +2,46 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispersa.session import read_table
+from dispersa.sources.results import checkpointed
+
+#: Tables that the running query has written, by application, folder and name.
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def in_query(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with tables of its own: what it asks for through `once` is computed and written once in a run, and never kept for the next."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _WRITTEN.clear()
+        _RUNNING.append(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _RUNNING.pop()
+            _WRITTEN.clear()
+
+    return run
+
+
+_RUNNING: list[bool] = []
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that a registered query needs in several places; outside of a query it is made anew."""
+    if not _RUNNING:
+        return make()
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = checkpointed(make())
+    return _WRITTEN[key]
 
 #: Common table expressions with the same content as counts(), units() and flags().
 COUNTS_SQL = """
@@ -34,10 +70,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset, feature, unit, y): line items of a customer by brand; two parents and two alleles of the other segments."""
     segment = F.col("c_mktsegment")
     allele = F.when(F.col("l_linestatus") == "F", "HYB.SC").otherwise("HYB.SE")
     dataset = F.when(segment == "BUILDING", "MIX.SC").when(segment == "MACHINERY", "MIX.SE").otherwise(allele)
     rows = lines(spark, sf_dir).select(dataset.alias("dataset"), F.col("p_brand").alias("feature"), F.col("o_custkey").cast("string").alias("unit"))
     return rows.groupBy("dataset", "feature", "unit").agg(F.count("*").alias("y"))
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The count table; the joins behind it run once in a query."""
+    return once(spark, sf_dir, "counts", lambda: _counted(spark, sf_dir))

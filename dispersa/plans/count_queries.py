@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispersa.operators import coexpression, contrasts, fitting, offsets, qc, states
-from dispersa.plans.bindings import COUNTS_SQL, counts
+from dispersa.plans.bindings import COUNTS_SQL, counts, once
 from dispersa.plans.registry import register, rounded
 
 WITH = "WITH " + COUNTS_SQL.strip()
@@ -15,7 +15,7 @@ SPECIAL = "Brand#11"
 
 
 def _units(spark: SparkSession, sf: str) -> DataFrame:
-    return qc.unit_totals(counts(spark, sf))
+    return once(spark, sf, "units", lambda: qc.unit_totals(counts(spark, sf)))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +43,7 @@ terms AS (SELECT *, greatest(var_obs - var_binom, 0) AS var_c, var_obs < var_bin
 
 
 def _expo(spark: SparkSession, sf: str) -> DataFrame:
-    return offsets.exposures(_units(spark, sf))
+    return once(spark, sf, "expo", lambda: offsets.exposures(_units(spark, sf)))
 
 
 @register("q1_unit_totals", f"{WITH} SELECT dataset, unit, lib, det FROM units")

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dispersa.plans.bindings import in_query
+
 FLAGSHIP = "q1_unit_totals"
 MODULES = ("count_queries", "class_queries", "table_queries", "more_queries", "axis_queries", "report_queries", "resampling_queries", "cluster_queries")
 
@@ -21,7 +23,7 @@ def register(name: str, sql: str | None = None):
     def keep(f):
         if name in _QUERIES:
             raise ValueError(f"{name} is registered twice")
-        _QUERIES[name] = f
+        _QUERIES[name] = in_query(f)
         if sql is not None:
             _ORACLE[name] = sql
         return f
