@@ -88,12 +88,18 @@ def pilot_errors(spark, sf):
     return rounded(bootstrap.pilot_errors(refits, terms), 4)
 
 
-def _null_inputs(spark, sf, draws, label=None):
+def _null_inputs(spark, sf):
     units = _expo(spark, sf)
     hyc = splits(spark, sf).where("hyc").select("unit")
     cbar = shares(spark, sf).where("lib > 1").agg(F.avg("chat")).first()[0]
     items, cells = checkpointed(nulls.pooled_items(units, hyc)), checkpointed(nulls.pooled_cells(counts(spark, sf), hyc, cbar))
-    return items, cells, nulls.item_labels(items, draws, 3, label), cbar
+    return items, cells, cbar
+
+
+def _mean_nulls(spark, sf, draws, label=None, shift=52):
+    items, cells, cbar = _null_inputs(spark, sf)
+    labelled = nulls.labelled_items(checkpointed(nulls.with_cells(items, cells)), draws, 3, label, shift)
+    return nulls.labelled_mean_nulls(labelled, _levels(items, cells, cbar), cbar)
 
 
 def _levels(items, cells, cbar) -> dict[str, float]:
@@ -113,14 +119,13 @@ RELABELLINGS = 1000
 
 @register("i9_mean_nulls")
 def mean_nulls(spark, sf):
-    items, cells, labels, cbar = _null_inputs(spark, sf, RELABELLINGS)
-    values = nulls.mean_nulls(items, cells, labels, _levels(items, cells, cbar), cbar)
-    return rounded(nulls.null_p(values, ["value"]).drop("quantity"))
+    return rounded(nulls.null_p(_mean_nulls(spark, sf, RELABELLINGS), ["value"]).drop("quantity"))
 
 
 @register("i12_refit_nulls")
 def refit_nulls(spark, sf):
-    items, cells, labels, _ = _null_inputs(spark, sf, RELABELLINGS)
+    items, cells, _ = _null_inputs(spark, sf)
+    labels = nulls.item_labels(items, RELABELLINGS, 3)
     terms = offsets.share_terms(_pairs(spark, sf)).first()
     got = nulls.null_p(nulls.fit_nulls(nulls.half_fits(items, cells, labels), terms.r_c, terms.r_e), ["mu", "disp", "cv2", "rdisp"])
     return rounded(_finite(got, "obs"), 4)
@@ -167,8 +172,7 @@ CASE WHEN q_par_sc IS NULL OR q_par_se IS NULL THEN NULL WHEN q_par_sc >= 0.5 AN
 FROM wd""")
 def tested_classes(spark, sf):
     """From counts to classes: relabelled means, p, q and both classifications; labels by arithmetic, so that SQL has the same."""
-    items, cells, labels, cbar = _null_inputs(spark, sf, 50, _arithmetic)
-    p = nulls.null_p(nulls.mean_nulls(items, cells, labels, _levels(items, cells, cbar), cbar), ["value"])
+    p = nulls.null_p(_mean_nulls(spark, sf, 50, _arithmetic, 8), ["value"])  # hashes below 1,000,003 have about 3,900 buckets
     q = stats.benjamini_hochberg(p.where("p IS NOT NULL").select("feature", "mode", F.col("obs").alias("est"), "p"), "p", ["mode"])
     of = lambda c, m: F.max(F.when(F.col("mode") == m, F.col(c))).alias(f"{c}_{m}")
     wide = q.groupBy("feature").agg(*[of(c, m) for m in ("cis", "trans", "par_sc", "par_se") for c in ("est", "q")])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dispersa.operators import resampling
+from dispersa.operators import nulls, resampling
 
 
 def test_cuts_divide_pools_as_an_order_by_hash_does(spark):
@@ -28,3 +28,12 @@ def test_runs_of_slots_give_the_same_draws(spark, monkeypatch):
         want[tuple(r)] = want.get(tuple(r), 0) + 1
     monkeypatch.setattr(resampling, "SLOTS", 6)
     assert {(r.draw, r.stratum, r.pos): r.w for r in resampling.bootstrap_weights(strata, 3, 4).collect()} == want
+
+
+def test_labelled_items_have_the_stored_labels(spark, monkeypatch):
+    rows = [(p, f"{s}:u{i:02d}", f"u{i:02d}", s, 1.0) for p in ("total", "cis") for s, n in ((0, 12), (1, 12 if p == "cis" else 9)) for i in range(n)]
+    items = spark.createDataFrame(rows, "pool string, item string, unit string, side int, expo double")
+    want = {(r.pool, r.item, r.draw): r.first for r in nulls.item_labels(items, 6, 3).collect()}
+    monkeypatch.setattr(nulls, "MOST_DRAWS", 4)
+    got = {(r.pool, r.item, r.low + i): x for r in nulls.labelled_items(items, 6, 3).collect() for i, x in enumerate(r.firsts)}
+    assert got == want
