@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,43 @@ def hashed_pick(seed: int, draw: Column, slot: Column, n: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), draw, slot), n)
 
 
+#: Multipliers of XXH64, by which F.xxhash64 hashes; hashed_weights does the same in a task.
+_XXH = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+_MASK = (1 << 64) - 1
+
+
+def _xxh_int(x: int, seed: int) -> int:
+    h = (seed + _XXH[4] + 4 & _MASK) ^ (x & 0xFFFFFFFF) * _XXH[0] & _MASK
+    h = ((h << 23 | h >> 41) & _MASK) * _XXH[1] + _XXH[2] & _MASK
+    h = (h ^ h >> 33) * _XXH[1] & _MASK
+    h = (h ^ h >> 29) * _XXH[2] & _MASK
+    return h ^ h >> 32
+
+
+def hashed_weights(seed: int, draws: Iterable[int], n: int) -> Iterator[np.ndarray]:
+    """How often each position 0..n - 1 is in each draw of n: the counts of hashed_pick over all slots; draw 0 holds each position once."""
+    one, two, three, four, _ = (np.uint64(x) for x in _XXH)
+    slots = np.arange(n, dtype=np.uint64) * two
+    slots = (slots << np.uint64(31) | slots >> np.uint64(33)) * one
+    for draw in draws:
+        if draw == 0:
+            yield np.ones(n, np.int64)
+            continue
+        start = np.uint64(_xxh_int(draw, _xxh_int(seed, 42)) + _XXH[4] + 8 & _MASK)
+        out = np.zeros(n, np.int64)
+        for low in range(0, n, SLOTS):
+            h = slots[low : low + SLOTS] ^ start
+            h = (h << np.uint64(27) | h >> np.uint64(37)) * one + four
+            h = (h ^ h >> np.uint64(33)) * two
+            h = (h ^ h >> np.uint64(29)) * three
+            picked = (h ^ h >> np.uint64(32)).view(np.int64) % n
+            if n > SLOTS:
+                np.add.at(out, picked, 1)
+            else:
+                out += np.bincount(picked, minlength=n)
+        yield out
+
+
 def bootstrap_weights(strata: DataFrame, draws: int, seed: int, pick=hashed_pick) -> DataFrame:
     """(draw, stratum, pos, w): how often each position 0..n - 1 of a stratum (stratum, n) is in a draw of n with replacement."""
     # runs of slots are dealt out and positions are counted by as many tasks as their number asks for

@@ -54,9 +54,8 @@ DRAWS = bootstrap.DRAWS
 
 
 def _drawn(spark, sf):
-    placed = bootstrap.stratified_units(_expo(spark, sf), splits(spark, sf))
-    weights = bootstrap.unit_draws(placed, DRAWS, 1)
-    return bootstrap.refit_draws(counts(spark, sf), placed, weights), bootstrap.share_draws(weights, placed, shares(spark, sf))
+    placed = checkpointed(bootstrap.stratified_units(_expo(spark, sf), splits(spark, sf)))
+    return bootstrap.hashed_refits(counts(spark, sf), placed, DRAWS, 1), bootstrap.hashed_shares(placed, shares(spark, sf), DRAWS, 1)
 
 
 @register("i1_stratified_draws", f"""{STRATA}, d AS (SELECT unnest(range(0, 51)) AS draw)
