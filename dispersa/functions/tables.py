@@ -104,13 +104,32 @@ def weighted_fits(y: np.ndarray, e: np.ndarray, weights: np.ndarray, whole: tupl
     levels, at = np.unique(y, return_inverse=True)
     held = np.zeros((len(levels), len(open_)))
     np.add.at(held, at, w)
+    phi[open_] = _maxima(levels, held, product, whole, mu[open_], lanes[open_], log_phi)
+    return mu, phi
+
+
+def _maxima(levels: np.ndarray, held: np.ndarray, product: LogTable, whole: tuple[LogTable, LogTable], mu: np.ndarray, lane: np.ndarray, log_phi: tuple[float, float]) -> np.ndarray:
+    """The dispersion at the maximum of the adjusted likelihood of each lane; held: how often each count of `levels` is in it."""
     value, slope = rising_terms(levels)
-    rising = LogTable(SIZES, value @ held, slope @ held)
-    log_mu, lane = np.log(mu[open_]), lanes[open_]
+    rising, log_mu = LogTable(SIZES, value @ held, slope @ held), np.log(mu)
 
     def likelihood(x: np.ndarray) -> np.ndarray:
         rate = x + log_mu
         return rising(x) - product(rate) - whole[0](rate, lane) * np.exp(-x) - 0.5 * (log_mu + np.log(whole[1](rate, lane)))
 
-    phi[open_] = np.exp(golden(likelihood, np.full(len(open_), log_phi[0]), np.full(len(open_), log_phi[1])))
+    return np.exp(golden(likelihood, np.full(len(mu), log_phi[0]), np.full(len(mu), log_phi[1])))
+
+
+def table_fits(levels: np.ndarray, held: np.ndarray, e: np.ndarray, counted: np.ndarray, whole: tuple[LogTable, LogTable], sums: np.ndarray, log_phi: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """weighted_fits of a feature from how often each count of `levels` is in a lane (held) and what a lane counts at each exposure (counted)."""
+    sy, sy2, sye = levels @ held, (levels * levels) @ held, e @ counted
+    se, se2 = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mu = np.where(se > 0, sy / se, np.nan)
+        slope0 = sy2 - 2 * mu * sye + mu * mu * se2 - mu * se + mu * se2 / se
+    phi = np.where(sy > 0, 0.0, np.nan)
+    open_, t = np.flatnonzero((sy > 0) & (slope0 > 0)), np.exp(RATES)[:, None]
+    if len(open_):
+        product = LogTable(RATES, np.log1p(t * e) @ counted[:, open_], (t * e / (1 + t * e)) @ counted[:, open_])
+        phi[open_] = _maxima(levels, held[:, open_], product, whole, mu[open_], open_, log_phi)
     return mu, phi

@@ -124,9 +124,8 @@ def mean_nulls(spark, sf):
 @register("i12_refit_nulls")
 def refit_nulls(spark, sf):
     items, cells, _ = _null_inputs(spark, sf)
-    labels = nulls.item_labels(items, RELABELLINGS, 3)
     terms = offsets.share_terms(_pairs(spark, sf)).first()
-    got = nulls.null_p(nulls.fit_nulls(nulls.half_fits(items, cells, labels), terms.r_c, terms.r_e), ["mu", "disp", "cv2", "rdisp"])
+    got = nulls.null_p(nulls.fit_nulls(checkpointed(nulls.hashed_half_fits(items, cells, RELABELLINGS, 3)), terms.r_c, terms.r_e), ["mu", "disp", "cv2", "rdisp"])
     return rounded(_finite(got, "obs"), 4)
 
 
