@@ -56,24 +56,30 @@ def _summed_logs(spark, most: int, block: int = 4096) -> DataFrame:
     return inside.join(F.broadcast(base), "b").select("n", (F.col("base") + F.col("w")).alias("v"))
 
 
-def overlap_table(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, obs, exp, lor, p): counts of two classifications on the grid of their levels.
-
-    lor = log2((obs + 1/2) / (exp + 1/2)). p is the two-sided hypergeometric p: the smaller tail twice, at most 1.
-    """
+def overlap_ratios(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, obs, na, nb, n, exp, lor) of overlap_table, with the levels' own counts and the total, from counts of pairs of levels alone."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("obs"))
     na, nb = rows.groupBy("a").agg(F.sum("obs").alias("na")), rows.groupBy("b").agg(F.sum("obs").alias("nb"))
     total = rows.agg(F.sum("obs").alias("n"))
     grid = na.join(F.broadcast(nb)).join(rows, ["a", "b"], "left").na.fill(0, ["obs"]).join(F.broadcast(total))
     grid = grid.withColumn("exp", F.col("na") * F.col("nb") / F.col("n"))
+    return grid.withColumn("lor", F.log2((F.col("obs") + 0.5) / (F.col("exp") + 0.5)))
+
+
+def overlap_table(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, obs, exp, lor, p): counts of two classifications on the grid of their levels.
+
+    lor = log2((obs + 1/2) / (exp + 1/2)). p is the two-sided hypergeometric p: the smaller tail twice, at most 1.
+    """
+    grid = overlap_ratios(df, a, b)
     low = F.greatest(F.lit(0), F.col("na") + F.col("nb") - F.col("n"))
     each = grid.withColumn("x", F.explode(F.sequence(low, F.least("na", "nb"))))
     lf = log_factorials(df.sparkSession, df.count())
     for name, value in (("f1", F.col("na")), ("f2", F.col("n") - F.col("na")), ("f3", F.col("nb")), ("f4", F.col("n") - F.col("nb")), ("f5", F.col("n")), ("f6", F.col("x")), ("f7", F.col("na") - F.col("x")), ("f8", F.col("nb") - F.col("x")), ("f9", F.col("n") - F.col("na") - F.col("nb") + F.col("x"))):
         each = each.withColumn("_k", value).join(lf.select(F.col("n").alias("_k"), F.col("v").alias(name)), "_k").drop("_k")
     pmf = F.exp(F.col("f1") + F.col("f2") + F.col("f3") + F.col("f4") - F.col("f5") - F.col("f6") - F.col("f7") - F.col("f8") - F.col("f9"))
-    tails = each.groupBy("a", "b", "obs", "exp").agg(F.sum(F.when(F.col("x") >= F.col("obs"), pmf).otherwise(0.0)).alias("hi"), F.sum(F.when(F.col("x") <= F.col("obs"), pmf).otherwise(0.0)).alias("lo"))
-    return tails.select("a", "b", "obs", "exp", F.log2((F.col("obs") + 0.5) / (F.col("exp") + 0.5)).alias("lor"), F.least(F.lit(1.0), 2 * F.least("hi", "lo")).alias("p"))
+    tails = each.groupBy("a", "b", "obs", "exp", "lor").agg(F.sum(F.when(F.col("x") >= F.col("obs"), pmf).otherwise(0.0)).alias("hi"), F.sum(F.when(F.col("x") <= F.col("obs"), pmf).otherwise(0.0)).alias("lo"))
+    return tails.select("a", "b", "obs", "exp", "lor", F.least(F.lit(1.0), 2 * F.least("hi", "lo")).alias("p"))
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -80,7 +80,7 @@ def trans(spark, sf):
 @register("k6_overlap_range")
 def overlap_range(spark, sf):
     t = _classed(spark, sf)
-    both = classes.overlap_table(t, "reg", "dom").select("lor").union(classes.overlap_table(t, "reg", "family").select("lor"))
+    both = classes.overlap_ratios(t, "reg", "dom").select("lor").union(classes.overlap_ratios(t, "reg", "family").select("lor"))
     return rounded(both.agg(F.max(F.abs("lor")).alias("half_range")))
 
 

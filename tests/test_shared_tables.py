@@ -2,6 +2,7 @@
 
 import pytest
 
+from dispersa.operators import classes
 from dispersa.plans import bindings, registry
 
 
@@ -9,3 +10,9 @@ from dispersa.plans import bindings, registry
 def test_counts_are_joined_once(spark, name):
     out = registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert not [f for f in out.inputFiles() if "lineitem" in f] and not bindings._WRITTEN
+
+
+def test_the_overlap_range_needs_no_tails(spark, monkeypatch):
+    """The range is over ratios of counts; the tables of log-factorials behind p grow with the features."""
+    monkeypatch.setattr(classes, "log_factorials", None)
+    assert registry.queries()["k6_overlap_range"](spark, "/root/testdata/sf0.001").first().half_range > 0
