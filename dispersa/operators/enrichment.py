@@ -69,7 +69,9 @@ def running_sum_score(ranks: DataFrame, term2feature: DataFrame) -> DataFrame:
 
 
 #: Random sets that a task scores at a time, and their elements.
-SETS_TOGETHER, ELEMENTS_TOGETHER = 500, 2_000_000
+SETS_TOGETHER, ELEMENTS_TOGETHER = 100, 2_000_000
+#: Tasks among which a list's random sets are dealt.
+COPIES = 16
 
 
 def null_scores(weights: np.ndarray, size: int, seed: int, first: int, many: int) -> np.ndarray:
@@ -102,7 +104,11 @@ def normalised_scores(ranks: DataFrame, term2feature: DataFrame, draws: int = 10
     order = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "feature", F.abs("score").alias("w")))), lambda x: x["w"])
     lists = ranks.groupBy("list").agg(order.alias("w"))
     blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // SETS_TOGETHER))).alias("block")
-    work = terms.select("list", "size", "t", blocks).repartition(F.col("list"), F.col("size"), F.col("block")).join(lists, "list")
+    # each list goes to COPIES tasks; the numbers of partitions are given, as Spark would put these few rows into one task
+    several = max(1, ranks.sparkSession.sparkContext.defaultParallelism * 4)
+    copy = F.pmod(F.xxhash64("size", "block"), F.lit(COPIES)).cast("int")
+    work = terms.select("list", "size", "t", blocks).withColumn("_c", copy).repartition(several, "list", "_c")
+    work = work.hint("shuffle_hash").join(lists.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).repartition(several, "list", "_c"), ["list", "_c"])
     kind = dict(seen.dtypes)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,6 @@
 """Normalised enrichment scores against walks of the same random sets."""
 
+import re
 import zlib
 
 import numpy as np
@@ -50,3 +51,10 @@ def test_scores_p_and_normalisation(lists, monkeypatch, together):
 def test_no_terms(lists):
     _, _, ranks, terms = lists
     assert enrichment.normalised_scores(ranks, terms.limit(0), 10).collect() == []
+
+
+def test_random_sets_are_dealt_to_several_tasks(lists):
+    """A few small rows would otherwise be put into one task that draws all sets."""
+    _, _, ranks, terms = lists
+    plan = enrichment.normalised_scores(ranks, terms, 2000)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[list#\d+, _c#\d+\], \d+", plan)
