@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispersa.functions.stats import benjamini_hochberg, correlation
-from dispersa.operators.resampling import before_cut, hash_cuts
+from dispersa.operators.resampling import before_cut, hash_cuts, hashed_weights
 from dispersa.sources.results import checkpointed
 
 #: Features of a block's side: a task holds blocks, never a table of all pairs.
@@ -476,6 +476,67 @@ def recoloured_spectra(parent: DataFrame, hybrid: DataFrame, weights: DataFrame,
     return rows.select("draw", "grp", "unit", "x0", "w").groupBy("draw").applyInPandas(draw_values, "draw int, part string, rank int, value double")
 
 
+def _pair_sums(key: tuple, pdf: pd.DataFrame, draws: int, seed: int, wide: int) -> pd.DataFrame:
+    """Weighted sums of 1, x, x^2 and of all products of two of x and x^2 over a block of a group's units, in a block of draws."""
+    grp, low, n = int(key[0]), int(key[2]) * wide + 1, int(pdf["n"].iloc[0])
+    x, at = np.stack(pdf["x0"].to_list()), pdf["pos"].to_numpy(np.int64)
+    inside = range(low, min(low + wide, draws + 1))
+    w = np.empty((len(inside), len(at)), np.int32)
+    for i, own in enumerate(hashed_weights(seed, inside, n)):
+        w[i] = own[at]
+    v = np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1)
+    size = v.shape[1]
+    out = np.zeros((len(inside), size * (size + 1) // 2))
+    for a in range(0, len(x), UNITS_TOGETHER):
+        part, own, col = v[a : a + UNITS_TOGETHER], w[:, a : a + UNITS_TOGETHER].astype(float), 0
+        for j in range(size):
+            out[:, col : col + size - j] += own @ (part[:, j : j + 1] * part[:, j:])
+            col += size - j
+    return pd.DataFrame({"draw": list(inside), "grp": grp, "m": [r.tobytes() for r in out]})
+
+
+def _from_sums(raw: np.ndarray) -> np.ndarray:
+    """Shrunken correlation from the sums of _pair_sums; squared norms of standardised values are a polynomial in them."""
+    size = int((8 * len(raw) + 1) ** 0.5) // 2
+    m = np.zeros((size, size))
+    m[np.triu_indices(size)] = raw
+    m = m + np.triu(m, 1).T
+    p = (size - 1) // 2
+    one, two = slice(1, p + 1), slice(p + 1, size)
+    n, mean, inverse, four = _spread_of(np.stack([np.full(p, m[0, 0]), m[0, one], m[0, two], np.diag(m[one, two]), np.diag(m[two, two])]))
+    a = inverse**2
+    b = a * mean
+    c = float(b @ mean)
+    q = a @ m[two, two] @ a + 4 * (b @ m[one, one] @ b) + c * c * n - 4 * (a @ m[two, one] @ b) + 2 * c * (a @ m[0, two]) - 4 * c * (b @ m[0, one])
+    return _shrunken(n, mean, inverse, m[one, one], four, float(q))[1]
+
+
+def hashed_recoloured_spectra(parent: DataFrame, hybrid: DataFrame, placed: DataFrame, draws: int, seed: int, factors: list[float], k: int = 15, part: str = "par") -> DataFrame:
+    """recoloured_spectra for draws 1 to `draws` of bootstrap.unit_draws with hashed_pick, without a table of units and draws.
+
+    placed (grp, unit, pos, n) numbers the units of each group, 0 for the parent and 1 for the hybrid. A task finds the weights of a block of
+    units in a block of draws by the hash and returns sums; both blocks are bounded, and so is what is shuffled after the units themselves.
+    """
+    f = np.asarray(factors, float)
+    size = 2 * len(f) + 1
+    wide = int(max(1, min(2 * DRAWS_TOGETHER, PRODUCT_BYTES // (4 * size * (size + 1)))))
+    together = max(UNITS_TOGETHER, PRODUCT_BYTES // (16 * size))
+    rows = parent.select(F.lit(0).alias("grp"), "unit", "x0").union(hybrid.select(F.lit(1).alias("grp"), "unit", "x0"))
+    rows = rows.join(placed.select("grp", "unit", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n")), ["grp", "unit"])
+    rows = rows.select("grp", (F.col("pos") / together).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // wide))).alias("db"), "pos", "n", "x0")
+    dealt = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "grp", "block", "db").groupBy("grp", "block", "db")
+    summed = dealt.applyInPandas(lambda key, pdf: _pair_sums(key, pdf, draws, seed, wide), "draw int, grp int, m binary")
+
+    def draw_values(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tables = [_from_sums(np.sum([np.frombuffer(m) for m in pdf["m"][pdf["grp"] == g]], axis=0)) for g in (0, 1)]
+        h = tables[1] * np.outer(f, f)
+        np.fill_diagonal(h, 1.0)
+        values = np.sort(np.linalg.eigvalsh(h - tables[0]) ** 2)[::-1][:k]
+        return pd.DataFrame({"draw": key[0], "part": part, "rank": np.arange(1, len(values) + 1), "value": values})
+
+    return summed.groupBy("draw").applyInPandas(draw_values, "draw int, part string, rank int, value double")
+
+
 def spectrum_p(values: DataFrame, nulls: DataFrame) -> DataFrame:
     """(part, rank, value, p): add-one p of the observed squared eigenvalues against the null draws' of the same rank."""
     seen = values.select("part", "rank", F.col("value").alias("obs"))

@@ -135,10 +135,8 @@ def recoloured_spectra(spark, sf):
     shift = reports.ploidy_shift(fitting.allele_components(c, u, offsets.share_terms(_units_pairs(spark, sf))))
     squares = reports.ploidy_factor(fits.join(shared, "feature").where("dataset = 'HYB.COMB'"), shift)
     factors = [r.f2**0.5 for r in squares.orderBy("feature").collect()]  # one number a feature
-    groups = [spectra.unit_vectors(residuals, [v]) for v in ("MIX.SC", "HYB.COMB")]
+    groups = [checkpointed(spectra.unit_vectors(residuals, [v])) for v in ("MIX.SC", "HYB.COMB")]
     p, h, _ = spectra.recoloured(*groups, factors)
-    placed = bootstrap.coexpression_units(u)
-    weights = bootstrap.unit_draws(placed, SPECTRUM_DRAWS, 2).where("draw > 0").join(placed.where("grp IN (0, 2)"), ["stratum", "pos"])
-    weights = weights.select("draw", (F.col("grp") / 2).cast("int").alias("grp"), "unit", "w")
-    null = spectra.recoloured_spectra(p, h, weights, factors, part="par_sc")
+    placed = bootstrap.coexpression_units(u).where("grp IN (0, 2)").withColumn("grp", (F.col("grp") / 2).cast("int"))
+    null = spectra.hashed_recoloured_spectra(p, h, placed, SPECTRUM_DRAWS, 2, factors, part="par_sc")
     return rounded(null.groupBy("part", "rank").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("upper")))

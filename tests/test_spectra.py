@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dispersa.operators import spectra
+from dispersa.operators.resampling import bootstrap_weights
 
 
 def symmetric(p, seed, rank=3):
@@ -132,6 +133,22 @@ def test_recoloured_units_have_the_pooled_correlation(spark, views):
         assert np.allclose([got[d, k] for k in range(1, 6)], want, rtol=1e-6)
 
 
+def test_recoloured_spectra_by_hash_need_no_table_of_draws(spark, monkeypatch):
+    monkeypatch.setattr(spectra, "UNITS_TOGETHER", 16)
+    monkeypatch.setattr(spectra, "PRODUCT_BYTES", 4 * 11 * 12 * 3)  # three draws and 16 units a task
+    rng = np.random.Generator(np.random.Philox(8))
+    sizes = (70, 45)
+    x = [rng.normal(size=(n, 5)) + rng.normal(size=(n, 1)) for n in sizes]
+    groups = [spark.createDataFrame([(f"u{i:03d}", [float(v) for v in r]) for i, r in enumerate(m)], "unit string, x0 array<double>") for m in x]
+    place = [rng.permutation(n) for n in sizes]
+    placed = spark.createDataFrame([(g, f"u{i:03d}", int(place[g][i]), n) for g, n in enumerate(sizes) for i in range(n)], "grp int, unit string, pos long, n long")
+    f = [0.8, 0.9, 1.0, 0.95, 0.7]
+    got = {(r.draw, r["rank"]): r.value for r in spectra.hashed_recoloured_spectra(*groups, placed, 7, 2, f, 5).collect()}
+    weights = bootstrap_weights(spark.createDataFrame(list(enumerate(sizes)), "stratum int, n long"), 7, 2).withColumnRenamed("stratum", "grp").join(placed, ["grp", "pos"])
+    want = {(r.draw, r["rank"]): r.value for r in spectra.recoloured_spectra(*groups, weights.select("draw", "grp", "unit", "w"), f, 5).collect()}
+    assert len(got) == 35 and set(got) == set(want) and all(got[i] == pytest.approx(want[i], rel=1e-8, abs=1e-14) for i in want)
+
+
 def test_clipped_targets_are_positive():
     m = np.array([[1, 0.9, -0.9], [0.9, 1, 0.9], [-0.9, 0.9, 1]])
     _, own, raised = spectra.pooled_targets(np.eye(3), m, 1, 100, np.full(3, 0.7))
