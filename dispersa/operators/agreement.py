@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dispersa.functions.stats import spearman
 from dispersa.operators.fitting import fit_dispersions
 from dispersa.operators.qc import filter_depth, normalise_ids
+from dispersa.sources.results import checkpointed
 
 
 def implied_terms(df: DataFrame, scale: str = "count") -> DataFrame:
@@ -31,15 +32,20 @@ def source_counts(counts: DataFrame, aliases: DataFrame, pattern: str, least_uni
 
     Ids that match the pattern stand for themselves, others for their first alias (alias, feature, ord), those without one leave.
     """
+    counts = checkpointed(counts)
     names = normalise_ids(counts.select("id").distinct(), aliases, pattern).where("feature IS NOT NULL")
     named = counts.join(names, "id").select(F.col("source").alias("dataset"), "feature", "unit", "y")
-    return filter_depth(named, least_unit, least_units)
+    # both filters read the named counts again, so these and what made them are computed once
+    return filter_depth(checkpointed(named), least_unit, least_units)
 
 
 def fit_sources(counts: DataFrame, aliases: DataFrame, pattern: str, least_unit: int, least_units: int) -> DataFrame:
-    """(source, feature, mean, cv2, fano, disp, bsize) of all published count sources in one job, in the layout that sources share."""
-    kept = source_counts(counts, aliases, pattern, least_unit, least_units)
-    fits = fit_dispersions(kept, relative_exposures(kept))
+    """(source, feature, mean, cv2, fano, disp, bsize) of all published count sources in one job, in the layout that sources share.
+
+    Counts and exposures are read by each part of the fit, so they are written once.
+    """
+    kept = checkpointed(source_counts(counts, aliases, pattern, least_unit, least_units))
+    fits = fit_dispersions(kept, checkpointed(relative_exposures(kept)))
     return fits.select(F.col("dataset").alias("source"), "feature", F.col("mu").alias("mean"), (F.col("cv") * F.col("cv")).alias("cv2"), "fano", "disp", "bsize")
 
 

@@ -16,3 +16,9 @@ def test_the_overlap_range_needs_no_tails(spark, monkeypatch):
     """The range is over ratios of counts; the tables of log-factorials behind p grow with the features."""
     monkeypatch.setattr(classes, "log_factorials", None)
     assert registry.queries()["k6_overlap_range"](spark, "/root/testdata/sf0.001").first().half_range > 0
+
+
+def test_published_counts_are_joined_once(spark):
+    """Filters, exposures and fits of all sources read counts that are written, not the driver's tables again."""
+    out = registry.queries()["v2_fit_sources"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if "lineitem" in f]
