@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from dispersa.sources.results import checkpointed
 
-#: Points that a task compares: rows of a block of queries and of a block of points.
-QUERIES, POINTS = 1024, 8192
+#: Points that a task compares: rows of a block of queries and of a block of points; blocks of queries whose nearest points a task holds.
+QUERIES, POINTS, HELD = 1024, 8192, 8
+#: Places of squared distances: copies of a unit may differ by rounding.
+DIGITS = 9
 
 
 def numbered(units: DataFrame) -> DataFrame:
@@ -97,41 +99,97 @@ def components(scaled: DataFrame, n: int, features: DataFrame, n_pc: int) -> tup
     return mean, rotation * np.sign(rotation[np.abs(rotation).argmax(0), np.arange(len(first))])
 
 
+def _packed(points: DataFrame, rows: int, name: str) -> DataFrame:
+    """(name, kinds, ids, x) of blocks of about `rows` of the points (kind, id, e), as bytes."""
+    many = int(-(-points.count() // rows) or 1)
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["kind", "id"])
+        return pd.DataFrame([(int(key[0]), pdf["kind"].to_numpy(np.int32).tobytes(), pdf["id"].to_numpy(np.int64).tobytes(), np.stack(pdf["e"].to_list()).astype(float).tobytes())], columns=[name, "kinds", "ids", "x"])
+
+    placed = points.select(F.pmod(F.xxhash64("kind", "id"), F.lit(many)).cast("int").alias(name), "kind", "id", "e")
+    return checkpointed(placed.groupBy(name).applyInPandas(pack, f"{name} int, kinds binary, ids binary, x binary"))
+
+
+class _Nearest:
+    """The k nearest points so far of a block of queries, by distance, kind and id."""
+
+    def __init__(self, kind: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+        self.kind, self.ids, self.x, self.k = kind, ids, x, k
+        self.wide = np.concatenate([-2 * x, np.ones((len(x), 1)), (x * x).sum(1)[:, None]], axis=1)
+        self.d, self.code = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(np.int64).max)
+        self.own = kind.astype(np.int64) << 62 | ids
+
+    def meet(self, kind: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        code = kind.astype(np.int64) << 62 | ids
+        worst = self.d.max(axis=1)
+        rough = self.wide @ np.concatenate([y, (y * y).sum(1)[:, None], np.ones((len(y), 1))], axis=1).T
+        # products are rounded: what may be among the nearest by them is measured by differences
+        slack = 1e-9 * (1 + self.wide[:, -1] + float((y * y).sum(1).max(initial=0.0)))
+        some = min(self.k, len(y))
+        bound = worst + slack
+        if not np.isfinite(worst).all() and some < len(y):
+            bound = np.minimum(bound, np.partition(rough, min(some, len(y) - 1), axis=1)[:, min(some, len(y) - 1)] + 2 * slack)  # one more, for the query itself
+        row, at = np.nonzero(rough <= bound[:, None])
+        keep = code[at] != self.own[row]
+        row, at = row[keep], at[keep]
+        d = np.round(((self.x[row] - y[at]) ** 2).sum(1), DIGITS)
+        edge = np.searchsorted(row, np.arange(len(self.x) + 1))
+        for i in np.flatnonzero(np.diff(edge)):
+            mine = slice(edge[i], edge[i + 1])
+            both, codes = np.concatenate([self.d[i], d[mine]]), np.concatenate([self.code[i], code[at[mine]]])
+            if len(both) > 2 * self.k:
+                near = both <= np.partition(both, self.k - 1)[self.k - 1]
+                both, codes = both[near], codes[near]
+            first = np.lexsort((codes, both))[: self.k]
+            self.d[i], self.code[i] = both[first], codes[first]
+
+
+def _searched(queries: DataFrame, points: DataFrame, k: int, result: Callable[[_Nearest], pd.DataFrame], schema: str) -> DataFrame:
+    """What `result` makes of the k nearest points of each block of queries, once all blocks of points have been met.
+
+    Every pair of blocks meets in a task by a cross join of written blocks, which are read, not shuffled; a task holds the nearest points of its own
+    blocks of queries and one block of points, and only results leave it. Exact; the work is queries times points, as for any exact search in a space
+    where bounds don't prune.
+    """
+    parallel = queries.sparkSession.sparkContext.defaultParallelism
+    size = max(64, min(QUERIES, -(-queries.count() // (2 * parallel))))
+    left = _packed(queries, size, "bq").withColumnsRenamed({"kinds": "qk", "ids": "qi", "x": "qx"})
+    parts = max(1, min(left.count(), max(2 * parallel, -(-left.count() // HELD))))
+    right = _packed(points, POINTS, "bp").coalesce(1)  # all blocks of points pass through each task of queries
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, _Nearest] = {}
+        for pdf in it:
+            for bq, qk, qi, qx, kinds, ids, x in pdf[["bq", "qk", "qi", "qx", "kinds", "ids", "x"]].itertuples(index=False):
+                if bq not in held:
+                    ks = np.frombuffer(qk, np.int32)
+                    held[bq] = _Nearest(ks, np.frombuffer(qi, np.int64), np.frombuffer(qx).reshape(len(ks), -1), k)
+                kinds = np.frombuffer(kinds, np.int32)
+                held[bq].meet(kinds, np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(len(kinds), -1))
+        for own in held.values():
+            yield result(own)
+
+    pairs = left.repartition(parts).hint("shuffle_replicate_nl").crossJoin(right)
+    return pairs.mapInPandas(run, schema)
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """(q, near): the k nearest points (d, kind, id) of each query, itself left out, from queries and points (kind, id, e).
+    """(kind, id, near): the k nearest points (d, kind, id) of each query, itself left out, from queries and points (kind, id, e).
 
-    Blocks of queries meet blocks of points; a task returns k points a query at most, and those of all blocks are merged. Exact; the work
-    is queries times points, as for any exact search in a space where bounds don't prune. Ties go by kind, then id.
+    d: squared distance to DIGITS places. Ties go by kind, then id.
     """
-    block = lambda df, rows, name: df.withColumn(name, F.pmod(F.xxhash64("kind", "id"), F.lit(int(-(-df.count() // rows) or 1))).cast("int"))
-    q, p = block(queries, QUERIES, "bq"), block(points, POINTS, "bp")
-    columns = ("kind", "id", "e")
-    every = lambda df, name: df.select(name).distinct()
-    left = q.join(F.broadcast(every(p, "bp"))).select(*[F.col(c).alias(c) for c in ("bq", "bp", *columns)])
-    right = p.join(F.broadcast(every(q, "bq"))).select(*[F.col(c).alias(c) for c in ("bq", "bp", *columns)])
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=["kind", "id", "near"])
-        x, y = np.stack(a["e"].to_list()), np.stack(b["e"].to_list())
-        order = np.lexsort((b["id"].to_numpy(), b["kind"].to_numpy()))
-        y, kind, ids = y[order], b["kind"].to_numpy()[order], b["id"].to_numpy()[order]
-        d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-        own = {(s, i): j for j, (s, i) in enumerate(zip(kind.tolist(), ids.tolist()))}
-        for row, it in enumerate(zip(a["kind"].tolist(), a["id"].tolist())):
-            if it in own:
-                d[row, own[it]] = np.inf
-        some = min(k, d.shape[1])
-        cut = np.partition(d, some - 1, axis=1)[:, some - 1]
-        near = []
-        for row in range(len(x)):
-            at = np.flatnonzero(d[row] <= cut[row])
-            at = at[np.lexsort((at, d[row, at]))][:some]
-            near.append([{"d": float(d[row, j]), "kind": int(kind[j]), "id": int(ids[j])} for j in at if d[row, j] < np.inf])
-        return pd.DataFrame({"kind": a["kind"], "id": a["id"], "near": near})
-
-    found = left.groupBy("bq", "bp").cogroup(right.groupBy("bq", "bp")).applyInPandas(run, "kind int, id long, near array<struct<d: double, kind: int, id: long>>")
-    return found.groupBy("kind", "id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+    def listed(own: _Nearest) -> pd.DataFrame:
+        near = [[{"d": float(v), "kind": int(c >> 62), "id": int(c & (1 << 62) - 1)} for v, c in zip(d, code) if v < np.inf] for d, code in zip(own.d, own.code)]
+        return pd.DataFrame({"kind": own.kind, "id": own.ids, "near": near})
+
+    return _searched(queries, points, k, listed, "kind int, id long, near array<struct<d: double, kind: int, id: long>>")
+
+
+def near_kind(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """(id, n): how many of the k nearest points of each query are of kind 1; the points themselves leave no task."""
+    return _searched(queries, points, k, lambda own: pd.DataFrame({"id": own.ids, "n": ((own.code >> 62 == 1) & (own.d < np.inf)).sum(1)}), "id long, n long")
 
 
 def posterior(frac: Column, rho: float, ratio: float) -> Column:
@@ -161,7 +219,6 @@ def doublet_scores(counts: DataFrame, rho: float = 0.05, per_unit: int = 2, n_hv
     real = embedded(seen, units, "unit", features, turn).join(units.select("unit", "pos"), "unit").select(F.lit(0).alias("kind"), F.col("pos").cast("long").alias("id"), "e")
     false = embedded(sums, counts.sparkSession.range(n_sim), "id", features, turn).select(F.lit(1).alias("kind"), "id", "e")
     points = checkpointed(real.union(false))
-    near = nearest(points.where("kind = 0"), points, k)
-    share = (F.size(F.filter("near", lambda x: x["kind"] == 1)) + 0.5) / (k + 1)
-    scored = near.select(F.col("id").alias("pos"), share.alias("frac")).join(units.select("unit", "pos"), "pos")
+    near = near_kind(points.where("kind = 0"), points, k)
+    scored = near.select(F.col("id").alias("pos"), ((F.col("n") + 0.5) / (k + 1)).alias("frac")).join(units.select("unit", "pos"), "pos")
     return scored.select("unit", "frac", posterior(F.col("frac"), rho, n_sim / n).alias("score"))
