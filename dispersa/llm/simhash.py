@@ -159,22 +159,19 @@ def _text_key(h: np.ndarray) -> int:
 
 
 def _profiles(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, th, ph, keys): hash of the words, and the keys under which similar texts meet; no keys under k words.
-
-    Keys are the bands of minima of the shingles, and each two of the four blocks of their SimHash fingerprint.
-    """
+    """(doc_id, th, ph, fp, keys): hash of the words, SimHash fingerprint of the shingles and keys of the bands of their minima; null and none under k words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    two = list(combinations(BLOCKS, 2))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         salt, factor = (x[:, None] for x in _factors(bands * rows))
         for batch in it:
-            ph, keys = [], []
+            ph, fps, keys = [], [], []
             for text in batch.column(2):
                 h = words((text.as_py() or "").encode("utf-8", "replace").lower().split())
                 ph.append(_text_key(h))
                 if len(h) < k:
+                    fps.append(None)
                     keys.append(np.zeros(0, np.int64))
                     continue
                 grams = np.unique(shingles(h, k))
@@ -183,17 +180,15 @@ def _profiles(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     part = grams[low : low + (1 << 12)]
                     least = np.minimum(least, ((part ^ salt) * factor).min(axis=1))
                     ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                fp = int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.uint64)[0])
-                blocks = [(fp >> a & 0xFFFF) << 16 | fp >> b & 0xFFFF for (a, _), (b, _) in two]
-                key = np.zeros(bands + len(two), np.uint64)
+                fps.append(int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.int64)[0]))
+                key = np.zeros(bands, np.uint64)
                 for r in range(rows):
-                    key[:bands] = _mix(key[:bands] * np.uint64(ORIGIN | 1) + _mix(least.reshape(bands, rows)[:, r]))
-                key[bands:] = _mix(np.array(blocks, np.uint64) + np.uint64(1))
-                keys.append((key * np.uint64(len(key)) + np.arange(len(key), dtype=np.uint64)).view(np.int64))
+                    key = _mix(key * np.uint64(ORIGIN | 1) + _mix(least.reshape(bands, rows)[:, r]))
+                keys.append((key * np.uint64(bands) + np.arange(bands, dtype=np.uint64)).view(np.int64))
             listed = pa.array(keys, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ph, pa.int64()), listed], ["doc_id", "th", "ph", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ph, pa.int64()), pa.array(fps, pa.int64()), listed], ["doc_id", "th", "ph", "fp", "keys"])
 
-    return docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(give_back(batches), f"doc_id {kind}, th long, ph long, keys array<long>")
+    return docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(give_back(batches), f"doc_id {kind}, th long, ph long, fp long, keys array<long>")
 
 
 def _text_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -218,16 +213,19 @@ def keep_one_similar(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMI
     """The documents, all columns, with one row of each group of texts whose sets of k-word shingles are similar.
 
     Two texts are linked if their words are equal, or if the Jaccard index of their sets is at least `similarity`, which
-    is tested exactly. Candidates are texts whose fingerprints differ in at most two bits, and texts that share a band of
-    minima: at a similarity of 0.8 fingerprints differ in about ten of 64 bits, where equal blocks of bits tell nothing
-    apart, while bands find a pair with chance `recall`. A group is a connected component; its least id, then
-    text hash, stays, as in keep_one_each.
+    is tested exactly. Candidates are texts whose SimHash fingerprints differ in at most two bits, or are connected by such, found by
+    close_pairs with its table of distances to references, and texts that share a band of minima: at a similarity of 0.8
+    fingerprints differ in about ten of 64 bits, where no table of distances tells anything apart, while bands find a pair with
+    chance `recall`. A group is a connected component; its least id, then text hash, stays, as in keep_one_each.
     """
     bands, rows = tune_bands(similarity, recall)
     named = materialise(_profiles(docs, k, bands, rows))
-    nodes = named.groupBy("ph").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("keys").alias("keys"))
+    nodes = named.groupBy("ph").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = materialise(nodes)
-    keyed = nodes.select("ph", "n", F.explode("keys").alias("key"))
+    near = components(close_pairs(nodes.where("fp IS NOT NULL").select("fp").distinct()))
+    # one row a text: those of one component of fingerprints meet under its name
+    close = nodes.where("fp IS NOT NULL").join(near, F.col("fp") == F.col("node"), "left").select("ph", "n", F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("key"))
+    keyed = nodes.select("ph", "n", F.explode("keys").alias("key")).union(close)
     twice = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     colliding = materialise(keyed.join(twice, "key", "left_semi"))
     wanted = nodes.select("ph", "one.*").join(colliding.select("ph").distinct(), "ph", "left_semi")

@@ -123,3 +123,17 @@ def test_similar_rows_of_awkward_tables(docs, empty):
     kept = simhash.keep_one_similar(docs)
     assert kept.columns == docs.columns
     assert simhash.keep_one_similar(empty).count() == 0
+
+
+def test_the_pivot_table_names_candidates(spark, monkeypatch):
+    """Without any band that texts could share, close fingerprints still make near-copies meet, through the table of distances."""
+    seen, table = [], simhash.pivot_table
+    monkeypatch.setattr(simhash, "pivot_table", lambda *a: seen.append(1) or table(*a))
+    monkeypatch.setattr(simhash, "tune_bands", lambda *a: (1, 60))
+    rng = random.Random(3)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(600)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    kept = {r.doc_id for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen and kept >= {2 * i for i in range(12)} and len(kept) <= 18
