@@ -56,27 +56,28 @@ counts AS (
 units AS (SELECT dataset, unit, CAST(sum(y) AS BIGINT) AS lib, count(*) AS det FROM counts GROUP BY ALL)"""
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a line item with its customer, segment, brand and flags; only these columns are read."""
-    line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus", "l_returnflag")
-    order = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return (
-        line.join(order, line.l_orderkey == order.o_orderkey)
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .select("o_custkey", "c_mktsegment", "p_brand", "l_linestatus", "l_returnflag")
-    )
+def _tasks(spark: SparkSession) -> int:
+    """Parts that keep all cores busy to the end, whatever their number is coalesced to elsewhere."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, feature, unit, y): line items of a customer by brand; two parents and two alleles of the other segments."""
+    """(dataset, feature, unit, y): line items of a customer by brand; two parents and two alleles of the other segments.
+
+    Parts join first and customers join their orders, so that line items are dealt by order and then by customer only. All rows
+    of a customer are in one file, so that totals of units add up where they are read.
+    """
+    line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    order = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     segment = F.col("c_mktsegment")
-    allele = F.when(F.col("l_linestatus") == "F", "HYB.SC").otherwise("HYB.SE")
-    dataset = F.when(segment == "BUILDING", "MIX.SC").when(segment == "MACHINERY", "MIX.SE").otherwise(allele)
-    rows = lines(spark, sf_dir).select(dataset.alias("dataset"), F.col("p_brand").alias("feature"), F.col("o_custkey").cast("string").alias("unit"))
-    return rows.groupBy("dataset", "feature", "unit").agg(F.count("*").alias("y"))
+    parent = F.when(segment == "BUILDING", 0).when(segment == "MACHINERY", 1).alias("parent")
+    owned = order.join(read_table(spark, sf_dir, "customer").select("c_custkey", parent), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "parent")
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(owned, F.col("l_orderkey") == F.col("o_orderkey"))
+    kind = F.coalesce("parent", F.when(F.col("l_linestatus") == "F", 2).otherwise(3)).alias("kind")
+    cells = rows.select("o_custkey", kind, "p_brand").repartition(_tasks(spark), "o_custkey").groupBy("o_custkey", "kind", "p_brand").agg(F.count("*").alias("y"))
+    dataset = F.when(F.col("kind") == 0, "MIX.SC").when(F.col("kind") == 1, "MIX.SE").when(F.col("kind") == 2, "HYB.SC").otherwise("HYB.SE")
+    return cells.select(dataset.alias("dataset"), F.col("p_brand").alias("feature"), F.col("o_custkey").cast("string").alias("unit"), "y")
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:

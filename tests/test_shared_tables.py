@@ -1,6 +1,7 @@
 """Queries join the driver's tables once a run and keep nothing for the next."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from dispersa.operators import classes
 from dispersa.plans import bindings, registry
@@ -22,3 +23,9 @@ def test_published_counts_are_joined_once(spark):
     """Filters, exposures and fits of all sources read counts that are written, not the driver's tables again."""
     out = registry.queries()["v2_fit_sources"](spark, "/root/testdata/sf0.001")
     assert not [f for f in out.inputFiles() if "lineitem" in f]
+
+
+def test_counts_lie_by_customer(spark):
+    """Line items are dealt by customer to many tasks, so a unit's rows are in one part and its total needs no row of another."""
+    rows = bindings._counted(spark, "/root/testdata/sf0.001").select("unit", F.spark_partition_id().alias("part")).distinct().collect()
+    assert len({r.unit for r in rows}) == len(rows) and len({r.part for r in rows}) > 4
