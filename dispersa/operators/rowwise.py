@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dispersa.operators.bootstrap import unit_draws
-from dispersa.operators.resampling import hashed_pick
+from dispersa.operators.resampling import bootstrap_weights, hashed_pick, hashed_weights
 
 #: Units of a stratum that a task holds at a time, each with a value of every feature.
 UNITS = 4096
@@ -37,21 +36,49 @@ def _block_sums(draws: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFra
     def run(values: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
         if values.empty or weights.empty:
             return pd.DataFrame({c: [] for c in ("feature", "draw", "w", "a", "b", "aa", "bb", "ab")})
-        pos = np.unique(weights["pos"].to_numpy())
-        table = np.zeros((draws + 1, len(pos)))
-        table[weights["draw"].to_numpy(), np.searchsorted(pos, weights["pos"].to_numpy())] = weights["w"].to_numpy()
+        table = np.zeros((draws + 1, UNITS))
+        table[0] = 1  # the data as they are
+        for draw, w in zip(weights["draw"], weights["w"]):
+            w = np.frombuffer(w, np.int32)
+            table[draw, : len(w)] += w
         out = []
         for feature, at, a, b in zip(values["feature"], values["pos"], values["a"], values["b"]):
-            k = np.minimum(np.searchsorted(pos, at), len(pos) - 1)
-            drawn = pos[k] == at  # units that no draw took have no weight
-            a, b = np.asarray(a, float)[drawn], np.asarray(b, float)[drawn]
-            sums = table[:, k[drawn]] @ np.column_stack([np.ones(len(a)), a, b, a * a, b * b, a * b])
+            a, b = np.asarray(a, float), np.asarray(b, float)
+            sums = table[:, np.asarray(at) % UNITS] @ np.column_stack([np.ones(len(a)), a, b, a * a, b * b, a * b])
             out.append(pd.DataFrame({"feature": feature, "draw": np.arange(draws + 1), **dict(zip(("w", "a", "b", "aa", "bb", "ab"), sums.T))}))
         return pd.concat(out)
 
     return run
 
 
+def _block_weights(units: DataFrame, draws: int, seed: int, pick) -> DataFrame:
+    """(ws, wb, draw, w): how often a draw takes each position of a block of UNITS, as 32-bit integers.
+
+    Draws that hashed_pick makes are found in tasks, each with a stratum's weights in one draw at a time, and leave as a row a block: no row of a
+    unit and a draw is shuffled.
+    """
+    strata = units.select("stratum", "n").distinct()
+    schema = "ws int, wb long, draw int, w binary"
+    if pick is hashed_pick:
+        runs = strata.select(F.col("stratum").cast("int").alias("stratum"), "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+
+        def found(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                for stratum, n, draw in zip(pdf["stratum"], pdf["n"], pdf["draw"]):
+                    w = next(iter(hashed_weights(seed, [int(draw)], int(n)))).astype(np.int32)
+                    yield pd.DataFrame({"ws": stratum, "wb": np.arange(-(-len(w) // UNITS)), "draw": draw, "w": [w[i : i + UNITS].tobytes() for i in range(0, len(w), UNITS)]})
+
+        return runs.repartition(min(draws, 4 * units.sparkSession.sparkContext.defaultParallelism)).mapInPandas(found, schema)
+    block = F.floor(F.col("pos") / UNITS)
+    lists = bootstrap_weights(strata, draws, seed, pick).groupBy(F.col("stratum").cast("int").alias("ws"), block.alias("wb"), "draw").agg(F.collect_list("pos").alias("pos"), F.collect_list("w").alias("w"))
+
+    def dense(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"ws": pdf["ws"], "wb": pdf["wb"], "draw": pdf["draw"], "w": [np.bincount(np.asarray(at) % UNITS, w, UNITS).astype(np.int32).tobytes() for at, w in zip(pdf["pos"], pdf["w"])]})
+
+    return lists.mapInPandas(dense, schema)
+
+
 def draw_correlations(values: DataFrame, units: DataFrame, draws: int, seed: int = 1, pick=hashed_pick) -> DataFrame:
     """(feature, draw, r): correlation of a and b in each resample of units; draw 0 is the data as they are, r is null without variance.
 
@@ -62,7 +89,7 @@ def draw_correlations(values: DataFrame, units: DataFrame, draws: int, seed: int
     placed = values.join(units.select("unit", "stratum", "pos"), "unit").where("a IS NOT NULL AND b IS NOT NULL")
     packed = placed.groupBy("feature", "stratum", block).agg(F.collect_list(F.struct("pos", "a", "b")).alias("v"))
     packed = packed.select(F.col("stratum").alias("s"), F.col("block").alias("b0"), "feature", F.col("v.pos").alias("pos"), F.col("v.a").alias("a"), F.col("v.b").alias("b"))
-    weights = unit_draws(units, draws, seed, pick).select(F.col("stratum").alias("ws"), block.alias("wb"), "draw", "pos", "w")
+    weights = _block_weights(units, draws, seed, pick)
     kind = values.schema["feature"].dataType.simpleString()
     sums = packed.groupBy("s", "b0").cogroup(weights.groupBy("ws", "wb")).applyInPandas(
         _block_sums(draws), f"feature {kind}, draw int, w double, a double, b double, aa double, bb double, ab double"

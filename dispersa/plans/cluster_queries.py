@@ -130,7 +130,8 @@ def _allele_values(spark, sf):
     parts = fits.groupBy("feature").agg(F.max(F.when(F.col("dataset") == "HYB.SC", share)).alias("a"), F.max(F.when(F.col("dataset") == "HYB.SE", share)).alias("b"))
     r = _all_residuals(spark, sf).where("dataset LIKE 'HYB.%'")
     a, b = (r.where(F.col("dataset") == d).select("feature", "unit", F.col("r").alias(name)) for d, name in (("HYB.SC", "a"), ("HYB.SE", "b")))
-    return a.join(b, ["feature", "unit"]), bootstrap.coexpression_units(u).where("grp = 2"), smoothing.attenuation(parts.where("a IS NOT NULL AND b IS NOT NULL"))
+    # written: features with values are asked for before their draws
+    return checkpointed(a.join(b, ["feature", "unit"])), bootstrap.coexpression_units(u).where("grp = 2"), smoothing.attenuation(parts.where("a IS NOT NULL AND b IS NOT NULL"))
 
 
 @register("i20_correlation_errors")

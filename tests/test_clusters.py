@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dispersa.operators import bootstrap, clusters, rowwise, states
+from dispersa.operators.resampling import hashed_pick
 
 
 @pytest.fixture(scope="module")
@@ -121,6 +122,19 @@ def test_correlation_draws_match_weighted_correlations(spark, monkeypatch):
     assert found["f1"].se_obs == pytest.approx(np.std([got["f1", d] for d in range(1, 21)], ddof=1)) and found["f1"].se_true == pytest.approx(found["f1"].se_obs / 0.8)
 
 
+def test_hashed_draws_of_correlations_are_found_in_tasks(spark, monkeypatch):
+    """The same correlations as from a table of draws, which isn't made."""
+    monkeypatch.setattr(rowwise, "UNITS", 7)
+    names = [f"u{j}" for j in range(25)]
+    values = spark.createDataFrame([("f", n, float(j * j % 11), float(j * 3 % 7)) for j, n in enumerate(names) if j != 4], "feature string, unit string, a double, b double")
+    units = bootstrap.coexpression_units(spark.createDataFrame([("HYB.SC", n, 1.0) for n in names], "dataset string, unit string, expo double")).where("grp = 2")
+    want = {r.draw: r.r for r in rowwise.draw_correlations(values, units, 20, 4, lambda *x: hashed_pick(*x)).collect()}
+    for module in (bootstrap, rowwise):
+        monkeypatch.setattr(module, "bootstrap_weights", None, raising=False)
+    got = {r.draw: r.r for r in rowwise.draw_correlations(values, units, 20, 4).collect()}
+    assert len(got) == 21 and got == pytest.approx(want)
+
+
 def test_stratified_sample(spark):
     df = spark.range(1000).select(F.col("id").alias("feature"), (F.col("id") / 7).alias("attn")).union(spark.createDataFrame([(5000, None), (5001, float("nan"))], "feature long, attn double"))
     binned = rowwise.quantile_bins(df, "attn", 10)
