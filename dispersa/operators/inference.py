@@ -97,12 +97,68 @@ def weighted_fits(counts: DataFrame, units: DataFrame) -> DataFrame:
     return work.mapInPandas(fit, "dataset string, feature string, mu double, disp double, boundary int")
 
 
+#: Counts up to which a unit's chances are listed; units drawn one by one are drawn so many together.
+LISTED, SINGLY = 65_536, 20_000
+
+
+def _chances(mean: float, phi: float) -> np.ndarray:
+    """Chances of the counts 0, 1, ... of a negative binomial, until what is left is nothing in doubles."""
+    top = int(np.ceil(mean + 12 * np.sqrt(mean + phi * mean * mean) + 40 * (1 + phi * mean)))
+    if top > LISTED:
+        return np.zeros(0)
+    y = np.arange(top)
+    steps = np.log((1 + phi * y) * mean / ((1 + phi * mean) * (y + 1)))
+    p = np.exp(np.concatenate([[0.0], np.cumsum(steps)]) - np.log1p(phi * mean) / phi)
+    return p / p.sum()
+
+
+def drawn_counts(rng: np.random.Generator, n: int, mean: float, phi: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(draw, count, units): how many of n units of one mean have each count, in `size` draws; the work grows with the counts, not with n."""
+    p = _chances(mean, phi)
+    if 0 < len(p) <= n:
+        cells = rng.multinomial(n, p, size)
+        draw, y = np.nonzero(cells)
+        return draw, y, cells[draw, y]
+    out = []
+    for low in range(0, n, SINGLY):
+        y = rng.poisson(mean * rng.gamma(1 / phi, phi, (size, min(SINGLY, n - low))))
+        for draw, own in enumerate(y):
+            values, cells = np.unique(own, return_counts=True)
+            out.append((np.full(len(values), draw), values, cells))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _added_cells(draw: np.ndarray, v: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells of equal draw and value together, ascending by value."""
+    values, code = np.unique(v, return_inverse=True)
+    many = int(draw.max(initial=0)) + 1
+    both, at = np.unique(code * many + draw, return_inverse=True)
+    return both % many, values[both // many].astype(float), np.bincount(at, cells, len(both))
+
+
+def simulated_dispersions(rng: np.random.Generator, mu: float, phi: float, ef: np.ndarray, en: np.ndarray, size: int) -> np.ndarray:
+    """log2 dispersions refitted to `size` draws of a dataset with exposures ef of en units each; -inf at the boundary."""
+    drawn = [drawn_counts(rng, int(n), mu * e, phi, size) for e, n in zip(ef, en)]
+    at = np.repeat(np.arange(len(ef)), [len(x[0]) for x in drawn])
+    draw, y, cells = (np.concatenate([x[i] for x in drawn]) for i in range(3))
+    y = y.astype(float)
+    table = lambda w: np.bincount(draw * len(ef) + at, w, size * len(ef)).reshape(size, -1)
+    sums, squares = table(cells * y), table(cells * y * y)
+    fit = np.maximum(sums.sum(axis=1) / (ef @ en), 1e-12)
+    mean = fit[:, None] * ef
+    slope = (squares - 2 * mean * sums + en * mean**2).sum(axis=1) - mean @ en + (mean**2) @ en / (mean @ en)
+    some = np.nonzero(sums)
+    rows = (*_added_cells(draw[y > 0], y[y > 0], cells[y > 0]), some[0], ef[some[1]], sums[some])
+    best = _maximise(lambda x: _likelihood(np.exp(x), rows, fit, ef, en), np.full(size, LOG_PHI[0]), np.full(size, LOG_PHI[1]))
+    return np.where(slope > 0, best / np.log(2), -np.inf)
+
+
 def parametric_p(fits: DataFrame, units: DataFrame, groups: dict[str, float], sims: int, seed: int, block: int = 50) -> DataFrame:
     """(feature, obs, p, n): test of a log2 dispersion contrast against counts drawn from the fits with that contrast set to zero.
 
     fits (dataset, feature, mu, disp) hold the datasets of `groups` (dataset -> weight) with positive dispersions. Each feature's
-    draws are cut into blocks that are seeded by feature and block; a task draws, refits and returns how many draws were as
-    extreme, so no draw is ever moved.
+    draws are cut into blocks that are seeded by feature and block; a task draws how often each count occurs at each distinct exposure, refits
+    and returns how many draws were as extreme, so no draw is ever moved and no unit is drawn on its own where many share an exposure.
     """
     spark = fits.sparkSession
     from dispersa.operators.fitting import exposure_spectrum
@@ -115,7 +171,7 @@ def parametric_p(fits: DataFrame, units: DataFrame, groups: dict[str, float], si
     wide = nulls.where("null_log2 IS NOT NULL").groupBy("feature").agg(
         F.map_from_entries(F.collect_list(F.struct("dataset", F.struct("mu", "null_log2")))).alias("m"), F.sum(F.col("weight") * F.log2("phi")).alias("obs"), F.count("*").alias("k")
     ).where(F.col("k") == len(names))
-    tasks = wide.select("feature", "obs", "m", F.explode(F.sequence(F.lit(0), F.lit((sims - 1) // block))).alias("b")).repartition("feature", "b")
+    tasks = wide.select("feature", "obs", "m", F.explode(F.sequence(F.lit(0), F.lit((sims - 1) // block))).alias("b")).repartition(4 * spark.sparkContext.defaultParallelism, "feature", "b")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh64_intdigest
@@ -127,19 +183,7 @@ def parametric_p(fits: DataFrame, units: DataFrame, groups: dict[str, float], si
                 size = min(block, sims - b * block)
                 logs = np.zeros((size, len(names)))
                 for j, name in enumerate(names):
-                    ef, en = spectrum.value[name]
-                    e = np.repeat(ef, en.astype(int))
-                    mu, phi = m[name]["mu"], m[name]["null_log2"]
-                    y = rng.poisson(mu * e * rng.gamma(1 / phi, phi, (size, len(e))))
-                    fit = np.maximum(y.sum(axis=1) / e.sum(), 1e-12)
-                    at = np.nonzero(y)
-                    drawn = y[at].astype(float)
-                    up = np.argsort(drawn, kind="stable")
-                    rows = (at[0][up], drawn[up], np.ones(len(up)), at[0], e[at[1]], drawn)
-                    mean = fit[:, None] * e
-                    slope = ((y - mean) ** 2).sum(axis=1) - mean.sum(axis=1) + (mean**2).sum(axis=1) / mean.sum(axis=1)
-                    best = _maximise(lambda x, r=rows, f=fit, ef=ef, en=en: _likelihood(np.exp(x), r, f, ef, en), np.full(size, LOG_PHI[0]), np.full(size, LOG_PHI[1]), 30)
-                    logs[:, j] = np.where(slope > 0, best / np.log(2), -np.inf)
+                    logs[:, j] = simulated_dispersions(rng, m[name]["mu"], m[name]["null_log2"], *spectrum.value[name], size)
                 with np.errstate(invalid="ignore"):
                     value = (logs * weights).sum(axis=1)
                 value = value[~np.isnan(value)]

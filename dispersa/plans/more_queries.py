@@ -72,10 +72,14 @@ def nulls_raw(spark, sf):
     return rounded(inference.null_raw_dispersions(rows, ["feature", "mode"]).select("feature", "mode", "dataset", "null_raw"))
 
 
+#: Simulated draws of a null, as many as the reference's N.SIM.
+SIMULATED = 2000
+
+
 @register("i11_parametric_p")
 def parametric(spark, sf):
     fits = fitting.fit_dispersions(counts(spark, sf), _expo(spark, sf))
-    return rounded(inference.parametric_p(fits, _expo(spark, sf), contrasts.MODE_GROUPS["total"], 200, 3), 4)
+    return rounded(inference.parametric_p(fits, _expo(spark, sf), contrasts.MODE_GROUPS["total"], SIMULATED, 3), 4)
 
 
 _STATUS = f"""{PARTS_SQL}, g AS (SELECT p_partkey AS feature, family AS mode, 'disp' AS quantity, p < 0.7 AS eligible, p, p2, est FROM pv), r AS (SELECT *, est IS NOT NULL AND p2 < 0.8 AS run FROM g)"""
