@@ -14,19 +14,32 @@ from dispersa.sources.results import checkpointed
 WITH = "WITH " + COUNTS_SQL.strip()
 
 
+def _fits(counts, units):
+    """Moment fits for residuals, written: they are broadcast, and a broadcast must not wait for the sums behind them."""
+    return checkpointed(fitting.moment_fit(fitting.sufficient(counts, units)).select("dataset", "feature", "mu", F.greatest("disp_moment", F.lit(0.0)).alias("disp")))
+
+
 def _residuals(spark, sf, dataset):
     c, u = counts(spark, sf).where(F.col("dataset") == dataset), _expo(spark, sf).where(F.col("dataset") == dataset)
-    fits = fitting.moment_fit(fitting.sufficient(c, u)).select("dataset", "feature", "mu", F.greatest("disp_moment", F.lit(0.0)).alias("disp"))
-    return u, coexpression.pearson_residuals(c, u, fits)
+    return u, coexpression.pearson_residuals(c, u, _fits(c, u))
+
+
+def _views(spark, sf, *datasets):
+    """The datasets' pair tables, from one pass over units."""
+    c, u = counts(spark, sf), _expo(spark, sf)
+    if len(datasets) < 4:
+        c, u = c.where(F.col("dataset").isin(*datasets)), u.where(F.col("dataset").isin(*datasets))
+    pairs = coexpression.vector_correlations(coexpression.residual_vectors(c, u, _fits(c, u)))
+    return {d: pairs.where(F.col("dataset") == d).drop("dataset") for d in datasets}
 
 
 def _pairs(spark, sf, dataset):
-    return coexpression.shrunken_correlations(_residuals(spark, sf, dataset)[1])
+    return _views(spark, sf, dataset)[dataset]
 
 
 @register("x3_decomposition")
 def decomposition(spark, sf):
-    return rounded(coexpression.decompose({d: _pairs(spark, sf, d) for d in ("MIX.SC", "MIX.SE", "HYB.SC", "HYB.SE")}))
+    return rounded(coexpression.decompose(_views(spark, sf, "MIX.SC", "MIX.SE", "HYB.SC", "HYB.SE")))
 
 
 @register("x5_bootstrap_pairs")
