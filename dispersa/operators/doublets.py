@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from dispersa.sources.results import checkpointed
 
 #: Points that a task compares: rows of a block of queries and of a block of points; blocks of queries whose nearest points a task holds.
-QUERIES, POINTS, HELD = 1024, 8192, 8
+QUERIES, POINTS, HELD = 4096, 16_384, 2
+#: Rows of queries and of points whose products stay in a core's cache.
+ROWS, COLUMNS = 256, 1024
 #: Places of squared distances: copies of a unit may differ by rounding.
 DIGITS = 9
 
@@ -33,13 +35,15 @@ def simulated(counts: DataFrame, units: DataFrame, n_sim: int, seed: int, pick=N
     ids = counts.sparkSession.range(n_sim).withColumn("a", F.pmod(hashed(F.col("id"), 0), n)).withColumn("b", F.pmod(hashed(F.col("id"), 1), n))
     ids = ids.withColumn("b", F.when(F.col("a") == F.col("b"), (F.col("b") + 1) % n).otherwise(F.col("b")))
     both = ids.select("id", F.explode(F.array("a", "b")).alias("pos")).join(units.select("unit", "pos"), "pos")
-    return both.join(counts, "unit").groupBy("id", "feature").agg(F.sum("y").alias("y"))
+    # dealt by simulated unit, so that its library and its list of features need no further shuffle
+    tasks = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.sparkSession.sparkContext.defaultParallelism)
+    return both.join(counts, "unit").repartition(tasks, "id").groupBy("id", "feature").agg(F.sum("y").alias("y"))
 
 
 def log_scaled(counts: DataFrame, key: str, depth: float) -> DataFrame:
     """(key, feature, x): log(1 + y / library * depth); what isn't stored is 0."""
-    lib = counts.groupBy(key).agg(F.sum("y").alias("_l"))
-    return counts.join(lib, key).where("y > 0").select(key, "feature", F.log1p(F.col("y") / F.col("_l") * depth).alias("x"))
+    lib = F.sum("y").over(Window.partitionBy(key))
+    return counts.withColumn("_l", lib).where("y > 0").select(key, "feature", F.log1p(F.col("y") / F.col("_l") * depth).alias("x"))
 
 
 def most_variable(scaled: DataFrame, n: int, many: int) -> DataFrame:
@@ -58,7 +62,7 @@ def _dense(pdf: pd.DataFrame, p: int) -> np.ndarray:
 
 def embedded(scaled: DataFrame, keys: DataFrame, key: str, features: DataFrame, turn: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(key, e): each unit of `keys` on the components `turn` (means, rotation)."""
-    lists = scaled.join(features, "feature").groupBy(key).agg(F.collect_list("at").alias("at"), F.collect_list("x").alias("v"))
+    lists = scaled.join(F.broadcast(features), "feature").groupBy(key).agg(F.collect_list("at").alias("at"), F.collect_list("x").alias("v"))
     none = lambda t: F.array().cast(f"array<{t}>")
     whole = keys.select(key).join(lists, key, "left").select(key, F.coalesce("at", none("int")).alias("at"), F.coalesce("v", none("double")).alias("v"))
     mean, rotation = turn
@@ -76,7 +80,7 @@ def components(scaled: DataFrame, n: int, features: DataFrame, n_pc: int) -> tup
     parameter, are summed by tasks and decomposed by the driver."""
     mean = np.array([r.mean for r in features.orderBy("at").collect()])
     p = len(mean)
-    lists = scaled.join(features, "feature").groupBy("unit").agg(F.collect_list("at").alias("at"), F.collect_list("x").alias("v"))
+    lists = scaled.join(F.broadcast(features), "feature").groupBy("unit").agg(F.collect_list("at").alias("at"), F.collect_list("x").alias("v"))
 
     def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gram = np.zeros((p, p))
@@ -145,8 +149,69 @@ class _Nearest:
             self.d[i], self.code[i] = both[first], codes[first]
 
 
-def _searched(queries: DataFrame, points: DataFrame, k: int, result: Callable[[_Nearest], pd.DataFrame], schema: str) -> DataFrame:
-    """What `result` makes of the k nearest points of each block of queries, once all blocks of points have been met.
+class _Kinds:
+    """How many of the k nearest points so far of a block of queries are of kind 1; ties in distance go by kind.
+
+    A point is its distance to DIGITS places and its kind in one number. Products in single precision, with more than their rounding as a margin,
+    leave out points beyond the k-th distance so far; what they leave is measured by differences.
+    """
+
+    def __init__(self, kind: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+        self.x, self.k, self.own = x, k, kind.astype(np.int64) << 62 | ids
+        self.norm = (x * x).sum(1)
+        self.wide = np.concatenate([-2 * x, np.ones((len(x), 1)), self.norm[:, None]], axis=1).astype(np.float32)
+        self.worst = np.full(len(x), np.inf)
+        self.keys, self.held = np.full((len(x), k + max(k, COLUMNS)), np.iinfo(np.int64).max), np.zeros(len(x), np.int64)
+
+    def meet(self, kind: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        code = kind.astype(np.int64) << 62 | ids
+        norm = (y * y).sum(1)
+        wide = np.ascontiguousarray(np.concatenate([y, norm[:, None], np.ones((len(y), 1))], axis=1).astype(np.float32).T)
+        margin = (y.shape[1] + 8) * 2.0**-22 * (self.norm + norm.max(initial=0.0)) + 10.0**-DIGITS
+        for a in range(0, len(self.x), ROWS):
+            for b in range(0, len(y), COLUMNS):
+                rows, cols = slice(a, a + ROWS), slice(b, b + COLUMNS)
+                near = self.wide[rows] @ wide[:, cols] <= (self.worst[rows] + margin[rows]).astype(np.float32)[:, None]
+                at = np.flatnonzero(near)
+                if len(at):
+                    row, col = np.divmod(at, near.shape[1])
+                    self._add(row + a, col + b, code, kind, y)
+
+    def _add(self, row: np.ndarray, at: np.ndarray, code: np.ndarray, kind: np.ndarray, y: np.ndarray) -> None:
+        apart = self.x[row] - y[at]
+        d = np.einsum("ij,ij->i", apart, apart)
+        keep = (d <= self.worst[row] + 10.0**-DIGITS) & (code[at] != self.own[row])
+        row, at, d = row[keep], at[keep], d[keep]
+        if not len(row):
+            return
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        some, many = row[first], np.diff(np.append(first, len(row)))
+        full = some[self.held[some] + many > self.keys.shape[1]]
+        if len(full):
+            self._cut(full)
+        place = np.arange(len(row)) - np.repeat(first, many) + self.held[row]
+        self.keys[row, place] = np.rint(np.minimum(d * 10.0**DIGITS, 4e18)).astype(np.int64) * 2 + kind[at]
+        self.held[some] += many
+        self._cut(some[self.held[some] >= np.where(np.isfinite(self.worst[some]), 1.5 * self.k, self.k)])
+
+    def _cut(self, rows: np.ndarray) -> None:
+        """Only the k least of these queries' numbers stay."""
+        if not len(rows):
+            return
+        wide = max(self.k, int(self.held[rows].max()))
+        least = np.partition(self.keys[rows, :wide], self.k - 1, axis=1)
+        least[:, self.k :] = np.iinfo(np.int64).max
+        self.keys[rows, :wide], self.held[rows] = least, np.minimum(self.held[rows], self.k)
+        self.worst[rows] = np.where(self.held[rows] == self.k, (least[:, self.k - 1] >> 1) / 10.0**DIGITS, np.inf)
+
+    def found(self) -> np.ndarray:
+        self._cut(np.arange(len(self.x)))
+        least = self.keys[:, : self.k]
+        return ((least & 1 == 1) & (least < np.iinfo(np.int64).max)).sum(axis=1)
+
+
+def _searched(queries: DataFrame, points: DataFrame, k: int, state: type, result: Callable[[_Nearest | _Kinds, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What `result` makes of the `state` of each block of queries (of its ids, too), once all blocks of points have been met.
 
     Every pair of blocks meets in a task by a cross join of written blocks, which are read, not shuffled; a task holds the nearest points of its own
     blocks of queries and one block of points, and only results leave it. Exact; the work is queries times points, as for any exact search in a space
@@ -159,16 +224,16 @@ def _searched(queries: DataFrame, points: DataFrame, k: int, result: Callable[[_
     right = _packed(points, POINTS, "bp").coalesce(1)  # all blocks of points pass through each task of queries
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, _Nearest] = {}
+        held: dict[int, tuple] = {}
         for pdf in it:
             for bq, qk, qi, qx, kinds, ids, x in pdf[["bq", "qk", "qi", "qx", "kinds", "ids", "x"]].itertuples(index=False):
                 if bq not in held:
-                    ks = np.frombuffer(qk, np.int32)
-                    held[bq] = _Nearest(ks, np.frombuffer(qi, np.int64), np.frombuffer(qx).reshape(len(ks), -1), k)
+                    ks, own = np.frombuffer(qk, np.int32), np.frombuffer(qi, np.int64)
+                    held[bq] = state(ks, own, np.frombuffer(qx).reshape(len(ks), -1), k), own
                 kinds = np.frombuffer(kinds, np.int32)
-                held[bq].meet(kinds, np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(len(kinds), -1))
-        for own in held.values():
-            yield result(own)
+                held[bq][0].meet(kinds, np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(len(kinds), -1))
+        for found, own in held.values():
+            yield result(found, own)
 
     pairs = left.repartition(parts).hint("shuffle_replicate_nl").crossJoin(right)
     return pairs.mapInPandas(run, schema)
@@ -180,16 +245,23 @@ def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     d: squared distance to DIGITS places. Ties go by kind, then id.
     """
 
-    def listed(own: _Nearest) -> pd.DataFrame:
+    def listed(own: _Nearest, ids: np.ndarray) -> pd.DataFrame:
         near = [[{"d": float(v), "kind": int(c >> 62), "id": int(c & (1 << 62) - 1)} for v, c in zip(d, code) if v < np.inf] for d, code in zip(own.d, own.code)]
-        return pd.DataFrame({"kind": own.kind, "id": own.ids, "near": near})
+        return pd.DataFrame({"kind": own.kind, "id": ids, "near": near})
 
-    return _searched(queries, points, k, listed, "kind int, id long, near array<struct<d: double, kind: int, id: long>>")
+    return _searched(queries, points, k, _Nearest, listed, "kind int, id long, near array<struct<d: double, kind: int, id: long>>")
 
 
 def near_kind(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """(id, n): how many of the k nearest points of each query are of kind 1; the points themselves leave no task."""
-    return _searched(queries, points, k, lambda own: pd.DataFrame({"id": own.ids, "n": ((own.code >> 62 == 1) & (own.d < np.inf)).sum(1)}), "id long, n long")
+    return _searched(queries, points, k, _Kinds, lambda own, ids: pd.DataFrame({"id": ids, "n": own.found()}), "id long, n long")
+
+
+def alike(counts: DataFrame, units: DataFrame) -> DataFrame:
+    """(pos, first): each unit of `units` (unit, pos) and the least position of the units with the same counts."""
+    lists = counts.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("feature", "y"))).alias("ys")).join(units.select("unit", "pos"), "unit")
+    same = lists.groupBy("ys").agg(F.min("pos").alias("first"), F.collect_list("pos").alias("each"))
+    return same.select(F.explode("each").alias("pos"), "first")
 
 
 def posterior(frac: Column, rho: float, ratio: float) -> Column:
@@ -213,12 +285,15 @@ def doublet_scores(counts: DataFrame, rho: float = 0.05, per_unit: int = 2, n_hv
     k = n_nn or max(10, round(0.5 * (n + n_sim) ** 0.5))
     depth = counts.groupBy("unit").agg(F.sum("y").alias("l")).agg(F.percentile("l", 0.5)).first()[0]
     seen = checkpointed(log_scaled(counts, "unit", depth))
-    sums = checkpointed(log_scaled(simulated(counts, units, n_sim, seed), "id", depth))
+    sums = log_scaled(simulated(counts, units, n_sim, seed), "id", depth)
     features = checkpointed(most_variable(seen, n, n_hvg))
     turn = components(seen, n, features, n_pc)
     real = embedded(seen, units, "unit", features, turn).join(units.select("unit", "pos"), "unit").select(F.lit(0).alias("kind"), F.col("pos").cast("long").alias("id"), "e")
     false = embedded(sums, counts.sparkSession.range(n_sim), "id", features, turn).select(F.lit(1).alias("kind"), "id", "e")
     points = checkpointed(real.union(false))
-    near = near_kind(points.where("kind = 0"), points, k)
-    scored = near.select(F.col("id").alias("pos"), ((F.col("n") + 0.5) / (k + 1)).alias("frac")).join(units.select("unit", "pos"), "pos")
+    # units with the same counts have the same neighbours, each other included, so one of them is searched for
+    groups = checkpointed(alike(counts, units))
+    own = points.where("kind = 0").join(groups.select(F.col("first").alias("id")).distinct(), "id", "left_semi").select("kind", "id", "e")
+    near = near_kind(own, points, k).select(F.col("id").alias("first"), ((F.col("n") + 0.5) / (k + 1)).alias("frac"))
+    scored = near.join(groups, "first").join(units.select("unit", "pos"), "pos")
     return scored.select("unit", "frac", posterior(F.col("frac"), rho, n_sim / n).alias("score"))

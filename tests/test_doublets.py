@@ -91,3 +91,34 @@ def test_few_units(spark):
     none = spark.createDataFrame([], "unit string, feature string, y long")
     assert doublets.doublet_scores(none).collect() == []
     assert [tuple(r) for r in doublets.doublet_scores(spark.createDataFrame([("a", "g", 3)], "unit string, feature string, y long")).collect()] == [("a", None, None)]
+
+
+def test_units_with_the_same_counts_are_searched_once(spark, monkeypatch):
+    rng = np.random.Generator(np.random.Philox(6))
+    own = rng.poisson(2.0, (30, 8))
+    own[:, 0] += 1
+    rows = [(f"u{c}{i:02d}", f"g{j}", int(v)) for c in range(4) for i, r in enumerate(own) for j, v in enumerate(r) if v]
+    counts = spark.createDataFrame(rows, "unit string, feature string, y long")
+    kinds, searched = {tuple(r) for r in own.tolist()}, []
+    search = doublets.near_kind
+    monkeypatch.setattr(doublets, "near_kind", lambda q, p, k: searched.append((q.count(), p.count())) or search(q, p, k))
+    got = {r.unit: r.frac for r in doublets.doublet_scores(counts, n_hvg=8, n_pc=3).collect()}
+    assert searched == [(len(kinds), 360)] and len(got) == 120
+    assert all(len({got[f"u{c}{i:02d}"] for c in range(4)}) == 1 for i in range(30))
+
+
+def test_kinds_of_many_neighbours_equal_an_order(monkeypatch):
+    """Blocks, cuts and single precision lose no neighbour: close distances, ties and points of one place."""
+    monkeypatch.setattr(doublets, "ROWS", 16)
+    monkeypatch.setattr(doublets, "COLUMNS", 32)
+    rng = np.random.Generator(np.random.Philox(7))
+    y = np.concatenate([rng.normal(size=(300, 5)), rng.normal(size=(300, 5)) * 1e-4 + 3, np.repeat(rng.normal(size=(4, 5)), 50, axis=0)])
+    kind, ids = rng.integers(0, 2, len(y)).astype(np.int32), np.arange(len(y))
+    for k in (3, 40, 900):
+        state = doublets._Kinds(kind, ids, y, k)
+        for a in range(0, len(y), 100):
+            state.meet(kind[a : a + 100], ids[a : a + 100], y[a : a + 100])
+        for i, n in enumerate(state.found()):
+            d = np.round(((y - y[i]) ** 2).sum(1), doublets.DIGITS)
+            others = np.delete(np.arange(len(y)), i)
+            assert n == kind[others[np.lexsort((kind[others], d[others]))[:k]]].sum()
