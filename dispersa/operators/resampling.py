@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +89,139 @@ def hash_cuts(items: DataFrame, sizes: DataFrame, draws: int, hashed: Callable[[
     return checkpointed(cut.select("pool", F.transform(every, lambda d: F.col("m")[d]["h"]).alias("hs"), F.transform(every, lambda d: F.col("m")[d]["item"]).alias("ids")))
 
 
+#: Hashes that are worked on together, so that they stay in a core's cache.
+HASHES = 1 << 15
+
+
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return h << np.uint64(by) | h >> np.uint64(64 - by)
+
+
+def hashed_names(names: list[bytes], states: np.ndarray) -> np.ndarray:
+    """(states x names): F.xxhash64 of each string after what has been hashed to each state, as signed numbers."""
+    one, two, three, four, five = (np.uint64(x) for x in _XXH)
+    out, sizes = np.empty((len(states), len(names)), np.uint64), np.array([len(x) for x in names], np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        raw = np.frombuffer(b"".join(names[i] for i in at), np.uint8).reshape(len(at), size)
+        words = np.ascontiguousarray(raw[:, : size // 8 * 8]).view("<u8")
+        rest = raw[:, size // 8 * 8 :]
+        half = np.ascontiguousarray(rest[:, :4]).view("<u4")[:, 0].astype(np.uint64) * one if rest.shape[1] >= 4 else None
+        single = rest[:, 4 if half is not None else 0 :].astype(np.uint64) * five
+        striped = words.shape[1] // 4 * 4
+        mixed = _turned(words[:, striped:] * two, 31) * one
+        step = max(1, HASHES // len(at))
+        for low in range(0, len(states), step):
+            state = states[low : low + step, None]
+            if striped:
+                v = [state + one + two, state + two, state + np.uint64(0), state - one]
+                for j in range(striped):
+                    v[j % 4] = _turned(v[j % 4] + words[None, :, j] * two, 31) * one
+                h = _turned(v[0], 1) + _turned(v[1], 7) + _turned(v[2], 12) + _turned(v[3], 18)
+                for x in v:
+                    h = (h ^ _turned(x * two, 31) * one) * one + four
+                h += np.uint64(size)
+            else:
+                h = np.broadcast_to(state + five + np.uint64(size), (len(state), len(at))).copy()
+            for j in range(mixed.shape[1]):
+                h ^= mixed[None, :, j]
+                h = _turned(h, 27)
+                h *= one
+                h += four
+            if half is not None:
+                h ^= half[None, :]
+                h = _turned(h, 23)
+                h *= two
+                h += three
+            for j in range(single.shape[1]):
+                h ^= single[None, :, j]
+                h = _turned(h, 11)
+                h *= one
+            h ^= h >> np.uint64(33)
+            h *= two
+            h ^= h >> np.uint64(29)
+            h *= three
+            h ^= h >> np.uint64(32)
+            out[low : low + step, at] = h
+    return out.view(np.int64)
+
+
+def hash_states(seed: int, draws: Iterable[int], pool: str | None = None) -> np.ndarray:
+    """What F.xxhash64(seed, pool, draw) is for each draw, or without a pool: a name hashed next gives xxhash64(seed, pool, draw, name)."""
+    h = _xxh_int(seed, 42)
+    if pool is not None:
+        h = int(hashed_names([pool.encode()], np.array([h], np.uint64)).view(np.uint64)[0, 0])
+    return np.array([_xxh_int(d, h) for d in draws], np.uint64)
+
+
+#: Half the width of the range in which a cut is looked for first, in standard deviations of its place.
+WINDOW = 5.0
+
+#: A cut of each draw: the hash and the name of the last item of the first half; None if that is empty.
+Cuts = dict[str, tuple[np.ndarray, np.ndarray] | None]
+
+
+def own_cuts(items: DataFrame, sizes: dict[str, tuple[int, int]], draws: int, states: Callable[[str], np.ndarray], window: float | None = None) -> Cuts:
+    """The cuts of hash_cuts by the library's own hash, for pools of n items with a first half of first_n (sizes: pool -> (n, first_n)).
+
+    Hashes are even, so the cut lies near first_n / n of their range: tasks count the hashes below a narrow window and return those inside, of all
+    draws together, and one number a pool and draw reaches the driver. A window without the cut is looked at again, wider.
+    """
+    found: Cuts = {pool: None for pool in sizes}
+    left = {pool: n for pool, n in sizes.items() if n[1] > 0}
+    width = WINDOW if window is None else window
+    while left:
+        bounds = {}
+        for pool, (n, first_n) in left.items():
+            q = first_n / n
+            apart = width * max(q * (1 - q) / n, 1 / n**2) ** 0.5
+            low, high = (min(max(int((q + d) * 2.0**64) - (1 << 63), -(1 << 63)), (1 << 63) - 1) for d in (-apart, apart))
+            bounds[pool] = np.int64(low if q - apart > 0 else -(1 << 63)), np.int64(high if q + apart < 1 else (1 << 63) - 1)
+
+        def counted(it: Iterator[pd.DataFrame], bounds=bounds) -> Iterator[pd.DataFrame]:
+            below, start = {}, {}
+            for pdf in it:
+                for pool, own in pdf.groupby("pool", sort=False):
+                    if pool not in start:
+                        start[pool], below[pool] = states(pool), np.zeros(draws, np.int64)
+                    names, (low, high) = [x.encode() for x in own["item"]], bounds[pool]
+                    for a in range(0, len(names), 1024):
+                        part = names[a : a + 1024]
+                        h = hashed_names(part, start[pool])
+                        upto, under = h <= high, h < low
+                        below[pool] += under.sum(axis=1)
+                        draw, at = np.nonzero(upto & ~under)
+                        if len(draw):
+                            yield pd.DataFrame({"pool": pool, "draw": draw + 1, "h": h[draw, at], "item": pd.Series([part[i].decode() for i in at], dtype=object), "below": 0})
+            for pool, n in below.items():
+                yield pd.DataFrame({"pool": pool, "draw": np.arange(1, draws + 1), "h": 0, "item": pd.Series([None] * draws, dtype=object), "below": n})
+
+        rows = items.where(F.col("pool").isin(*left)).select("pool", "item").mapInPandas(counted, "pool string, draw int, h long, item string, below long")
+        near = F.sort_array(F.collect_list(F.when(F.col("item").isNotNull(), F.struct("h", "item"))))
+        first = F.create_map(*[F.lit(x) for pool, (_, k) in left.items() for x in (pool, k)])
+        per = rows.groupBy("pool", "draw").agg(near.alias("near"), F.sum("below").alias("below")).withColumn("at", (first[F.col("pool")] - F.col("below")).cast("int"))
+        cut = F.when(F.col("at").between(1, F.size("near")), F.get("near", F.col("at") - 1))
+        got = per.select("pool", "draw", cut.alias("cut")).toPandas()
+        for pool, own in got.groupby("pool"):
+            own = own.sort_values("draw")
+            if own["cut"].notna().all():
+                found[pool] = np.array([c["h"] for c in own["cut"]], np.int64), np.array([c["item"].encode() for c in own["cut"]], object)
+                del left[pool]
+        width *= 8
+    return found
+
+
+def first_half(names: list[bytes], states: np.ndarray, cut: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """(names x draws): whether each is in the first half of each draw, by own_cuts; states and cut are of the same draws."""
+    if cut is None:
+        return np.zeros((len(names), len(states)), bool)
+    h = hashed_names(names, states)
+    first = h < cut[0][:, None]
+    for draw, at in zip(*np.nonzero(h == cut[0][:, None])):
+        first[draw, at] = names[at] <= cut[1][draw]
+    return first.T
+
+
 def before_cut(hs: Column, ids: Column, draw: Column, h: Column, item: Column) -> Column:
     """Whether an item of hash h is in the first half of a draw, by its pool's row of hash_cuts."""
     cut = F.get(hs, draw - 1)

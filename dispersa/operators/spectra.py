@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispersa.functions.stats import benjamini_hochberg, correlation
-from dispersa.operators.resampling import before_cut, hash_cuts, hashed_weights
+from dispersa.operators.resampling import before_cut, first_half, hash_cuts, hash_states, hashed_names, hashed_weights, own_cuts
 from dispersa.sources.results import checkpointed
 
 #: Features of a block's side: a task holds blocks, never a table of all pairs.
@@ -195,8 +195,12 @@ def rank_fit(pairs: DataFrame, value: str, axes: DataFrame, k: int) -> DataFrame
 
 def unit_vectors(residuals: DataFrame, views: list[str]) -> DataFrame:
     """(unit, x0, x1): a unit's residuals over all features in order of their names, in one view or in two."""
-    named = residuals.where(F.col("dataset").isin(*views)).groupBy("dataset", "unit").agg(F.sort_array(F.collect_list(F.struct("feature", "r"))).alias("x"))
-    wide = named.groupBy("unit").agg(*[F.max(F.when(F.col("dataset") == v, F.col("x.r"))).alias(f"x{i}") for i, v in enumerate(views)])
+    named = residuals.where(F.col("dataset").isin(*views))
+    if "x" not in residuals.columns:  # a row a feature, else vectors as coexpression.residual_vectors gives them
+        named = named.groupBy("dataset", "unit").agg(F.sort_array(F.collect_list(F.struct("feature", "r"))).alias("x")).select("dataset", "unit", F.col("x.r").alias("x"))
+    if len(views) == 1:
+        return named.select("unit", F.col("x").alias("x0"))
+    wide = named.groupBy("unit").agg(*[F.max(F.when(F.col("dataset") == v, F.col("x"))).alias(f"x{i}") for i, v in enumerate(views)])
     return wide.where(" AND ".join(f"x{i} IS NOT NULL" for i in range(len(views))))
 
 
@@ -341,13 +345,81 @@ def spectra(blocks: DataFrame, k: int) -> DataFrame:
     return found.select(F.col("x")[0].cast("int").alias("draw"), F.col("x")[1].alias("part"), (F.col("rank") + 1).alias("rank"), (F.col("v") * F.col("v")).alias("value"))
 
 
+def _relabelled_sums(it: Iterator[pd.DataFrame], draws: int, seed: int, cut: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pd.DataFrame]:
+    """Sums of all products of two of 1, x and x^2 (a triangle, row by row) over both halves of each group in draws 0 to `draws`."""
+    held, states = {}, {0: hash_states(seed, range(1, draws + 1)), 1: hash_states(seed + 1, range(1, draws + 1))}
+
+    def products(rows: list) -> np.ndarray:
+        x = np.stack(rows)
+        v = np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1)
+        return np.concatenate([v[:, j : j + 1] * v[:, j:] for j in range(v.shape[1])], axis=1)
+
+    for pdf in it:
+        for grp, own in pdf.groupby("grp", sort=False):
+            for a in range(0, len(own), DRAWS_TOGETHER * 4):
+                rows = own.iloc[a : a + DRAWS_TOGETHER * 4]
+                names = [x.encode() for x in rows["id"]]
+                if grp == 0:
+                    flags = np.concatenate([rows["first"].to_numpy(bool)[:, None], first_half(names, states[0], cut)], axis=1)
+                    sums = products(rows["x0"].to_list())
+                    one = flags.T.astype(float) @ sums
+                    both = sums.sum(axis=0)
+                else:
+                    flags = np.concatenate([np.zeros((len(rows), 1), bool), (hashed_names(names, states[1]) & 1 == 1).T], axis=1)
+                    sums, other = products(rows["x0"].to_list()), products(rows["x1"].to_list())
+                    one = sums.sum(axis=0) + flags.T.astype(float) @ (other - sums)
+                    both = sums.sum(axis=0) + other.sum(axis=0)
+                if grp in held:
+                    held[grp][0] += one
+                    held[grp][1] += both
+                else:
+                    held[grp] = [one, both]
+    for grp, (one, both) in held.items():
+        yield pd.DataFrame({"draw": np.arange(draws + 1), "grp": grp, "a": [x.tobytes() for x in one], "b": [(both - x).tobytes() for x in one]})
+
+
+def hashed_spectra(parents: tuple[DataFrame, DataFrame], alleles: DataFrame, draws: int, k: int, seed: int) -> DataFrame:
+    """spectra(null_blocks(relabelled_units(..))) for few features, without a row of a unit and a draw.
+
+    A task labels its units in all draws by their hashes and the draws' cuts, and returns the sums of both halves that correlations, lambdas and
+    their differences follow from: a number a draw and two products of features, whatever the number of units.
+    """
+    a, b = (df.select("unit", "x0").withColumn("first", F.lit(i == 0)) for i, df in enumerate(parents))
+    none = F.array().cast("array<double>").alias("x1")
+    pool = a.union(b).select(F.lit(0).alias("grp"), F.concat(F.col("first").cast("string"), F.lit(":"), "unit").alias("id"), "first", "x0", none)
+    units = pool.union(alleles.select(F.lit(1), F.col("unit"), F.lit(False), "x0", "x1"))
+    units = checkpointed(units.repartition(units.sparkSession.sparkContext.defaultParallelism, "grp", "id"))
+    sized = units.where("grp = 0").agg(F.count("*").alias("n"), F.count_if("first").alias("first_n")).first()
+    items = units.where("grp = 0").select(F.lit("").alias("pool"), F.col("id").alias("item"))
+    cut = own_cuts(items, {"": (sized.n, sized.first_n)}, draws, lambda _: hash_states(seed, range(1, draws + 1)))[""]
+    summed = units.mapInPandas(lambda it: _relabelled_sums(it, draws, seed, cut), "draw int, grp int, a binary, b binary")
+
+    def values(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        half = lambda grp, c: _from_sums(np.sum([np.frombuffer(m) for m in pdf[c][pdf["grp"] == grp]], axis=0))
+        if len(set(pdf["grp"])) < 2:
+            return pd.DataFrame(columns=["draw", "part", "rank", "value"])
+        total, cis = half(0, "a") - half(0, "b"), half(1, "a") - half(1, "b")
+        out = []
+        for part, m in (("total", total), ("cis", cis), ("trans", total - cis)):
+            found = np.sort(np.linalg.eigvalsh(m) ** 2)[::-1][:k]
+            out.append(pd.DataFrame({"draw": key[0], "part": part, "rank": np.arange(1, len(found) + 1), "value": found}))
+        return pd.concat(out, ignore_index=True)
+
+    return summed.groupBy("draw").applyInPandas(values, "draw int, part string, rank int, value double")
+
+
 def permutation_spectra(residuals: DataFrame, draws: int, k: int = 15, seed: int = 1, side: int = SIDE) -> DataFrame:
     """(draw, part, rank, value) of permutation nulls of total, cis and trans; draw 0 is what was observed.
 
-    residuals (dataset, unit, feature, r) of both parents and both alleles on all features; a hybrid unit needs both alleles.
+    residuals (dataset, unit, feature, r), or vectors (dataset, unit, x), of both parents and both alleles on all features; a hybrid unit needs both
+    alleles. Up to a size of sums (2 PRODUCT_BYTES for all draws) by hashed_spectra, beyond by blocks of features.
     """
-    parents = tuple(unit_vectors(residuals, [v]) for v in ("MIX.SC", "MIX.SE"))
-    return spectra(null_blocks(relabelled_units(parents, unit_vectors(residuals, ["HYB.SC", "HYB.SE"]), draws, seed), side), k)
+    residuals = checkpointed(residuals)
+    parents, alleles = tuple(unit_vectors(residuals, [v]) for v in ("MIX.SC", "MIX.SE")), unit_vectors(residuals, ["HYB.SC", "HYB.SE"])
+    p = alleles.select(F.size("x0").alias("p")).first()
+    if p and (draws + 1) * (2 * p.p + 1) * (2 * p.p + 2) * 4 <= 2 * PRODUCT_BYTES:
+        return hashed_spectra(parents, alleles, draws, k, seed)
+    return spectra(null_blocks(relabelled_units(parents, alleles, draws, seed), side), k)
 
 
 # Recolouring ----------------------------------------------------------------------------------------------------------

@@ -107,12 +107,22 @@ def rank_fit(spark, sf):
     return rounded(out)
 
 
+def _shared_fits(c, u):
+    fits = _fits(c, u)
+    shared = fits.groupBy("feature").agg(F.count_distinct("dataset").alias("n")).where("n = 4").select("feature")
+    return fits.join(shared, "feature")
+
+
 def _all_residuals(spark, sf):
     """Residuals of both parents and both alleles, on the features that all four have a fit of."""
     c, u = counts(spark, sf), _expo(spark, sf)
-    fits = fitting.moment_fit(fitting.sufficient(c, u)).select("dataset", "feature", "mu", F.greatest("disp_moment", F.lit(0.0)).alias("disp"))
-    shared = fits.groupBy("feature").agg(F.count_distinct("dataset").alias("n")).where("n = 4").select("feature")
-    return coexpression.pearson_residuals(c, u, fits.join(shared, "feature"))
+    return coexpression.pearson_residuals(c, u, _shared_fits(c, u))
+
+
+def _all_vectors(spark, sf):
+    """_all_residuals as one array a unit."""
+    c, u = counts(spark, sf), _expo(spark, sf)
+    return coexpression.residual_vectors(c, u, _shared_fits(c, u)).drop("names")
 
 
 #: Relabellings of the null spectra in the registered query; the library takes any number.
@@ -122,14 +132,14 @@ SPECTRUM_DRAWS = 1000
 @register("x10_permutation_spectra")
 def permutation_spectra(spark, sf):
     """Observed squared eigenvalues with their rank-matched p."""
-    got = spectra.permutation_spectra(_all_residuals(spark, sf), SPECTRUM_DRAWS)
+    got = checkpointed(spectra.permutation_spectra(_all_vectors(spark, sf), SPECTRUM_DRAWS))
     return rounded(spectra.spectrum_p(got.where("draw = 0"), got.where("draw > 0")))
 
 
 @register("x12_validated_axes")
 def validated(spark, sf):
     """The ten leading axes of total, cis and trans with q over these candidates."""
-    got = checkpointed(spectra.permutation_spectra(_all_residuals(spark, sf), SPECTRUM_DRAWS))
+    got = checkpointed(spectra.permutation_spectra(_all_vectors(spark, sf), SPECTRUM_DRAWS))
     tests = checkpointed(spectra.spectrum_p(got.where("draw = 0"), got.where("draw > 0")))
     return rounded(spectra.validated_axes(tests, tests.where("rank <= 10")))
 

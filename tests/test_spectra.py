@@ -159,3 +159,17 @@ def test_rank_matched_p(spark):
     seen = spark.createDataFrame([("total", 1, 4.0), ("total", 2, 1.0)], "part string, rank int, value double")
     nulls = spark.createDataFrame([(d, "total", k, float(v)) for k in (1, 2) for d, v in enumerate((1, 2, 3))], "draw int, part string, rank int, value double")
     assert {r["rank"]: r.p for r in spectra.spectrum_p(seen, nulls).collect()} == {1: 0.25, 2: 1.0}
+
+
+def test_permutation_spectra_by_hash_make_no_table_of_units_and_draws(spark, views, monkeypatch):
+    """The sums of halves in tasks give the spectra of relabelled units in blocks of features, from long residuals and from vectors."""
+    _, residuals = views
+    few = residuals.where("feature < 'f12'")
+    values = lambda df: {(r.draw, r.part, r["rank"]): r.value for r in df.collect()}
+    parents = tuple(spectra.unit_vectors(few, [v]) for v in ("MIX.SC", "MIX.SE"))
+    want = values(spectra.spectra(spectra.null_blocks(spectra.relabelled_units(parents, spectra.unit_vectors(few, ["HYB.SC", "HYB.SE"]), 9, 5)), 6))
+    vectors = few.groupBy("dataset", "unit").agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "r"))), lambda x: x["r"]).alias("x"))
+    monkeypatch.setattr(spectra, "relabelled_units", None)
+    for df in (few, vectors):
+        got = values(spectra.permutation_spectra(df, 9, 6, 5))
+        assert set(got) == set(want) and len(got) == 10 * 3 * 6 and all(got[i] == pytest.approx(want[i], rel=1e-6, abs=1e-12) for i in want)
