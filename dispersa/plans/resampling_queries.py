@@ -118,7 +118,9 @@ RELABELLINGS = 1000
 
 @register("i9_mean_nulls")
 def mean_nulls(spark, sf):
-    return rounded(nulls.null_p(_mean_nulls(spark, sf, RELABELLINGS), ["value"]).drop("quantity"))
+    items, cells, cbar = _null_inputs(spark, sf)
+    values = checkpointed(nulls.hashed_mean_nulls(items, cells, RELABELLINGS, 3, _levels(items, cells, cbar), cbar))
+    return rounded(nulls.null_p(values, ["value"]).drop("quantity"))
 
 
 @register("i12_refit_nulls")
